@@ -185,9 +185,9 @@ def _counts(rows: DataFrame, wanted: frozenset | None) -> DataFrame:
                 f = features_of(t)
                 n.update(f if wanted is None else f & wanted)
                 if len(n) > 1_000_000:
-                    yield pd.DataFrame({"feature": list(n.keys()), "n": list(n.values())})
+                    yield pd.DataFrame({"feature": np.array(list(n), object), "n": np.array(list(n.values()), np.int64)})
                     n.clear()
-        yield pd.DataFrame({"feature": list(n.keys()), "n": np.array(list(n.values()), np.int64)})
+        yield pd.DataFrame({"feature": np.array(list(n), object), "n": np.array(list(n.values()), np.int64)})
 
     return rows.select("text").mapInPandas(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
@@ -230,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 4
         a, b = t[f], c.get(f, 0)
         mean = (a + b) / max(1, n_t + n_c)
         g = 2 * (a * math.log(a / (mean * n_t)) + (b * math.log(b / (mean * n_c)) if b else 0))
-        return _strength(a, n_t, b, n_c) >= math.log(10) and g >= 15
+        return _strength(a, n_t, b, n_c) >= math.log(10) and g >= 22
 
     strong = sorted(filter(good, t), key=lambda f: (-t[f], f))[:TERMS]
     stems = {f[:-1] for f in strong if f.endswith("*")}
