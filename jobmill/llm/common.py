@@ -62,3 +62,21 @@ def spread_rank(rows: DataFrame, part: list[str], bucket: str, order: list[str],
     inside = Window.partitionBy(*part, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
     return rows.join(offsets, [*part, bucket]).withColumn(out, F.col("_inside") + F.col("_before")).drop("_inside", "_before")
+
+
+#: A side of so many rows of a few numbers is small enough for every task to hold.
+FEW = 1_000_000
+
+
+def only(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of df whose ``on`` columns occur in keys (null-safe), keys being narrow, distinct and already written.
+
+    keys are counted first: up to FEW rows they are broadcast, so that df is
+    filtered where it is read; beyond it both sides are shuffled.
+    """
+    small = keys.select(*[F.col(c).alias(f"_k_{c}") for c in on])
+    small = F.broadcast(small) if small.count() <= FEW else small
+    cond = F.lit(True)
+    for c in on:
+        cond = cond & df[c].eqNullSafe(small[f"_k_{c}"])
+    return df.join(small, cond, "left_semi")

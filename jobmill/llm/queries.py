@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmill.llm import byte_bpe, exact_dedup, language, mixing, oracles, sharding, toxicity
+from jobmill.llm import byte_bpe, exact_dedup, language, mixing, oracles, sharding, substring_dedup, toxicity, vector_dedup
 from jobmill.llm.common import fold, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -31,6 +31,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_report(table(spark, sf_dir, "documents"))
 
@@ -42,17 +46,24 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
     "op4_mixing": op4_mixing,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_vector_dedup": op6_vector_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_language": op9_language,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op2_sharding": oracles.OP2,
     "op4_mixing": oracles.OP4,
+    "op6_vector_dedup": oracles.OP6,
     "op7_exact_dedup": oracles.OP7,
 }
