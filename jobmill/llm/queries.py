@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmill.llm import byte_bpe, exact_dedup, language, mixing, oracles, sharding, substring_dedup, toxicity, vector_dedup
+from jobmill.llm import byte_bpe, exact_dedup, jaccard_join, language, mixing, oracles, sharding, substring_dedup, toxicity, vector_dedup
 from jobmill.llm.common import fold, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -23,6 +23,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_manifest(table(spark, sf_dir, "documents"), [1.0] * 8)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), [5, 2, 1]).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -53,6 +57,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_mixing": op4_mixing,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_vector_dedup": op6_vector_dedup,
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_sharding": oracles.OP2,
+    "op3_jaccard_join": oracles.OP3,
     "op4_mixing": oracles.OP4,
     "op6_vector_dedup": oracles.OP6,
     "op7_exact_dedup": oracles.OP7,
