@@ -68,7 +68,7 @@ def spread_rank(rows: DataFrame, part: list[str], bucket: str, order: list[str],
 FEW = 1_000_000
 
 
-def only(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+def only(df: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
     """The rows of df whose ``on`` columns occur in keys (null-safe), keys being narrow, distinct and already written.
 
     keys are counted first: up to FEW rows they are broadcast, so that df is
@@ -79,4 +79,9 @@ def only(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     cond = F.lit(True)
     for c in on:
         cond = cond & df[c].eqNullSafe(small[f"_k_{c}"])
-    return df.join(small, cond, "left_semi")
+    return df.join(small, cond, how)
+
+
+def without(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of df whose ``on`` columns don't occur in keys; otherwise like ``only``."""
+    return only(df, keys, on, "left_anti")

@@ -119,3 +119,38 @@ select v.vec_id, (select count(*) from link where a = v.vec_id) as n_links,
   (select min(c) from reach where d = v.vec_id) as component_id,
   (select min(c) from reach where d = v.vec_id) = v.vec_id as kept
 from v"""
+
+OP8 = r"""
+with c as (
+  select conv_id, turn, text, case when role = 'user' then 'ask' else 'configure' end as name,
+    'call-' || conv_id || '-' || turn as call_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words
+  from conversations where role in ('user', 'system')
+),
+edge as (select c.conv_id, c.turn, p.turn as prev from c join c p on p.conv_id = c.conv_id and p.turn in (c.turn - 1, c.turn - 2)),
+lv as (
+  with recursive walk as (
+    select conv_id, turn, 0 as level from c
+    union all
+    select e.conv_id, e.turn, walk.level + 1 from walk join edge e on e.conv_id = walk.conv_id and e.prev = walk.turn
+  )
+  select conv_id, turn, max(level) as level from walk group by 1, 2
+),
+r as (select conv_id, turn, text as content, 'call-' || conv_id || '-' || (turn - 1) as call_id from conversations where role = 'assistant'),
+j as (
+  select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.call_id, r.call_id) as call_id, c.turn, c.name, c.text, c.words, r.content,
+    c.call_id is not null as is_call, r.call_id is not null as has_result
+  from c full join r on c.conv_id = r.conv_id and c.call_id = r.call_id
+)
+select j.conv_id, j.call_id, lv.level::int as level,
+  case when is_call then row_number() over (partition by is_call, j.conv_id order by lv.level, j.turn) - 1 end as position,
+  j.name, case when not is_call then 'orphan' when has_result then 'linked' else 'unanswered' end as status,
+  case when is_call then case when name = 'ask' then length(text) >= 1 and words >= 2 else words <= 40 end end as valid,
+  case when is_call then
+    case when name = 'ask' and length(text) < 1 then '.text: length out of range'
+         when name = 'ask' and words < 2 then '.words: below minimum'
+         when name = 'configure' and words > 40 then '.words: above maximum' end end as error,
+  is_call::bigint as n_calls, has_result::bigint as n_results,
+  case when is_call then '{"after":["call-' || j.conv_id || '-' || (j.turn - 2) || '","call-' || j.conv_id || '-' || (j.turn - 1) ||
+    '"],"arguments":{"text":' || to_json(text)::varchar || ',"words":' || words || '},"id":"' || j.call_id || '","name":"' || name ||
+    '","result":' || coalesce(to_json(content)::varchar, 'null') || '}' end as record
+from j left join lv on lv.conv_id = j.conv_id and lv.turn = j.turn"""

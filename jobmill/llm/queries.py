@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmill.llm import byte_bpe, exact_dedup, jaccard_join, language, mixing, oracles, sharding, substring_dedup, toxicity, vector_dedup
+from jobmill.llm import byte_bpe, chat_format, exact_dedup, jaccard_join, language, mixing, oracles, sharding, substring_dedup, toxicity, vector_dedup
 from jobmill.llm.common import fold, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -43,6 +43,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_report(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat_format.turns_as_calls(table(spark, sf_dir, "conversations"))
+    return chat_format.link_tool_calls(calls, results, chat_format.SCHEMAS)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold(F.col("doc_id"), 4) == 2
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_vector_dedup": op6_vector_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_chat_format": op8_chat_format,
     "op9_language": op9_language,
     "op10_substring_dedup": op10_substring_dedup,
 }
@@ -72,4 +78,5 @@ ORACLES: dict[str, str] = {
     "op4_mixing": oracles.OP4,
     "op6_vector_dedup": oracles.OP6,
     "op7_exact_dedup": oracles.OP7,
+    "op8_chat_format": oracles.OP8,
 }
