@@ -78,20 +78,21 @@ def letter(title: Column, company: Column, domains: Column, skills: Column, resu
     return F.element_at(made, n + 1)
 
 
-def choice_text(c: Column, seed: Column, depth: int = 3) -> Column:
-    """``{a|b}`` replaced by one alternative, innermost first, ``depth`` times nested at most and up to 8 in a level.
+def choice_text(c: Column, seed: Column, most: int = 24) -> Column:
+    """``{a|b}`` replaced by one alternative, innermost first, ``most`` groups at most.
 
     The choice is hashed from the seed and the group's text, so it is the same in every run.
     """
-    for _ in range(depth * 8):
-        group = F.regexp_extract(c, r"\{([^{}]*)\}", 1)
+    def step(text: Column) -> Column:
+        parts = F.regexp_extract_all(text, F.lit(r"(?s)^(.*?)\{([^{}]*)\}"), F.lit(1))
+        group = F.regexp_extract(text, r"\{([^{}]*)\}", 1)
+        before = F.length(F.get(parts, F.lit(0)))
         options = F.split(group, r"\|")
-        n = F.pmod(F.xxhash64(seed, group), F.size(options).cast("long")).cast("int")
-        whole = F.concat(F.lit("{"), group, F.lit("}"))
-        at = F.locate("{", c)  # position of the first innermost group
-        at = F.length(F.regexp_extract(c, r"(?s)^(.*?)\{[^{}]*\}", 1)) + 1
-        c = F.when(c.rlike(r"\{[^{}]*\}"), F.concat(F.substring(c, F.lit(1), at - 1), F.element_at(options, n + 1), F.substring(c, at + F.length(whole), F.length(c)))).otherwise(c)
-    return c
+        chosen = F.element_at(options, F.pmod(F.xxhash64(seed, group), F.size(options).cast("long")).cast("int") + 1)
+        made = F.concat(F.substring(text, F.lit(1), before), chosen, F.substring(text, before + F.length(group) + 3, F.length(text)))
+        return F.when(text.rlike(r"\{[^{}]*\}"), made).otherwise(text)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), c, lambda text, _: step(text))
 
 
 def shorten(c: Column, limit: int = 75, mark: str = "…") -> Column:
