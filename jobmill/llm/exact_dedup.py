@@ -76,8 +76,11 @@ def copy_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
     lead = copy_groups(docs, key, text).filter("leads").select(F.col(key).alias("_k"), F.col("chars").alias("_c"), F.col("text_sha256").alias("_t"), "n_rows")
-    d = docs.withColumns({"_chars": F.coalesce(F.length(text), F.lit(0)).cast("long"), "_sha": F.sha2(normalised(F.col(text)).cast("binary"), 256)})
-    joined = d.join(lead, d[key].eqNullSafe(F.col("_k")) & (F.col("_chars") == F.col("_c")) & (F.col("_sha") == F.col("_t")))
+    d = docs.select(
+        F.struct("*").alias("d"), F.col(key).alias("k"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("chars"),
+        F.sha2(normalised(F.col(text)).cast("binary"), 256).alias("sha"),
+    )
+    joined = d.join(lead, d["k"].eqNullSafe(F.col("_k")) & (d["chars"] == F.col("_c")) & (d["sha"] == F.col("_t")))
     once = joined.filter("n_rows = 1")
-    many = joined.filter("n_rows > 1").dropDuplicates([key, "_chars", "_sha"])
-    return once.unionByName(many).select(*docs.columns)
+    many = joined.filter("n_rows > 1").dropDuplicates(["k", "chars", "sha"])
+    return once.unionByName(many).select("d.*")

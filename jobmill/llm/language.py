@@ -111,7 +111,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, smoothing: float = 0.1, key: str
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score (0 to 1). Only the text is an input.
+    """docs with lang_pred and score (0 to 1), in place of columns of these names. Only the text is an input.
 
     A null text, or one without a letter, is ``und`` with score 0. The matrix
     is broadcast: buckets x languages doubles, whatever the input's size.
@@ -122,7 +122,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def of(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("_p", of(F.col(text))).select(*docs.columns, "_p.lang_pred", "_p.score")
+    found = docs.select(F.struct("*").alias("d"), of(F.col(text)).alias("p"))
+    return found.select(*[F.col("d")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score")], "p.lang_pred", "p.score")
 
 
 def accepted(lang_pred: Column, score: Column, least: float = 0.5) -> Column:

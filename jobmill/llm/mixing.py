@@ -95,11 +95,12 @@ def mixed_documents(docs: DataFrame, weights: list[int], cap: float = 3.0, seed:
     """
     taken = mix(docs, weights, cap, seed, key, text, source).groupBy(key, "source", "size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
     taken = taken.filter("_copies > 0").select(F.col(key).alias("_k"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_copies", "_rows")
-    d = docs.withColumn("_size", n_words(F.col(text)))
-    joined = d.join(taken, d[key].eqNullSafe(F.col("_k")) & d[source].eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
+    d = docs.select(F.struct("*").alias("d"), F.col(key).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(text).alias("hash"))
+    joined = d.join(taken, d["key"].eqNullSafe(F.col("_k")) & d["source"].eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
     once = joined.filter("_rows = 1").withColumn("_times", F.col("_copies"))
-    # rows that share key, source and size: the first takes the remainder of an even split
-    w = Window.partitionBy(key, source, "_size").orderBy(F.xxhash64(text))
-    many = joined.filter("_rows > 1").withColumn("_r", F.row_number().over(w)).withColumn("_times", F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_r") <= F.col("_copies") % F.col("_rows")).cast("long")).drop("_r")
+    # rows that share key, source and size split the copies evenly, the first ones taking the remainder
+    w = Window.partitionBy("key", "source", "size").orderBy("hash")
+    many = joined.filter("_rows > 1").withColumn("_r", F.row_number().over(w))
+    many = many.withColumn("_times", F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_r") <= F.col("_copies") % F.col("_rows")).cast("long")).drop("_r")
     every = once.unionByName(many).filter("_times > 0")
-    return every.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    return every.select("d", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select("d.*")

@@ -270,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 4
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 if score >= 0.5, else 0). Only the text is an input.
+    """docs with score (0 to 1) and predicted (1 if score >= 0.5, else 0), in place of columns of these names. Only the text is an input.
 
     Whole texts are read; a null or empty text has the score of a text without
     hits. The model is broadcast: TERMS terms at most.

@@ -183,7 +183,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, key: str = "vec_id",
                         np.fill_diagonal(near, False)
                     if not near.any():
                         continue
-                    row, col = link_leaf(near)
+                    # rows and columns of a whole block are the same nodes
+                    row, col = link_leaf(near | np.eye(len(near), dtype=bool) if whole else near)
                     names = np.concatenate([na[i], nb[j]])
                     yield pd.DataFrame({"node": na[i], "n": near @ r.b_m[j], "root": names[row]})[near.any(axis=1)]
                     if not whole:
