@@ -102,7 +102,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, smoothing: float = 0.1, key: str
     languages = sorted(counts["lang"].unique())
     c = np.zeros((BUCKETS, len(languages)))
     prior = np.zeros(len(languages))
-    where = counts["lang"].map({g: i for i, g in enumerate(languages)}).to_numpy()
+    where = counts["lang"].map({g: i for i, g in enumerate(languages)}).to_numpy(dtype=np.int64)
     real = (counts["bucket"] >= 0).to_numpy()
     c[counts["bucket"].to_numpy()[real], where[real]] = counts["n"].to_numpy()[real]
     prior[where[~real]] = counts["n"].to_numpy()[~real]
