@@ -81,36 +81,21 @@ def slices(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple
             yield data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], i, 0
 
 
-def suffix_ranks(data: np.ndarray, depth: int) -> tuple[np.ndarray, int]:
-    """Rank of every suffix by its first bytes, as many as the largest power of two within depth; equal bytes, equal rank.
-
-    Ranks of 8 bytes come from their value, then each round doubles what is compared.
-    """
-    n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    value = np.zeros(n, np.uint64)
-    for k in range(8):
-        value = (value << np.uint64(8)) | padded[k : n + k]
-    rank = np.unique(value, return_inverse=True)[1].astype(np.int64)
-    width = 8
-    while width * 2 <= depth:
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - width)] = rank[width:] + 1
-        rank = np.unique(rank * (n + 2) + second, return_inverse=True)[1].astype(np.int64)
-        width *= 2
-    return rank, width
-
-
 def repeated_starts(data: np.ndarray, starts: np.ndarray, order: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each start, whether its window of ``length`` bytes has an earlier and a later equal by ``order``.
 
-    Starts are sorted as suffixes. The previous and next smaller ``order`` in
-    that sequence give the longest previous factor; it reaches ``length`` just
-    when one of them lies within the stretch of suffixes whose neighbours agree
-    on that many bytes, that is, when the start isn't the stretch's smallest.
+    Starts are sorted as suffixes; blocks of bytes compare by their 64-bit
+    hashes instead of letter by letter, first the block at the start, then the
+    one that ends the window. Suffixes that agree on the window are neighbours
+    in this order as in the alphabetical one, and that is all that is asked of
+    it. The previous and next smaller ``order`` in that sequence give the
+    longest previous factor; it reaches ``length`` just when one of them lies
+    within the stretch of neighbours that agree on so many bytes, that is, when
+    the start isn't the stretch's smallest.
     """
-    rank, width = suffix_ranks(data, length)
-    a, b = rank[starts], rank[starts + length - width]
+    h = Ranges(data)
+    block = length - length // 3
+    a, b = h.of(starts, starts + block), h.of(starts + length - block, starts + length)
     suffix = np.lexsort((b, a))
     a, b = a[suffix], b[suffix]
     new = np.ones(len(starts), bool)
@@ -190,10 +175,12 @@ def repeated_ranges(docs: DataFrame, length: int = 400, keep_first: bool = False
 
     def slice_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for doc, h, t, rs in zip(b["doc"], b["h"], b["t"], b["runs"], strict=True):
+            rows = []
+            for doc, h, t, rs in zip(b["doc"].array, b["h"].array, b["t"], b["runs"], strict=True):
                 raw = (t or "").encode()
-                out = pd.DataFrame([{"key": r["key"], "lo": r["lo"], "hi": r["hi"], "anchor": r["anchor"], "n": r["n"], "bytes": raw[r["lo"] : r["hi"] + length]} for r in rs])
-                yield out.assign(doc=pd.Series([doc] * len(out), dtype=b["doc"].dtype), h=h)
+                rows += [(doc, h, r["key"], r["lo"], r["hi"], r["anchor"], r["n"], raw[r["lo"] : r["hi"] + length]) for r in rs]
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc", "h", "key", "lo", "hi", "anchor", "n", "bytes"])
 
     shape = f"doc {kind}, h long, key long, lo int, hi int, anchor int, n long, bytes binary"
     left = wanted.join(texts.select(F.col("doc").alias("_d"), F.col("h").alias("_h"), "t"), wanted["doc"].eqNullSafe(F.col("_d")) & (wanted["h"] == F.col("_h")))
@@ -202,15 +189,21 @@ def repeated_ranges(docs: DataFrame, length: int = 400, keep_first: bool = False
 
     # an anchor with very many different stretches: windows part by where they start relative to it, on a finer grid each round
     width = 1 << (length // 2).bit_length()
-    while width > 1:
-        sizes = cut(stretch.groupBy("key").agg(F.sum(F.octet_length("bytes")).alias("_size")).filter(F.col("_size") > LARGE).select("key"))
-        if sizes.isEmpty():
+    ready = []
+    while True:
+        large = cut(stretch.groupBy("key").agg(F.sum(F.octet_length("bytes")).alias("_size")).filter(F.col("_size") > LARGE).select("key")) if width > 1 else None
+        if large is None or large.isEmpty():
+            ready.append(stretch)
             break
+        ready.append(stretch.join(large, "key", "left_anti"))
         width //= 2
-        cells = cut(stretch.join(sizes, "key").mapInPandas(divide(length, width), shape + ", span long"))
+        cells = cut(stretch.join(large, "key").mapInPandas(divide(length, width), shape + ", span long"))
         more, doubt = settle(cells, keep_first)
         found.append(more)
-        stretch = cut(stretch.join(sizes, "key", "left_anti").unionByName(doubt.select(*stretch.columns)))
+        stretch = cut(doubt.select(*stretch.columns))
+    stretch = ready[0]
+    for r in ready[1:]:
+        stretch = stretch.unionByName(r)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Whole key groups, SORTED bytes or so at a time; batches arrive sorted by key."""

@@ -151,7 +151,7 @@ class Model:
         return out
 
     def inputs(self, hits: list[tuple[str, bool, bool]]) -> tuple[float, float]:
-        """Weight of hits that abuse, weight of hits that are quoted."""
+        """Logarithms of the weight of hits that abuse and of hits that are quoted."""
         sums = [0.0, 0.0]
         for term, fuzzy, quoted in hits:
             sums[quoted] += self.weights.get((term, fuzzy), 0.0)
@@ -193,12 +193,13 @@ def _counts(rows: DataFrame, wanted: frozenset | None) -> DataFrame:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Newton's method, ridge on all but the intercept."""
+    """Newton's method with bounded steps, ridge on all but the intercept."""
     x = np.column_stack([np.ones(len(x)), x])
-    b, penalty = np.zeros(x.shape[1]), np.array([1e-6, *[ridge] * (x.shape[1] - 1)])
-    for _ in range(50):
+    b, penalty = np.zeros(x.shape[1]), np.array([1e-3, *[ridge] * (x.shape[1] - 1)])
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * b)
+        step *= min(1.0, 1.0 / np.abs(step).max())
         b += step
         if np.abs(step).max() < 1e-8:
             break
@@ -265,7 +266,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 4
     y = np.array([float(r["y"] > 0) for r in seen])
     if 0 < y.sum() < len(y):
         b = _logistic(x, y)
-        model.coefficients = [float(b[0]), max(0.0, float(b[1])), float(b[2])]
+        # a quoted hit never weighs more than one that isn't
+        model.coefficients = [float(b[0]), max(0.0, float(b[1]), float(b[2])), float(b[2])]
     return model
 
 

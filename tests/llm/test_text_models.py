@@ -101,7 +101,7 @@ def test_stems_and_quotes():
 
 
 def test_toxicity(spark):
-    rows = [(i, f"word{i % 7} some words here " + ("moron clown" if i % 4 == 0 else "plain text"), i % 4 == 0) for i in range(400)]
+    rows = [(i, f"word{i % 7} some text here " + (("moron clown", "moron", "my clown")[i % 3] if i % 4 == 0 else "plain text"), i % 4 == 0) for i in range(400)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(y)) for i, _, y in rows] + [(None, 1), (9999, None)], "doc_id long, toxic int")
     train = fold(F.col("doc_id"), 5) != 0
