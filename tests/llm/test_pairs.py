@@ -46,7 +46,8 @@ def shingles(t, n):
 
 @pytest.mark.parametrize("n, percent, small", [(3, 90, 32), (5, 80, 32), (2, 60, 2)])
 def test_jaccard_join(spark, monkeypatch, n, percent, small):
-    monkeypatch.setattr(jaccard_join, "SMALL", small)  # regions of any size must come out the same
+    for name, value in {"SMALL": small, "TINY": 4, "TILE": small}.items():
+        monkeypatch.setattr(jaccard_join, name, value)  # regions of any size must come out the same
     rng = random.Random(n)
     vocabulary = [f"w{i}" for i in range(60)]
     base = [[rng.choice(vocabulary) for _ in range(rng.choice([3, 12, 60, 140]))] for _ in range(12)]
