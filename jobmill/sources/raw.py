@@ -149,3 +149,25 @@ def read_index(df: DataFrame, preferred: list[str], required: tuple[str, ...] =
         raise ValueError(f"missing columns: {missing}")
     out = df.select(*[c for c in preferred if c in df.columns]).orderBy(F.desc("id"))
     return out if limit is None else out.limit(limit)
+
+
+def sync_postings(index: DataFrame, postings: DataFrame, ids: DataFrame | None = None, newest: int | None = None) -> DataFrame:
+    """Raw postings of the index: of the given identifiers, or the newest n."""
+    chosen = index.select("id")
+    if ids is not None:
+        chosen = chosen.join(ids.select("id").distinct(), "id", "left_semi")
+    if newest is not None:
+        chosen = chosen.orderBy(F.desc("id")).limit(newest)
+    return postings.join(chosen.distinct(), "id", "left_semi")
+
+
+def eligible_runs(runs: DataFrame, headers: DataFrame) -> DataFrame:
+    """Runs with a summary and an observe header of version 3: headers(run_id, event_type, schema_version, runtime_mode)."""
+    h = headers.filter("event_type = 'run_started' and schema_version = 3 and runtime_mode = 'observe'").select("run_id")
+    return runs.filter("has_summary and not clash").join(h, "run_id", "left_semi")
+
+
+def pending_runs(eligible: DataFrame, loaded: DataFrame, limit: int = 10) -> DataFrame:
+    """Earliest eligible runs that are not loaded as finished: loaded(run_id, status)."""
+    done = loaded.filter("status = 'finished'").select("run_id")
+    return eligible.join(done, "run_id", "left_anti").orderBy("date", "run_id").limit(limit)

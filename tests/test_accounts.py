@@ -58,3 +58,25 @@ def test_adhoc(spark, tmp_path):
     assert [r["x"] for r in rows] == list(range(0, 20, 2)) and more
     export_csv(df.limit(3), str(tmp_path / "out"))
     assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 3
+
+
+def test_client_tables(spark):
+    from jobmill.plans import client_tables as C
+
+    schema = "v struct<id:string,name:string,salary:struct<from:int,to:int,currency:string>,contacts:struct<email:string,name:string,phones:array<struct<number:string,formatted:string>>>,employer:struct<id:string>>"
+    df = spark.createDataFrame([(("1", "p", (None, 5, None), ("a@b.c", None, [("1", "+1"), (None, "x"), ("2", "+2")]), ("7",)),), (("2", "q", None, None, None),)], schema)
+    r = C.contact_rows(df, "v").collect()
+    assert len(r) == 1 and (r[0]["vacancy_salary_from"], r[0]["vacancy_salary_to"], r[0]["vacancy_currency"], r[0]["phone_numbers"], r[0]["employer_id"]) == (5, 5, "RUR", "+1, +2", 7)
+    n = spark.createDataFrame([((3, ("invitation",), (8, (9,)), ("r",), "2024-01-01T00:00:00+0000"),)], "v struct<id:int,state:struct<id:string>,vacancy:struct<id:int,employer:struct<id:int>>,resume:struct<id:string>,created_at:string>")
+    m = mapping.mapped(n, C.NEGOTIATION, "v").first()
+    assert (m["state"], m["vacancy_id"], m["employer_id"], m["resume_id"], str(m["created_at"]), m["chat_id"]) == ("invitation", 8, 9, "r", "2024-01-01 00:00:00", None)
+    assert spark.range(1).select(C.coded(F.lit(" Полный День "), "schedule").alias("c")).first()["c"] == "fullDay"
+
+
+def test_pending_runs(spark):
+    from jobmill.sources import raw
+
+    runs = spark.createDataFrame([("a", "2024-01-02", True, False), ("b", "2024-01-01", True, False), ("c", "2024-01-01", False, False), ("d", "2024-01-01", True, False)], "run_id string, date string, has_summary boolean, clash boolean")
+    heads = spark.createDataFrame([(r, "run_started", 3, "observe") for r in "abc"] + [("d", "run_started", 2, "observe")], "run_id string, event_type string, schema_version int, runtime_mode string")
+    loaded = spark.createDataFrame([("b", "finished"), ("a", "incomplete")], "run_id string, status string")
+    assert [r["run_id"] for r in raw.pending_runs(raw.eligible_runs(runs, heads), loaded).collect()] == ["a"]
