@@ -16,6 +16,7 @@ import pandas as pd
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Pre-tokens with their ids that a Python worker keeps at most; beyond it starts anew.
 KEPT = 400_000
@@ -188,26 +189,23 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     """One row per row of docs: key, ids (array of int). Null texts count as empty and have no id."""
     shared = share(docs.sparkSession, path, pattern)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(shared)
-        for b in batches:
-            ids = [np.array(s.split(" "), np.int32) if s else np.zeros(0, np.int32) for s in c.encode([t or "" for t in b[text]])]
-            yield pd.DataFrame({key: b[key], "ids": ids})
+    @F.pandas_udf("array<int>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.array(s.split(" "), np.int32) if s else np.zeros(0, np.int32) for s in codec(shared).encode([t or "" for t in texts])], dtype=object)
 
-    return docs.select(key, text).mapInPandas(rows, f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>")
+    return docs.select(key, of(F.col(text)).alias("ids"))
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """One row per row of encoded: key, text. Null ids count as none; bytes that are not UTF-8 become U+FFFD."""
     shared = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in load_ranks(path).items()})
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def of(lists: pd.Series) -> pd.Series:
         token = shared.value
-        for b in batches:
-            texts = [b"".join(token[i] for i in x).decode("utf-8", "replace") if x is not None else "" for x in b[ids]]
-            yield pd.DataFrame({key: b[key], "text": texts})
+        return pd.Series([b"".join(token[i] for i in x).decode("utf-8", "replace") if x is not None else "" for x in lists], dtype=object)
 
-    return encoded.select(key, ids).mapInPandas(rows, f"{key} {encoded.schema[key].dataType.simpleString()}, text string")
+    return encoded.select(key, of(F.col(ids)).alias("text"))
 
 
 def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -218,14 +216,14 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     """
     shared = share(docs.sparkSession, path, pattern)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def of(texts: pd.Series) -> pd.DataFrame:
         c = codec(shared)
-        for b in batches:
-            n, of_ids, of_text = [], [], []
-            for ids in c.encode([t or "" for t in b[text]]):
-                n.append(ids.count(" ") + 1 if ids else 0)
-                of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
-                of_text.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            yield pd.DataFrame({key: b[key], "n_tokens": np.array(n, np.int64), "ids_sha256": of_ids, "decoded_sha256": of_text})
-
-    return docs.select(key, text).mapInPandas(rows, f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        n, of_ids, of_text = [], [], []
+        for ids in c.encode([t or "" for t in texts]):
+            n.append(ids.count(" ") + 1 if ids else 0)
+            of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
+            of_text.append(hashlib.sha256(c.decode(ids)).hexdigest())
+        return pd.DataFrame({"n_tokens": np.array(n, np.int64), "ids_sha256": np.array(of_ids, object), "decoded_sha256": np.array(of_text, object)})
+
+    return docs.select(key, of(F.col(text)).alias("d")).select(key, "d.*")
