@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobmill.llm.common import SPACE
+from jobmill.llm.common import SPACE, cut
 
 #: A chunk runs to the first sentence mark after so many characters, or to the longest length.
 LEAST, MOST = 512, 4096
@@ -35,32 +35,32 @@ def copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     row is the group's keeper).
 
     Texts are equal when their white space deleted forms are. Each text is cut
-    where its content says; chunks get verified identifiers, and a text's
-    recipe is the ordered list of its chunks' identifiers. Rows meet by recipe,
-    so long texts never move as a whole, only each distinct chunk once. Null
+    where its content says; its recipe is the ordered list of its chunks'
+    digests. Rows meet by recipe, and the digests of each distinct recipe are
+    looked up among the verified identifiers, so long texts never move as a
+    whole, only each distinct chunk once. Null
     texts count as empty. The keeper has the most characters before deletion,
     then the smallest key (null keys last). Repeated rows are one row here with
     n_rows above 1.
     """
-    norm = normalised(F.col(text))
-    rows = docs.select(
-        F.col(key), F.sha2(norm.cast("binary"), 256).alias("text_sha256"),
-        F.coalesce(F.length(text), F.lit(0)).cast("long").alias("chars"),
-    ).groupBy(key, "text_sha256", "chars").agg(F.count("*").alias("n_rows"))
-
-    cuts = docs.select(F.col(key), norm.alias("_norm"))
-    cuts = cuts.select(key, F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256"), F.posexplode(F.regexp_extract_all("_norm", F.lit(CHUNK), F.lit(0))).alias("pos", "chunk"))
-    pieces = cuts.withColumn("digest", F.unhex(F.md5(F.col("chunk").cast("binary"))))
-    ids = verified_chunks(pieces)
-    recipes = pieces.select(key, "text_sha256", "pos", "digest").join(ids, "digest")
-    recipes = recipes.groupBy(key, "text_sha256").agg(F.transform(F.sort_array(F.collect_set(F.struct("pos", "id"))), lambda x: x["id"]).alias("_recipe"))
-
-    r = recipes.select(F.col(key).alias("_k"), F.col("text_sha256").alias("_t"), "_recipe")
-    rows = rows.join(r, rows[key].eqNullSafe(r["_k"]) & (rows["text_sha256"] == r["_t"]), "left").drop("_k", "_t")
-    rows = rows.withColumn("_recipe", F.coalesce("_recipe", F.array().cast("array<binary>")))  # the empty text has no chunk
+    def recipe(norm: Column) -> Column:
+        return F.transform(F.regexp_extract_all(norm, F.lit(CHUNK), F.lit(0)), lambda c: F.unhex(F.md5(c.cast("binary"))))
+
+    rows = docs.select(F.col(key), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("chars"), normalised(F.col(text)).alias("_norm"))
+    rows = rows.select(key, "chars", F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256"), recipe(F.col("_norm")).alias("recipe"))
+    rows = cut(rows.groupBy(key, "text_sha256", "chars", "recipe").agg(F.count("*").alias("n_rows")))
     best = F.min(F.struct((-F.col("chars")).alias("neg"), F.col(key).isNull().alias("nul"), F.col(key).alias("k")))
-    groups = rows.groupBy("_recipe").agg(best.alias("_best"), F.sum("n_rows").alias("group_size"))
-    rows = rows.join(groups, "_recipe")
+    groups = rows.groupBy("recipe").agg(best.alias("_best"), F.sum("n_rows").alias("group_size"))
+
+    pieces = docs.select(F.explode(F.regexp_extract_all(normalised(F.col(text)), F.lit(CHUNK), F.lit(0))).alias("chunk"))
+    ids = verified_chunks(pieces.withColumn("digest", F.unhex(F.md5(F.col("chunk").cast("binary")))))
+    # each distinct recipe once: its digests give way to verified identifiers
+    parts = groups.select("recipe", F.posexplode("recipe").alias("pos", "digest")).join(ids, "digest")
+    verified = parts.groupBy("recipe").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
+    groups = groups.join(verified, "recipe", "left").filter((F.size("recipe") == 0) | (F.col("ids") == F.col("recipe"))).drop("ids")
+    groups = cut(groups)  # so that Spark can split a large group of copies
+
+    rows = rows.join(groups, "recipe")
     return rows.select(
         key, "text_sha256", "chars", "n_rows", F.col("_best.k").alias("keep_id"), (-F.col("_best.neg")).alias("keep_chars"), "group_size",
         (F.col(key).eqNullSafe(F.col("_best.k")) & (F.col("chars") == -F.col("_best.neg"))).alias("leads"),
