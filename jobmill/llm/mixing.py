@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobmill.llm.common import WORD, spread_rank
+from jobmill.llm.common import WORD, cut, spread_rank
 
 #: Documents of one size class are numbered within so many hash ranges.
 RANGES = 256
@@ -68,6 +68,7 @@ def mix(docs: DataFrame, weights: list[int], cap: float = 3.0, seed: str = "mix"
         "_class": size_class(F.col("size")),
         "_h": F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))),
     }).withColumn("_range", F.conv(F.substring("_h", 1, 2), 16, 10).cast("int"))
+    base = cut(base)  # texts are read once
 
     sizes = base.groupBy("_src", "source").agg(F.sum(F.col("size") * F.col("_m")).alias("source_size"))
     rate = targets(sizes.select("source", "source_size"), weights, cap).withColumn("_src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).drop("source")
