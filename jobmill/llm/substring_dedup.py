@@ -24,6 +24,8 @@ GRAM = 16
 #: Bytes of suffixes sorted together, bytes of one anchor's stretches beyond which it is divided first.
 SORTED = 2 << 20
 LARGE = 1 << 20
+#: Stretches handed on at a time.
+SLICED = 5_000
 #: A slice of a very long text, which slices overlap so that no window is lost.
 LONG = 1 << 21
 
@@ -142,12 +144,13 @@ def settle(runs: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame]:
     repeated window. Keys with several spans stay in doubt.
     """
     keys = runs.groupBy("key").agg(F.sum("n").alias("_total")).filter("_total > 1").select("key")
-    many = cut(runs.join(keys, "key"))
+    # written before the join, so that Spark can split what a frequent key brings
+    many = cut(runs.join(cut(keys), "key"))
     first = F.min(F.struct(*[F.struct(F.col(c).isNull(), F.col(c)).alias(c) for c in ("doc", "h", "lo")]))
     spans = many.groupBy("key", "span").agg(F.sum("n").alias("_n"), first.alias("_first"))
     per_key = spans.groupBy("key").agg(F.count("*").alias("_spans"))
-    spans = spans.join(per_key, "key")
-    joined = cut(many.join(spans.filter("_n > 1 or _spans > 1"), ["key", "span"]).withColumn(
+    spans = cut(spans.join(per_key, "key").filter("_n > 1 or _spans > 1"))
+    joined = cut(many.join(spans, ["key", "span"]).withColumn(
         "_is_first", F.struct(*[F.struct(F.col(c).isNull(), F.col(c)).alias(c) for c in ("doc", "h", "lo")]) == F.col("_first")))
     repeated = joined.filter("_n > 1")
     if keep_first:
@@ -175,10 +178,14 @@ def repeated_ranges(docs: DataFrame, length: int = 400, keep_first: bool = False
 
     def slice_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
+            rows: list[tuple] = []
             for doc, h, t, rs in zip(b["doc"].array, b["h"].array, b["t"], b["runs"], strict=True):
                 raw = (t or "").encode()
-                rows += [(doc, h, r["key"], r["lo"], r["hi"], r["anchor"], r["n"], raw[r["lo"] : r["hi"] + length]) for r in rs]
+                for r in rs:
+                    rows.append((doc, h, r["key"], r["lo"], r["hi"], r["anchor"], r["n"], raw[r["lo"] : r["hi"] + length]))
+                    if len(rows) == SLICED:
+                        yield pd.DataFrame(rows, columns=["doc", "h", "key", "lo", "hi", "anchor", "n", "bytes"])
+                        rows = []
             if rows:
                 yield pd.DataFrame(rows, columns=["doc", "h", "key", "lo", "hi", "anchor", "n", "bytes"])
 
