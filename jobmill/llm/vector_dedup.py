@@ -194,7 +194,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, key: str = "vec_id",
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = nodes.select("node", "m", "low").join(counts, "node", "left").join(roots, "node", "left").select("node", "low", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
-    lows = known.groupBy("root").agg(F.min("low").alias("component_id"))
+    lows = cut(known.groupBy("root").agg(F.min("low").alias("component_id")))  # so that Spark can split a large component
     known = known.join(lows, "root").select("node", "n_links", "component_id")
     out = rows.select(key, "node").join(known, "node", "left")
     out = out.select(key, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("node").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
