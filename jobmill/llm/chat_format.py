@@ -1,13 +1,18 @@
 """Chat formatting: tool calls linked to their results, ordered, validated, written as canonical JSON."""
 
 import json
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobmill.llm.common import cut, spread_rank
+from jobmill.llm.common import cut, only, spread_rank, without
+
+#: Calls up to which one task orders a conversation.
+LONG = 100_000
 
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
 
@@ -54,12 +59,69 @@ def fault(value: object, schema: dict, at: str = "") -> str | None:
     return None
 
 
+def call_levels(waits: dict[str, list[str]]) -> dict[str, int]:
+    """Level of each call of one conversation: 0 for calls that wait for none, else one more than the highest they wait for.
+
+    Calls on a cycle, or behind one, are absent; references to others are not waited for.
+    """
+    open_, after = {}, {}
+    for call, wait in waits.items():
+        known = {w for w in wait if w in waits}
+        open_[call] = len(known)
+        for w in known:
+            after.setdefault(w, []).append(call)
+    level = {call: 0 for call, n in open_.items() if n == 0}
+    queue = list(level)
+    for call in queue:  # grows while it is read
+        for c in after.get(call, ()):
+            level[c] = max(level.get(c, 0), level[call] + 1)
+            open_[c] -= 1
+            if open_[c] == 0:
+                queue.append(c)
+    return {c: level[c] for c in queue}
+
+
 def levels(calls: DataFrame, conv: str, call_id: str, after: str) -> DataFrame:
-    """(conv, call_id, level): 0 for calls that wait for none, else one more than the highest they wait for.
+    """(conv, call_id, level) of distinct calls, see call_levels.
 
-    One round of joins a level. Calls on a cycle, or behind one, are absent.
-    References to calls that don't exist are not waited for.
+    A conversation of up to LONG calls is ordered in one task, one conversation
+    at a time; longer ones by rounds of joins, one a level.
     """
+    kind = calls.schema[conv].dataType.simpleString()
+    sizes = calls.groupBy(conv).agg(F.count("*").alias("_n"))
+    long_ = cut(sizes.filter(F.col("_n") > LONG).select(conv))
+    short = without(calls.select(conv, call_id, after), long_, [conv])
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows arrive sorted by conversation."""
+        now, waits = None, {}
+
+        def placed() -> list[tuple]:
+            return [(now, call, level) for call, level in call_levels(waits).items()]
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            c, i, n = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, conv_type), pa.array(i, pa.string()), pa.array(n, pa.int32())], names=[conv, call_id, "level"])
+
+        conv_type = None
+        for b in batches:
+            conv_type, rows = b.schema.field(0).type, []
+            for c, i, a in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if c != now:
+                    rows += placed()
+                    now, waits = c, {}
+                waits[i] = a
+            if rows:
+                yield batch(rows)
+        if rows := placed():
+            yield batch(rows)
+
+    done = short.repartition(conv).sortWithinPartitions(conv).mapInArrow(order, f"{conv} {kind}, {call_id} string, level int")
+    return done if long_.isEmpty() else done.unionByName(level_rounds(only(calls, long_, [conv]), conv, call_id, after))
+
+
+def level_rounds(calls: DataFrame, conv: str, call_id: str, after: str) -> DataFrame:
+    """The same by rounds of joins, one a level."""
     ids = cut(calls.select(conv, call_id).distinct())
     edges = calls.select(conv, call_id, F.explode(after).alias("_p")).distinct()
     there = ids.select(F.col(conv).alias("_c"), F.col(call_id).alias("_q"))

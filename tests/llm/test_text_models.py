@@ -116,7 +116,9 @@ def test_toxicity(spark):
 CALLS = "conv_id long, turn int, call_id string, name string, arguments string, after array<string>"
 
 
-def test_tool_calls(spark):
+@pytest.mark.parametrize("long_", [100_000, 0])
+def test_tool_calls(spark, monkeypatch, long_):
+    monkeypatch.setattr(chat_format, "LONG", long_)  # conversations of any length must come out the same
     schemas = {"add": {"required": ["a"], "properties": {"a": {"type": "integer"}, "b": {"type": "array", "items": {"type": "number"}}}, "additionalProperties": False}}
     calls = spark.createDataFrame([
         (1, 0, "x", "add", '{"b":[1,2.5],"a":1}', None), (1, 1, "y", "add", '{"a":"1"}', ["x", "gone"]), (1, 2, "z", "other", "{}", ["y", "x"]), (1, 3, "bad", "add", "{", ["x"]),
