@@ -70,6 +70,20 @@ def test_jaccard_join(spark, monkeypatch, n, percent, small):
     assert jaccard_join.near_duplicates(df.limit(0), n, percent).count() == 0
 
 
+@pytest.mark.parametrize("n, percent, size", [(3, 90, 9), (5, 80, 4), (3, 90, 10), (3, 90, 8), (5, 80, 3), (1, 50, 1), (2, 100, 6)])
+def test_jaccard_join_one_word_longer(spark, n, percent, size):
+    """A set of `size` shingles inside one of a shingle more, and a chain that hangs on such a link."""
+    words = [f"w{i}" for i in range(size + n - 1)]
+    rows = [(1, words), (2, [*words, "behind"]), (3, ["ahead", *[f"v{w}" for w in words]]), (4, [f"v{w}" for w in words]), (5, ["ahead", *words]), (6, [f"u{w}" for w in words])]
+    sets = [shingles(" ".join(w), n) for _, w in rows]
+    assert len(sets[0]) == size and len(sets[1]) == size + 1
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    root = union_find(range(len(rows)), links)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = jaccard_join.near_duplicates(df, n, percent).collect()
+    assert sorted(map(tuple, got)) == [(rows[i][0], len(sets[i]), rows[root[i]][0]) for i in range(len(rows))]
+
+
 @pytest.mark.parametrize("block, leaf", [(512, 128), (16, 4)])
 def test_vector_join(spark, monkeypatch, block, leaf):
     monkeypatch.setattr(vector_dedup, "BLOCK", block)
