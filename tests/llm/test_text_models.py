@@ -161,3 +161,19 @@ def test_pipeline(spark, ranks):
     assert d.columns == docs.columns
     e = P.run(spark, SF)
     assert set(e.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} and e.count() > 50
+
+
+def test_near_copies_by_row(spark):
+    """Ids that repeat or are null: one row of each group stays, and no other row goes with a copy."""
+    import corpus_pipeline as P
+
+    long = {x: " ".join(f"{x}{i}" for i in range(40)) for x in "abcdef"}
+    near = {x: t + f" {x}end" for x, t in long.items()}
+    kept = [(1, long["a"], "k"), (7, long["b"], "k"), (None, long["c"], "k"), (8, long["e"], "k"), (5, long["f"], "k"), (7, "", "k"), (None, None, "k"), (None, None, "k")]
+    gone = [(7, near["a"], "g"), (None, near["a"], "g"), (5, long["f"], "z"), (9, near["e"], "g"), (None, long["f"] + " more", "g")]
+    docs = spark.createDataFrame(kept + gone, "doc_id long, text string, source string").repartition(3)
+    got = [tuple(r) for r in P.drop_near_copies(spark, docs, SF).collect()]
+    assert sorted(got, key=repr) == sorted(kept, key=repr)
+    same = spark.createDataFrame([(3, long["a"], "x"), (3, near["a"], "x"), (None, long["b"], "x"), (None, near["b"], "x")], docs.schema)
+    left = [(r["doc_id"], r["text"][0]) for r in P.drop_near_copies(spark, same, SF).collect()]
+    assert sorted(left, key=repr) == [(3, "a"), (None, "b")]
