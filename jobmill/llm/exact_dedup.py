@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobmill.llm.common import SPACE, cut
+from jobmill.llm.common import SPACE, cut, drop_rows, free, only
 
 #: A chunk runs to the first sentence mark after so many characters, or to the longest length.
 LEAST, MOST = 512, 4096
@@ -14,6 +14,10 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE + "+", "")
 
 
+def chunk_id(chunk: Column) -> Column:
+    return F.unhex(F.md5(chunk.cast("binary")))
+
+
 def verified_chunks(pieces: DataFrame) -> DataFrame:
     """pieces(digest, chunk) to one row per digest: digest, id.
 
@@ -28,43 +32,41 @@ def verified_chunks(pieces: DataFrame) -> DataFrame:
 
 
 def copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per distinct (key, text digest, length) of docs, with its group of copies.
+    """One row per distinct (key, text) of docs, with its group of copies.
 
-    Columns: key, text_sha256, chars, n_rows (rows of docs behind this one),
-    keep_id, keep_chars, group_size (rows of docs in the group), leads (this
+    Columns: key, _h (xxhash64 of the text), text_sha256 (of the normalised
+    text), chars, n_rows (rows of docs behind this one), keep_id, keep_chars, group_size (rows of docs in the group), leads (this
     row is the group's keeper).
 
     Texts are equal when their white space deleted forms are. Each text is cut
     where its content says; its recipe is the ordered list of its chunks'
-    digests. Rows meet by recipe, and the digests of each distinct recipe are
-    looked up among the verified identifiers, so long texts never move as a
-    whole, only each distinct chunk once. Null
-    texts count as empty. The keeper has the most characters before deletion,
-    then the smallest key (null keys last). Repeated rows are one row here with
-    n_rows above 1.
+    identifiers, and rows are compared by recipe. Equal texts have equal
+    recipes, so only texts whose recipe another text has too can be equal:
+    their chunks are deduplicated and compared in full, before an identifier
+    counts. No other text moves. Null texts count as empty. The keeper has the
+    most characters before deletion, then the smallest key (null keys last),
+    then the smallest hash of the text. Repeated rows are one row here with n_rows above 1. Rows of an empty table
+    give none.
     """
-    def recipe(norm: Column) -> Column:
-        return F.transform(F.regexp_extract_all(norm, F.lit(CHUNK), F.lit(0)), lambda c: F.unhex(F.md5(c.cast("binary"))))
-
-    rows = docs.select(F.col(key), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("chars"), normalised(F.col(text)).alias("_norm"))
-    rows = rows.select(key, "chars", F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256"), recipe(F.col("_norm")).alias("recipe"))
-    rows = cut(rows.groupBy(key, "text_sha256", "chars", "recipe").agg(F.count("*").alias("n_rows")))
-    best = F.min(F.struct((-F.col("chars")).alias("neg"), F.col(key).isNull().alias("nul"), F.col(key).alias("k")))
-    groups = rows.groupBy("recipe").agg(best.alias("_best"), F.sum("n_rows").alias("group_size"))
-
-    pieces = docs.select(F.explode(F.regexp_extract_all(normalised(F.col(text)), F.lit(CHUNK), F.lit(0))).alias("chunk"))
-    ids = verified_chunks(pieces.withColumn("digest", F.unhex(F.md5(F.col("chunk").cast("binary")))))
-    # each distinct recipe once: its digests give way to verified identifiers
-    parts = groups.select("recipe", F.posexplode("recipe").alias("pos", "digest")).join(ids, "digest")
-    verified = parts.groupBy("recipe").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
-    groups = groups.join(verified, "recipe", "left").filter((F.size("recipe") == 0) | (F.col("ids") == F.col("recipe"))).drop("ids")
-    groups = cut(groups)  # so that Spark can split a large group of copies
-
-    rows = rows.join(groups, "recipe")
-    return rows.select(
-        key, "text_sha256", "chars", "n_rows", F.col("_best.k").alias("keep_id"), (-F.col("_best.neg")).alias("keep_chars"), "group_size",
-        (F.col(key).eqNullSafe(F.col("_best.k")) & (F.col("chars") == -F.col("_best.neg"))).alias("leads"),
-    )
+    chunks = F.regexp_extract_all("_norm", F.lit(CHUNK), F.lit(0))
+    rows = docs.select(F.col(key), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("chars"), F.xxhash64(text).alias("_h"), normalised(F.col(text)).alias("_norm"))
+    rows = rows.select(key, "chars", "_h", F.unhex(F.sha2(F.col("_norm").cast("binary"), 256)).alias("_sha"), F.transform(chunks, chunk_id).alias("recipe"))
+    rows = cut(rows.groupBy(key, "_sha", "chars", "_h", "recipe").agg(F.count("*").alias("n_rows")))
+
+    # written before the joins, so that Spark can split a large group of copies
+    best = F.min(F.struct((-F.col("chars")).alias("neg"), F.col(key).isNull().alias("nul"), F.col(key).alias("k"), F.col("_h").alias("h")))
+    groups = cut(rows.groupBy("recipe").agg(best.alias("_best"), F.sum("n_rows").alias("group_size")))
+    copied = groups.filter((F.col("group_size") > 1) & (F.size("recipe") > 0)).select("recipe")
+    suspects = cut(rows.join(copied, "recipe").select("_h").distinct())
+    again = only(docs.select(F.xxhash64(text).alias("_h"), F.col(text).alias("_t")), suspects, ["_h"]).select(normalised(F.col("_t")).alias("_norm"))
+    pieces = again.select(F.explode(chunks).alias("chunk")).select(chunk_id(F.col("chunk")).alias("digest"), "chunk")
+    verified_chunks(pieces).agg(F.count("id")).first()  # from here on, digests of copied texts are identifiers
+    free(suspects)
+
+    return rows.join(groups, "recipe").select(
+        key, F.hex("_sha").alias("_sha"), "chars", "n_rows", F.col("_best.k").alias("keep_id"), (-F.col("_best.neg")).alias("keep_chars"), "group_size",
+        (F.col(key).eqNullSafe(F.col("_best.k")) & (F.col("_h") == F.col("_best.h"))).alias("leads"), "_h",
+    ).withColumn("text_sha256", F.lower("_sha")).drop("_sha")
 
 
 def copy_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -74,13 +76,6 @@ def copy_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with all their columns."""
-    lead = copy_groups(docs, key, text).filter("leads").select(F.col(key).alias("_k"), F.col("chars").alias("_c"), F.col("text_sha256").alias("_t"), "n_rows")
-    d = docs.select(
-        F.struct("*").alias("d"), F.col(key).alias("k"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("chars"),
-        F.sha2(normalised(F.col(text)).cast("binary"), 256).alias("sha"),
-    )
-    joined = d.join(lead, d["k"].eqNullSafe(F.col("_k")) & (d["chars"] == F.col("_c")) & (d["sha"] == F.col("_t")))
-    once = joined.filter("n_rows = 1")
-    many = joined.filter("n_rows > 1").dropDuplicates(["k", "chars", "sha"])
-    return once.unionByName(many).select("d.*")
+    """The rows of docs that are kept, with all their columns; of rows that agree in key and text, the smallest by their other columns."""
+    g = copy_groups(docs, key, text).select(F.col(key).alias("k"), F.col("_h").alias("h"), "leads", "n_rows")
+    return drop_rows(docs, key, F.xxhash64(text), cut(g.filter("not leads").select("k", "h")), cut(g.filter("leads and n_rows > 1").select("k", "h")))
