@@ -8,7 +8,7 @@ import pyarrow as pa
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes hashed together.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,20 +35,35 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Ranges:
-    """Hashes of ranges of one byte array, each in a few operations."""
+    """Hashes of ranges of one array of bytes or of 64-bit hashes, each in a few operations."""
 
     def __init__(self, data: np.ndarray):
-        up, self.down = powers(len(data))
-        self.sums = np.zeros(len(data) + 1, np.uint64)
+        self._sum(data if data.dtype == np.uint64 else _VALUES[data])
+
+    def _sum(self, values: np.ndarray) -> None:
+        up, self.down = powers(len(values))
+        self.sums = np.zeros(len(values) + 1, np.uint64)
         with np.errstate(over="ignore"):
-            np.cumsum(_VALUES[data] * up[: len(data)], out=self.sums[1:])
+            np.cumsum(values * up[: len(values)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Hash of bytes start to stop; equal bytes have equal hashes wherever they stand."""
+        """Hash of what stands from start to stop; equal ranges have equal hashes wherever they stand."""
         with np.errstate(over="ignore"):
             return mix((self.sums[stop] - self.sums[start]) * self.down[start] + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+class GramRanges(Ranges):
+    """The same for ranges of at least 8 bytes, made of the mixed 8 bytes at each position, so that no periodic or mirrored text is special."""
+
+    def __init__(self, data: np.ndarray):
+        data = np.ascontiguousarray(data)
+        at_each = np.ndarray((max(0, len(data) - 7),), np.dtype("<u8"), data, strides=(1,)) if len(data) >= 8 else np.zeros(0, np.uint64)
+        self._sum(mix(at_each ^ np.uint64(_BASE)))
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return super().of(start, stop - 7)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; nulls are empty."""
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

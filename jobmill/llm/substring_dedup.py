@@ -16,18 +16,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobmill.llm.bytes64 import Ranges, groups, utf8
+from jobmill.llm.bytes64 import GramRanges, groups, utf8
 from jobmill.llm.common import cut, only
+from jobmill.llm.passages import shared_passages
 
+#: Words that a passage must exceed to be reported, whatever its bytes.
+PASSAGE = 50
 #: Bytes whose hash chooses anchors.
 GRAM = 16
 #: Bytes of suffixes sorted together, bytes of one anchor's stretches beyond which it is divided first.
-SORTED = 2 << 20
-LARGE = 1 << 20
+SORTED = 1 << 19
+LARGE = 1 << 18
 #: Stretches handed on at a time.
 SLICED = 5_000
 #: A slice of a very long text, which slices overlap so that no window is lost.
-LONG = 1 << 21
+LONG = 1 << 19
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -51,7 +54,7 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str,
     half = length // 2
     if len(data) < length:
         return None
-    h = Ranges(data)
+    h = GramRanges(data)
     at = np.arange(len(data) - GRAM + 1)
     gram = h.of(at, at + GRAM)
     packed = ((gram >> np.uint64(32)) << np.uint64(32)) | at.astype(np.uint64)
@@ -88,29 +91,57 @@ def repeated_starts(data: np.ndarray, starts: np.ndarray, order: np.ndarray, len
 
     Starts are sorted as suffixes; blocks of bytes compare by their 64-bit
     hashes instead of letter by letter, first the block at the start, then the
-    one that ends the window. Suffixes that agree on the window are neighbours
-    in this order as in the alphabetical one, and that is all that is asked of
-    it. The previous and next smaller ``order`` in that sequence give the
-    longest previous factor; it reaches ``length`` just when one of them lies
-    within the stretch of neighbours that agree on so many bytes, that is, when
-    the start isn't the stretch's smallest.
+    one that ends the window, then ``order`` itself: no more of the suffixes is
+    asked for. The longest previous factor of a start is its longest agreement
+    with the previous or next smaller ``order`` in that sequence. Where
+    suffixes agree on the window they stand together and in order, so the
+    previous smaller one is the left neighbour, the next smaller one agrees on
+    less, and the factor, counted up to ``length``, is ``length`` or less. All
+    agreement is checked on the bytes.
     """
-    h = Ranges(data)
+    h = GramRanges(data)
     block = length - length // 3
     a, b = h.of(starts, starts + block), h.of(starts + length - block, starts + length)
-    suffix = np.lexsort((b, a))
-    a, b = a[suffix], b[suffix]
-    new = np.ones(len(starts), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    edges = np.flatnonzero(new)
-    stretch = np.cumsum(new) - 1
-    own = order[suffix]
+    while True:
+        suffix = np.lexsort((order, b, a))
+        x, y = a[suffix], b[suffix]
+        agrees = np.zeros(len(starts), bool)  # with the previous smaller
+        agrees[1:] = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+        at = np.flatnonzero(agrees)
+        false = at[~same_bytes(data, starts[suffix[at - 1]], starts[suffix[at]], length)]
+        if not len(false):
+            break
+        # hashes that agree by chance: their windows are told apart by their bytes
+        raw, names = data.tobytes(), {}
+        for k in np.flatnonzero(np.isin(a, x[false]) & np.isin(b, y[false])).tolist():
+            b[k] ^= np.uint64(names.setdefault(raw[starts[k] : starts[k] + length], len(names)) << 32 | 1)
     earlier, later = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
-    earlier[suffix] = own > np.minimum.reduceat(own, edges)[stretch]
-    later[suffix] = own < np.maximum.reduceat(own, edges)[stretch]
+    earlier[suffix[at]] = True
+    later[suffix[at - 1]] = True
     return earlier, later
 
 
+def same_bytes(data: np.ndarray, p: np.ndarray, q: np.ndarray, length: int) -> np.ndarray:
+    """Whether the windows at p and q hold the same bytes. A pair one byte behind another pair needs a look at the last byte only."""
+    order = np.lexsort((p, q - p))
+    p, q = p[order], q[order]
+    follows = np.zeros(len(p), bool)
+    follows[1:] = (p[1:] == p[:-1] + 1) & (q[1:] == q[:-1] + 1)
+    good = data[p + length - 1] == data[q + length - 1]
+    whole = np.flatnonzero(~follows)
+    for i in range(0, len(whole), 1024):
+        k = whole[i : i + 1024]
+        span = np.arange(length)
+        good[k] = (data[p[k][:, None] + span] == data[q[k][:, None] + span]).all(axis=1)
+    # a pair holds if its run of followers holds so far
+    run = np.cumsum(~follows) - 1
+    broken = np.cumsum(~good)
+    before = broken[whole] - ~good[whole]
+    out = np.zeros(len(p), bool)
+    out[order] = broken - before[run] == 0 if len(p) else False
+    return out
+
+
 def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last index of each run of true values."""
     edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
@@ -286,7 +317,7 @@ def divide(length: int, width: int):
             rows = []
             for r in b.itertuples(index=False):
                 raw, at, end = r.bytes, r.lo, r.hi
-                h = Ranges(np.frombuffer(raw, np.uint8))
+                h = GramRanges(np.frombuffer(raw, np.uint8))
                 while at <= end:
                     cell = (at - r.anchor) // width
                     stop = min(end, r.anchor + (cell + 1) * width - 1)
@@ -315,12 +346,13 @@ def cut_out(raw: bytes, ranges: list) -> tuple[bytes, int, int]:
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: key, n_bytes, n_removed, n_spans, kept_sha256.
+    """One row per row of docs: key, n_bytes, n_removed, n_spans, kept_sha256, shares_passage.
 
     Each byte that a repeated window of ``length`` bytes covers is removed (see
     repeated_ranges). Null texts count as empty; texts shorter than the window
     lose nothing; repeated rows repeat each other. Texts without a repeat are
-    not moved at all.
+    not moved at all. shares_passage: 1 if a passage of over PASSAGE words
+    stands in another text too, however few bytes it has, else 0 (see passages).
     """
     kind = docs.schema[key].dataType.simpleString()
     ranges = repeated_ranges(docs, length, keep_first, key, text)
@@ -338,6 +370,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = False,
     done = joined.mapInPandas(rewrite, f"doc {kind}, h long, n_removed long, n_spans long, kept string")
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key), F.xxhash64(text).alias("_h"), F.octet_length(whole).cast("long").alias("n_bytes"), F.sha2(whole.cast("binary"), 256).alias("_sha"))
+    shares = shared_passages(docs, PASSAGE + 1, key, text).select(F.col("doc").alias("_pd"), F.col("h").alias("_ph"), F.lit(1).alias("_shares"))
+    rows = rows.join(shares, rows[key].eqNullSafe(shares["_pd"]) & (rows["_h"] == shares["_ph"]), "left").drop("_pd", "_ph")
     out = rows.join(done, rows[key].eqNullSafe(done["doc"]) & (rows["_h"] == done["h"]), "left")
     zero = F.lit(0).cast("long")
-    return out.select(key, "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "_sha").alias("kept_sha256"))
+    return out.select(key, "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "_sha").alias("kept_sha256"), F.coalesce("_shares", F.lit(0)).alias("shares_passage"))

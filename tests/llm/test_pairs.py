@@ -1,5 +1,6 @@
 """Jaccard join, vector join, repeated strings and components against brute force."""
 
+import functools
 import hashlib
 import random
 import re
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobmill.llm import jaccard_join, substring_dedup, vector_dedup
+from jobmill.llm import passages as passages_
 from jobmill.llm.components import components
 
 CLASH = ("node", "doc", "t", "h", "n", "window", "key", "span", "label2", "m", "v")
@@ -124,10 +126,44 @@ def brute_repeats(rows, length, first):
                 mark[i : i + length] = b"\1" * length
             seen.add(w)
         kept = bytes(x for x, m in zip(b, mark, strict=True) if not m)
-        out.append((d, len(b), sum(mark), sum(1 for i in range(len(mark)) if mark[i] and not (i and mark[i - 1])), hashlib.sha256(kept).hexdigest()))
+        out.append((d, len(b), sum(mark), sum(1 for i in range(len(mark)) if mark[i] and not (i and mark[i - 1])), hashlib.sha256(kept).hexdigest(), int((d, t) in brute_passages(tuple(rows), 51))))
     return Counter(out)
 
 
+@functools.cache
+def brute_passages(rows, length):
+    """Rows of over 50 words in a row that a row with another key or text holds too."""
+    holders = {}
+    for d, t in rows:
+        w = re.sub("[A-Z]+", lambda m: m[0].lower(), t or "").split()
+        for i in range(len(w) - length + 1):
+            holders.setdefault(tuple(w[i : i + length]), set()).add((d, t))
+    return {r for h in holders.values() if len(h) > 1 for r in h}
+
+
+def test_shared_passages(spark):
+    """Passages of 49 to 60 words, inside other text, at its ends, in repeated rows, and of one word over and over."""
+    rng = random.Random(8)
+
+    def words(n):
+        return [f"{rng.choice('abcdefg')}{rng.randrange(3000)}" for _ in range(n)]
+
+    passages = [words(n) for n in (49, 50, 51, 52, 60, 200)]
+    rows = [(i, " ".join(words(rng.randrange(40)) + passages[i % 6] + words(rng.randrange(40)))) for i in range(40)]
+    rows += [(100 + i, " ".join(words(300))) for i in range(10)] + [(200, "na " * 70), (201, "na " * 51), (202, "la " * 80), (202, "la " * 80), (203, "ha " * 60), (203, "Ha " * 60), (None, None), (None, ""), (204, " ".join(passages[5][:51])), (205, " ".join(passages[5][:50]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumns({c: F.lit(1) for c in (*CLASH, "row")})
+    got = {r["doc"] for r in passages_.shared_passages(df, 51).collect()}
+    want = {d for d, _ in brute_passages(tuple(rows), 51)}
+    assert got == want and {200, 201, 203, 204} <= want and not {202, 205} & want
+    assert passages_.shared_passages(df.limit(0), 51).count() == 0
+
+
+def test_windows_whose_hashes_agree_by_chance(monkeypatch):
+    """Removal is decided on bytes: with a hash that says nothing, the result is the same."""
+    monkeypatch.setattr(substring_dedup.GramRanges, "of", lambda self, start, stop: np.zeros(len(start), np.uint64))
+    test_suffix_order_of_windows()
+
+
 @pytest.mark.parametrize("length, large, first", [(400, 1 << 20, False), (400, 3000, False), (100, 1 << 20, True)])
 def test_repeats(spark, monkeypatch, length, large, first):
     monkeypatch.setattr(substring_dedup, "LARGE", large)
