@@ -10,18 +10,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobmill.llm.common import cut
+from jobmill.llm.common import cut, few, free
 
 #: Labelled documents from which the model is learned at most: an even sample by a hash of the id.
 SAMPLE = 20_000
-#: Candidate terms that the driver gets at most, and terms of the lexicon at most.
-CANDIDATES, TERMS = 5_000, 2_000
+#: Terms of the lexicon at most, those with the strongest evidence; the model is broadcast.
+TERMS = 2_000
+#: An edit leaves so much of a term's weight, until the sample shows misspellings of the term.
+EDIT = 0.85
+#: What a quoted hit weighs before the sample says otherwise, and at least, as a share of one that is not quoted.
+QUOTED, LEAST_QUOTED = 0.5, 0.1
 #: Beginnings of words that may be terms themselves, whatever follows them.
 STEM_LENGTHS = range(4, 8)
 #: Words on either side of a hit that decide whether it is quoted.
 WINDOW = 4
 #: Words a Python worker keeps at most with what they match; beyond it starts anew.
-KEPT = 400_000
+KEPT = 150_000
 
 #: Quotation marks, and words that report what somebody else said.
 QUOTES = frozenset("\"'“”„«»‘’‚‹›`")
@@ -125,15 +129,15 @@ def features_of(text: str | None) -> set[str]:
 @dataclass
 class Model:
     lexicon: Lexicon
-    weights: dict[tuple[str, bool], float]  # by term and whether it is misspelled
+    weights: dict[tuple[str, int], float]  # by term and edits
     coefficients: list[float] = field(default_factory=lambda: [-2.0, 1.0, 0.0])
     kept: dict[str, tuple[str, int] | None] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"kept": {}}
 
-    def hits(self, text: str | None) -> list[tuple[str, bool, bool]]:
-        """Term, misspelled, quoted, for each word that matches."""
+    def hits(self, text: str | None) -> list[tuple[str, int, bool]]:
+        """Term, edits, quoted, for each word that matches."""
         words = (text or "").split()
         kept, every = self.kept, set(words)
         new = [w for w in every if w not in kept]
@@ -147,14 +151,14 @@ class Model:
         out = []
         for i, w in enumerate(words):
             if m := kept[w]:
-                out.append((m[0], m[1] > 0, is_quoted(words, i)))
+                out.append((*m, is_quoted(words, i)))
         return out
 
-    def inputs(self, hits: list[tuple[str, bool, bool]]) -> tuple[float, float]:
+    def inputs(self, hits: list[tuple[str, int, bool]]) -> tuple[float, float]:
         """Logarithms of the weight of hits that abuse and of hits that are quoted."""
         sums = [0.0, 0.0]
-        for term, fuzzy, quoted in hits:
-            sums[quoted] += self.weights.get((term, fuzzy), 0.0)
+        for term, edits, quoted in hits:
+            sums[quoted] += self.weights.get((term, edits), 0.0)
         return math.log1p(sums[0]), math.log1p(sums[1])
 
     def score(self, text: str | None) -> float:
@@ -184,7 +188,7 @@ def _counts(rows: DataFrame, wanted: frozenset | None) -> DataFrame:
             for t in b["text"]:
                 f = features_of(t)
                 n.update(f if wanted is None else f & wanted)
-                if len(n) > 1_000_000:
+                if len(n) > 200_000:
                     yield pd.DataFrame({"feature": np.array(list(n), object), "n": np.array(list(n.values()), np.int64)})
                     n.clear()
         yield pd.DataFrame({"feature": np.array(list(n), object), "n": np.array(list(n.values()), np.int64)})
@@ -211,9 +215,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 4
 
     At most about ``sample`` labelled rows are used, whole texts, chosen by a
     hash of the key. A term must occur in ``least`` toxic documents, ten times
-    as often as in clean ones, and beyond chance; a misspelling counts for a
-    term only if clean documents do not hold such words. The driver gets at
-    most CANDIDATES counts and the hits of the sample.
+    as often as in clean ones, and beyond chance; features are counted and
+    tested by Spark, and the driver gets the TERMS best. A word with k edits has
+    EDIT ** k of its term's weight, unless the sample holds words as far from
+    the term: then what they show. A quoted hit has QUOTED of the weight, moved
+    by the quoted hits of the sample.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("y"))
     total = known.count()
@@ -223,20 +229,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 4
     rows = cut(docs.select(key, F.col(text).alias("text")).join(F.broadcast(known), key).select("text", "y"))
     sizes = {r["y"] > 0: r["n"] for r in rows.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     n_t, n_c = sizes.get(True, 0), sizes.get(False, 0)
-    toxic = _counts(rows.filter("y > 0"), None).filter(F.col("n") >= max(least, int(0.003 * n_t))).orderBy(F.desc("n"), "feature").limit(CANDIDATES)
-    t = {r["feature"]: r["n"] for r in toxic.collect()}
-    c = {r["feature"]: r["n"] for r in _counts(rows.filter("y <= 0"), frozenset(t)).collect()}
-
-    def good(f: str) -> bool:
-        a, b = t[f], c.get(f, 0)
-        mean = (a + b) / max(1, n_t + n_c)
-        g = 2 * (a * math.log(a / (mean * n_t)) + (b * math.log(b / (mean * n_c)) if b else 0))
-        return _strength(a, n_t, b, n_c) >= math.log(10) and g >= 22
-
-    strong = sorted(filter(good, t), key=lambda f: (-t[f], f))[:TERMS]
-    stems = {f[:-1] for f in strong if f.endswith("*")}
+    toxic = cut(_counts(rows.filter("y > 0"), None).filter(F.col("n") >= max(least, int(0.003 * n_t))))
+    # a small set of features is sent to where clean documents are counted; a large one meets all their features in a join
+    wanted = frozenset(r["feature"] for r in toxic.select("feature").collect()) if few(toxic) else None
+    both = toxic.withColumnRenamed("n", "a").join(_counts(rows.filter("y <= 0"), wanted).withColumnRenamed("n", "b"), "feature", "left").fillna(0, "b")
+    mean = (F.col("a") + F.col("b")) / max(1, n_t + n_c)
+    evidence = 2 * (F.col("a") * F.ln(F.col("a") / (mean * n_t)) + F.when(F.col("b") > 0, F.col("b") * F.ln(F.col("b") / (mean * n_c))).otherwise(0.0))
+    often = ((F.col("a") + 0.5) / (n_t + 1)) / ((F.col("b") + 0.5) / (n_c + 1)) >= 10
+    best = both.withColumn("g", evidence).filter(often & (F.col("g") >= 22)).orderBy(F.desc("g"), "feature").limit(TERMS)
+    t = {r["feature"]: r["a"] for r in best.collect()}
+    stems = {f[:-1] for f in t if f.endswith("*")}
     stems = {s for s in stems if not any(s[:n] in stems for n in range(STEM_LENGTHS.start, len(s)))}
-    words = {f for f in strong if not f.endswith("*")}
+    words = {f for f in t if not f.endswith("*")}
     # a whole word explains its beginnings: keep a stem only if it says more than the words that begin with it
     stems = {s for s in stems if t[s + "*"] > 1.2 * max((t[w] for w in words if w.startswith(s) and w != s), default=0)}
     lexicon = Lexicon({w: edits_allowed(w) for w in words}, stems)
@@ -245,29 +249,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 4
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [probe.hits(x) for x in b["text"]]
-            yield pd.DataFrame({"y": b["y"], "term": [[h[0] for h in f] for f in found], "fuzzy": [[h[1] for h in f] for f in found], "quoted": [[h[2] for h in f] for f in found]})
+            yield pd.DataFrame({"y": b["y"], "term": [[h[0] for h in f] for f in found], "edits": [[h[1] for h in f] for f in found], "quoted": [[h[2] for h in f] for f in found]})
 
-    seen = rows.select("text", F.col("y").cast("int").alias("y")).mapInPandas(find, "y int, term array<string>, fuzzy array<boolean>, quoted array<boolean>").collect()
+    seen = rows.select("text", F.col("y").cast("int").alias("y")).mapInPandas(find, "y int, term array<string>, edits array<int>, quoted array<boolean>").collect()
+    free(rows, toxic)
     of = {True: Counter(), False: Counter()}
     for r in seen:
-        of[r["y"] > 0].update(set(zip(r["term"], r["fuzzy"], strict=True)))
-    clean_fuzzy = sum(n for (_, fuzzy), n in of[False].items() if fuzzy)
-    pooled = _strength(sum(n for (_, fuzzy), n in of[True].items() if fuzzy), n_t, clean_fuzzy, n_c)
+        of[r["y"] > 0].update(set(zip(r["term"], r["edits"], strict=True)))
     weights = {}
     for term in {*words, *(s + "*" for s in stems)}:
-        for fuzzy in (False, True):
-            a, b = of[True][(term, fuzzy)], of[False][(term, fuzzy)]
-            # a misspelling never seen in either class has the strength of all misspellings together
-            s = _strength(a, n_t, b, n_c) if a + b or not fuzzy else pooled
+        exact = _strength(of[True][(term, 0)], n_t, of[False][(term, 0)], n_c)
+        for k in range(lexicon.terms.get(term, 0) + 1):
+            a, b = of[True][(term, k)], of[False][(term, k)]
+            s = exact * EDIT**k
+            if k and a + b:
+                s = min(s, _strength(a, n_t, b, n_c))
             if s > math.log(5):
-                weights[(term, fuzzy)] = s
+                weights[(term, k)] = s
     model = Model(lexicon, weights)
-    x = np.array([model.inputs(list(zip(r["term"], r["fuzzy"], r["quoted"], strict=True))) for r in seen]).reshape(-1, 2)
+    x = np.array([model.inputs(list(zip(r["term"], r["edits"], r["quoted"], strict=True))) for r in seen]).reshape(-1, 2)
     y = np.array([float(r["y"] > 0) for r in seen])
     if 0 < y.sum() < len(y):
-        b = _logistic(x, y)
-        # a quoted hit never weighs more than one that isn't
-        model.coefficients = [float(b[0]), max(0.0, float(b[1]), float(b[2])), float(b[2])]
+        # the second coefficient says how far quoted hits depart from their share; without any it is 0
+        b = _logistic(np.column_stack([x[:, 0] + QUOTED * x[:, 1], x[:, 1]]), y)
+        plain = max(0.0, float(b[1]))
+        model.coefficients = [float(b[0]), plain, min(plain, max(LEAST_QUOTED * plain, QUOTED * plain + float(b[2])))]
     return model
 
 
