@@ -14,6 +14,9 @@ from jobmill.llm.common import cut, only, spread_rank, without
 #: Calls up to which one task orders a conversation.
 LONG = 100_000
 
+#: Keywords of a schema that count; titles and the like that decide nothing are let through, any other stops the job.
+_KEYWORDS = {"type", "enum", "minimum", "maximum", "minLength", "maxLength", "required", "properties", "additionalProperties", "items"}
+_NOTES = {"title", "description", "default", "examples", "$comment"}
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
 
 
@@ -59,6 +62,16 @@ def fault(value: object, schema: dict, at: str = "") -> str | None:
     return None
 
 
+def check_schema(schema: dict, at: str = "") -> None:
+    """Raises ValueError where a schema holds a keyword that fault does not know."""
+    if strange := set(schema) - _KEYWORDS - _NOTES:
+        raise ValueError(f"unknown schema keywords at {at or '.'}: {sorted(strange)}")
+    for name, part in {**schema.get("properties", {}), **({"[]": schema["items"]} if "items" in schema else {})}.items():
+        check_schema(part, f"{at}.{name}")
+    if schema.get("additionalProperties", False) not in (True, False):
+        raise ValueError(f"additionalProperties at {at or '.'} must be true or false")
+
+
 def call_levels(waits: dict[str, list[str]]) -> dict[str, int]:
     """Level of each call of one conversation: 0 for calls that wait for none, else one more than the highest they wait for.
 
@@ -171,7 +184,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     lv = levels(c, conv, "call_id", "after").select(F.col(conv).alias("_c"), F.col("call_id").alias("_i"), "level")
     both = both.join(lv, both[conv].eqNullSafe(lv["_c"]) & (both["call_id"] == lv["_i"]), "left").drop("_c", "_i")
 
-    known = {name: schema for name, schema in schemas.items()}
+    known = dict(schemas)
+    for name, schema in known.items():
+        check_schema(schema, name)
 
     @F.pandas_udf("valid boolean, error string, record string")
     def written(i: pd.Series, name: pd.Series, arguments: pd.Series, after: pd.Series, content: pd.Series, n: pd.Series) -> pd.DataFrame:
@@ -211,7 +226,9 @@ def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A user turn calls ``ask``, a system turn ``configure``, with the text and
     its number of words as arguments; either waits for the two turns before it.
-    An assistant turn is the result of the turn before it.
+    An assistant turn is the result of the turn before it. Turns of any other
+    role, null too, are neither and are left out; of turns that repeat, both are
+    given on, and a null text has no words and null as its argument.
     """
     def name(turn: F.Column) -> F.Column:
         return F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), turn.cast("string"))

@@ -28,47 +28,77 @@ def letters(text: str | None) -> str:
     return f" {t} " if t else ""
 
 
+def grams(codes: np.ndarray, n: int) -> np.ndarray:
+    """Bucket of the n-gram that begins at each code point but the last n - 1."""
+    m = max(0, len(codes) - n + 1)
+    h = np.full(m, n * 0x27D4EB2F & 0xFFFFFFFF, np.uint32)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            h = (h ^ codes[k : k + m]) * _factors[1]
+            h ^= h >> np.uint32(15)
+        h *= _factors[2]
+    return (h >> np.uint32(16)).astype(np.int64) % BUCKETS
+
+
 def bucket_counts(t: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the text's n-grams and how often each occurs."""
-    codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-    total: np.ndarray | None = None
+    codes = _codes(t)
+    total = np.zeros(BUCKETS, np.int64)
     for at in range(0, len(codes), SLICE):
-        parts = []
         for n in LENGTHS:
-            c = codes[at : at + SLICE + n - 1]
-            m = len(c) - n + 1
-            if m <= 0:
-                continue
-            h = np.full(m, n * 0x27D4EB2F & 0xFFFFFFFF, np.uint32)
-            with np.errstate(over="ignore"):
-                for k in range(n):
-                    h = (h ^ c[k : k + m]) * _factors[1]
-                    h ^= h >> np.uint32(15)
-                h *= _factors[2]
-            parts.append((h >> np.uint32(16)).astype(np.int64) % BUCKETS)
-        x = np.bincount(np.concatenate(parts), minlength=BUCKETS) if parts else np.zeros(BUCKETS, np.int64)
-        total = x if total is None else total + x
-    if total is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            total += np.bincount(grams(codes[at : at + SLICE + n - 1], n), minlength=BUCKETS)
     at = np.flatnonzero(total)
     return at, total[at]
 
 
+def _codes(t: str) -> np.ndarray:
+    return np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 @dataclass
 class Model:
     languages: list[str]
     log_p: np.ndarray  # buckets x languages
     log_prior: np.ndarray
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language and its share of the likelihood."""
-        t = letters(text)
-        if not t or not self.languages:
-            return UNKNOWN, 0.0
-        at, n = bucket_counts(t)
-        s = n @ self.log_p[at] + self.log_prior
-        best = int(np.argmax(s))
-        return self.languages[best], float(1 / np.exp(np.clip(s - s[best], -700, 0)).sum())
+    def _sums(self, texts: list[str]) -> np.ndarray:
+        """Row of n-gram counts times log_p for each text: all n-grams of all texts are hashed at once and summed by text."""
+        codes = _codes("".join(texts))
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        begin = np.cumsum(size) - size
+        row = np.repeat(np.arange(len(texts)), size)
+        out = np.zeros((len(texts), len(self.languages)))
+        for n in LENGTHS:
+            s = self.log_p[grams(codes, n)]
+            s[row[: len(s)] != row[n - 1 :]] = 0  # no n-gram reaches into the next text
+            filled = begin < len(s)
+            out[filled] += np.add.reduceat(s, begin[filled], axis=0)
+        return out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The likeliest language of each text and its share of the likelihood."""
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        held, size = [], 0
+
+        def settle(rows: list[int], sums: np.ndarray) -> None:
+            s = sums + self.log_prior
+            best = s.argmax(axis=1)
+            share = 1 / np.exp(np.clip(s - s.max(axis=1, keepdims=True), -700, 0)).sum(axis=1)
+            for i, k, p in zip(rows, best.tolist(), share.tolist(), strict=True):
+                out[i] = self.languages[k], p
+
+        for i, text in enumerate(texts if self.languages else []):
+            t = letters(text)
+            if len(t) > SLICE:  # alone, by its counts
+                at, n = bucket_counts(t)
+                settle([i], (n @ self.log_p[at])[None, :])
+            elif t:
+                held.append((i, t))
+                size += len(t)
+            if held and (size > SLICE or i == len(texts) - 1):
+                settle([k for k, _ in held], self._sums([x for _, x in held]))
+                held, size = [], 0
+        return out
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, smoothing: float = 0.1, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
@@ -120,7 +150,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double")
     def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame(shared.value.predict(list(texts)), columns=["lang_pred", "score"])
 
     found = docs.select(F.struct("*").alias("d"), of(F.col(text)).alias("p"))
     return found.select(*[F.col("d")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score")], "p.lang_pred", "p.score")
