@@ -18,10 +18,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Pre-tokens with their ids that a Python worker keeps at most; beyond it starts anew.
-KEPT = 400_000
+#: Pre-tokens with their ids that a task keeps: so many of late, and as many from before, of which those met again are kept on.
+KEPT = 80_000
 #: Characters of texts whose new pre-tokens are looked up together.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -132,12 +132,13 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Codec:
-    """Encodes and decodes texts; one per Python worker."""
+    """Encodes and decodes texts; one per partition, so that workers keep nothing for later stages."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, whole: PerfectHash):
         self.ranks, self.whole = ranks, whole
         self.split = regex.compile(pattern).findall
         self.seen: dict[str, str] = {}
+        self.before: dict[str, str] = {}
         self.bytes_of = {str(rank): token for token, rank in ranks.items()}
 
     def learn(self, new: list[str]) -> None:
@@ -155,12 +156,12 @@ class Codec:
                 part.append(self.split(texts[at]))
                 size += len(texts[at])
                 at += 1
-            seen = self.seen
+            if len(self.seen) > KEPT:
+                self.before, self.seen = self.seen, {}
+            seen, before = self.seen, self.before
             new = [p for p in set().union(*part) if p not in seen]
-            if len(seen) + len(new) > KEPT:
-                seen.clear()
-                new = list(set().union(*part))
-            if new:
+            seen.update((p, before[p]) for p in new if p in before)
+            if new := [p for p in new if p not in seen]:
                 self.learn(new)
             for pieces in part:
                 yield " ".join(map(seen.__getitem__, pieces))
@@ -169,16 +170,6 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(" "))) if ids else b""
 
 
-_last: list = [None, None]  # what the worker's codec was made from, and the codec
-
-
-def codec(shared: Broadcast) -> Codec:
-    """The worker's codec for a broadcast of what Codec takes."""
-    if _last[0] is not shared.value:
-        _last[:] = shared.value, Codec(*shared.value)
-    return _last[1]
-
-
 def share(spark: SparkSession, path: str, pattern: str) -> Broadcast:
     """Reads the ranks, builds the perfect hash once on the driver and broadcasts both: their size is the file's."""
     ranks = load_ranks(path)
@@ -190,8 +181,10 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     shared = share(docs.sparkSession, path, pattern)
 
     @F.pandas_udf("array<int>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.array(s.split(" "), np.int32) if s else np.zeros(0, np.int32) for s in codec(shared).encode([t or "" for t in texts])], dtype=object)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        c = Codec(*shared.value)
+        for texts in batches:
+            yield pd.Series([np.array(s.split(" "), np.int32) if s else np.zeros(0, np.int32) for s in c.encode([t or "" for t in texts])], dtype=object)
 
     return docs.select(key, of(F.col(text)).alias("ids"))
 
@@ -217,13 +210,14 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     shared = share(docs.sparkSession, path, pattern)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        c = codec(shared)
-        n, of_ids, of_text = [], [], []
-        for ids in c.encode([t or "" for t in texts]):
-            n.append(ids.count(" ") + 1 if ids else 0)
-            of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
-            of_text.append(hashlib.sha256(c.decode(ids)).hexdigest())
-        return pd.DataFrame({"n_tokens": np.array(n, np.int64), "ids_sha256": np.array(of_ids, object), "decoded_sha256": np.array(of_text, object)})
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        c = Codec(*shared.value)
+        for texts in batches:
+            n, of_ids, of_text = [], [], []
+            for ids in c.encode([t or "" for t in texts]):
+                n.append(ids.count(" ") + 1 if ids else 0)
+                of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
+                of_text.append(hashlib.sha256(c.decode(ids)).hexdigest())
+            yield pd.DataFrame({"n_tokens": np.array(n, np.int64), "ids_sha256": np.array(of_ids, object), "decoded_sha256": np.array(of_text, object)})
 
     return docs.select(key, of(F.col(text)).alias("d")).select(key, "d.*")

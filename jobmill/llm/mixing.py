@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobmill.llm.common import WORD, cut, spread_rank
+from jobmill.llm.common import WORD, cut, few, spread_rank
 
 #: Documents of one size class are numbered within so many hash ranges.
 RANGES = 256
@@ -95,7 +95,8 @@ def mixed_documents(docs: DataFrame, weights: list[int], cap: float = 3.0, seed:
     Rows that agree in key, source and size share the copies of all of them.
     """
     taken = mix(docs, weights, cap, seed, key, text, source).groupBy(key, "source", "size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    taken = taken.filter("_copies > 0").select(F.col(key).alias("_k"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_copies", "_rows")
+    taken = cut(taken.filter("_copies > 0").select(F.col(key).alias("_k"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_copies", "_rows"))
+    taken = F.broadcast(taken) if few(taken) else taken  # so that texts of a small mix don't move
     d = docs.select(F.struct("*").alias("d"), F.col(key).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(text).alias("hash"))
     joined = d.join(taken, d["key"].eqNullSafe(F.col("_k")) & d["source"].eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
     once = joined.filter("_rows = 1").withColumn("_times", F.col("_copies"))

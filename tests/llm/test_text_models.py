@@ -2,7 +2,10 @@
 
 import hashlib
 import json
+import math
 import random
+import zlib
+from collections import Counter
 
 import pytest
 
@@ -71,6 +74,53 @@ def test_language(spark):
     assert language.predict(odd, empty).first()["lang_pred"] == "und" and language.predict(odd.limit(0), model).count() == 0
 
 
+def test_language_scores_by_hand(spark):
+    """The registered query against multinomial naive Bayes in plain Python, n-gram by n-gram."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = docs.collect()
+    crc = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 4 for r in rows}
+
+    def buckets(t):
+        t = language.letters(t)
+        codes = language._codes(t)
+        return [int(language.grams(codes[i : i + n], n)[0]) for n in language.LENGTHS for i in range(len(codes) - n + 1)]
+
+    rows = [r for r in rows if r["text"] is not None and len(r["text"]) < 4000]
+    short = docs.filter("length(text) < 4000")
+    counts, n = {}, Counter()
+    for r in rows:
+        if crc[r["doc_id"]] != 2 and r["lang"] is not None and language.letters(r["text"]):
+            counts.setdefault(r["lang"], Counter()).update(buckets(r["text"]))
+            n[r["lang"]] += 1
+    model = language.fit(short.filter(fold(F.col("doc_id"), 4) != 2))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(short, model).collect()}
+    size = {g: sum(c.values()) for g, c in counts.items()}
+    for r in rows[:60]:
+        seen = Counter(buckets(r["text"]))
+        if not seen:
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        s = {g: math.log(n[g] / sum(n.values())) + sum(k * math.log((counts[g][b] + 0.1) / (size[g] + 0.1 * language.BUCKETS)) for b, k in seen.items()) for g in counts}
+        best = max(s, key=s.get)
+        assert got[r["doc_id"]][0] == best and got[r["doc_id"]][1] == pytest.approx(1 / sum(math.exp(x - s[best]) for x in s.values()), abs=1e-6)
+
+
+def test_unknown_schema_keywords_stop():
+    chat_format.check_schema(chat_format.SCHEMAS["ask"])
+    with pytest.raises(ValueError, match="pattern"):
+        chat_format.check_schema({"properties": {"a": {"type": "string", "pattern": "x"}}})
+
+
+def test_encode_whole_table_as_tiktoken(spark, ranks):
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = own.encode_ordinary(r["text"] or "")
+        want[r["doc_id"]] = len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest()
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in q.op5_byte_bpe(spark, SF).collect()}
+    assert got == want
+
+
 def test_automaton_accepts_what_edit_distance_does():
     rng = random.Random(2)
 
@@ -113,6 +163,53 @@ def test_toxicity(spark):
     assert toxicity.score(odd, none).filter("predicted = 1").count() == 0 and toxicity.score(odd.limit(0), model).count() == 0
 
 
+def test_toxicity_misspelled_and_quoted(spark):
+    """Every term of the lexicon learned at sf0.01, with one letter doubled, scores above clean text; quoted, between plain and none."""
+    sf = SF.replace("0.001", "0.01")
+    model = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    clean = model.score("a fine day")
+    assert len(model.lexicon.terms) >= 5
+    for term, k in model.lexicon.terms.items():
+        if k and (term, 0) in model.weights and (term, 1) in model.weights:
+            assert clean < model.score(f"you {term[:2]}{term[1:]}") <= model.score(f"you {term}")
+        if (term, 0) in model.weights:
+            assert clean < model.score(f'once he said "{term}" aloud') < model.score(f"once you {term} aloud")
+    assert sum((term, 1) in model.weights for term, k in model.lexicon.terms.items() if k) >= 3
+
+
+def test_toxicity_score_by_hand(spark):
+    """The registered query against a plain reading of its model: nearest term by edit distance, window, logistic."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.fit(docs.filter(fold(F.col("doc_id"), 5) != 0), spark.read.parquet(f"{SF}/labels.parquet").filter(fold(F.col("doc_id"), 5) != 0))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    def nearest(word):
+        found = [(0, word)] if word in model.lexicon.terms else []
+        found = found or [(0, s + "*") for s in sorted(model.lexicon.stems, key=len) if word.startswith(s)][:1]
+        found = found or sorted((d, t) for t, k in model.lexicon.terms.items() if word and k and abs(len(t) - len(word)) <= k and (d := distance(word, t)) <= k)[:1]
+        return found[0] if found else None
+
+    cache, got = {}, {r["doc_id"]: r["score"] for r in q.op1_toxicity(spark, SF).collect()}
+    for r in docs.collect():
+        words, sums = (r["text"] or "").split(), [0.0, 0.0]
+        for i, w in enumerate(words):
+            bare = w.lower().strip(toxicity.EDGES)
+            if bare not in cache:
+                cache[bare] = nearest(bare)
+            if cache[bare]:
+                sums[toxicity.is_quoted(words, i)] += model.weights.get(cache[bare][::-1], 0.0)
+        b = model.coefficients
+        z = b[0] + b[1] * math.log1p(sums[0]) + b[2] * math.log1p(sums[1])
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
 CALLS = "conv_id long, turn int, call_id string, name string, arguments string, after array<string>"
 
 
