@@ -43,6 +43,11 @@ def api_time(c: Column, fmt: str = "yyyy-MM-dd'T'HH:mm:ssZ") -> Column:
     return F.coalesce(F.try_to_timestamp(c, F.lit(fmt)), F.try_to_timestamp(c))
 
 
+def api_time_text(c: Column, shown: str = "yyyy-MM-dd'T'HH:mm:ss") -> Column:
+    """The time in one form, in the session's zone; what is no time stays as it is."""
+    return F.coalesce(F.date_format(api_time(c), shown), c)
+
+
 def skill_form(c: Column) -> Column:
     """Lower case letters, digits and + # . only."""
     return F.regexp_replace(F.lower(c), "[^a-zа-яё0-9+#.]+", "")

@@ -14,8 +14,8 @@ def account_facts(accounts: DataFrame, bindings: DataFrame) -> DataFrame:
     accounts(account_key, enabled, apply_runs_per_day, max_apply_per_run,
     apply_daily_cap); bindings(account_key, binding_pos, enabled, query_sets).
     """
-    sets = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("binding_pos", "query_sets"))), lambda x: x["query_sets"])))
-    b = enabled(bindings).groupBy("account_key").agg(sets.alias("query_sets"))
+    first = enabled(bindings).select("account_key", "binding_pos", F.posexplode("query_sets").alias("_i", "_s")).groupBy("account_key", "_s").agg(F.min(F.struct("binding_pos", "_i")).alias("_p"))
+    b = first.groupBy("account_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_s"))), lambda x: x["_s"]).alias("query_sets"))
     a = enabled(accounts).join(b, "account_key", "left")
     return a.withColumn("query_sets", F.coalesce("query_sets", F.array().cast("array<string>"))).withColumn("cap_reachable", F.col("apply_runs_per_day") * F.col("max_apply_per_run") >= F.col("apply_daily_cap"))
 

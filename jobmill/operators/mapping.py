@@ -135,6 +135,17 @@ def flatten_children(df: DataFrame, key: list[str], children: str) -> DataFrame:
     return df.select(*[F.col(k).alias(f"parent_{k}") for k in key], F.explode(children).alias("c")).select(*[f"parent_{k}" for k in key], "c.*")
 
 
+def submission_mode(has_test: Column) -> Column:
+    return F.when(F.coalesce(has_test, F.lit(False)), "upstream_hh_test").otherwise("negotiations_api")
+
+
+def reconcile_audit(changes: DataFrame, account: list[str], resume: str, change: str, fields: list[str]) -> DataFrame:
+    """One row per account: identifiers of each kind of change in order, and a list of its résumés with ``fields``, never their text."""
+    kinds = {"registered_ids": "registered", "updated_ids": "updated", "reactivated_ids": "reactivated", "deleted_ids": "deleted"}
+    lists = [F.array_sort(F.collect_list(F.when(F.col(change) == kind, F.col(resume)))).alias(name) for name, kind in kinds.items()]
+    return changes.groupBy(*account).agg(*lists, F.array_sort(F.collect_list(F.struct(resume, *fields))).alias("resumes"))
+
+
 def without_nulls(df: DataFrame, c: str) -> Column:
     """JSON of a nested column without null fields and array entries."""
     kind = df.schema[c].dataType

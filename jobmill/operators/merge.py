@@ -63,6 +63,17 @@ def coalesce_merge(
     return feed.groupBy(*key).agg(*out)
 
 
+def reconciled_merge(feed: DataFrame, key: list[str], order: list[str], first: str, last: str) -> DataFrame:
+    """The newest row of each key in full, nulls too, with the least ``first`` and the greatest ``last`` of all its rows."""
+    ends = feed.groupBy(*key).agg(F.min(first).alias(first), F.max(last).alias(last))
+    return newest(feed, key, order).drop(first, last).join(ends, key)
+
+
+def applications_from(events: DataFrame, event_type: str = "event_type", failed: str = "failed") -> DataFrame:
+    """Outcomes that may become applications: a failed one never does."""
+    return events.filter(F.coalesce(F.col(event_type) != failed, F.lit(False)))
+
+
 def run_merge(feed: DataFrame, key: list[str], seq: str, status: str, config: list[str], counters: list[str], started: str, finished: str, regress: bool = False) -> DataFrame:
     """Run rows: configuration of the last write, last non-null counters, earliest start.
 

@@ -30,10 +30,10 @@ def orphans(child: DataFrame, parent: DataFrame, on: dict[str, str]) -> DataFram
     return known.join(p, list(on), "left_anti")
 
 
-def catalogue_signature(catalogue: DataFrame, pos: str, key: str) -> DataFrame:
-    """SHA-256 of the keys in order as compact JSON. A catalogue is a configuration table; the list is one value."""
+def catalogue_signature(catalogue: DataFrame, pos: str, key: str, by: list[str]) -> DataFrame:
+    """Per catalogue: SHA-256 of its keys in order as compact JSON. A catalogue is one profile's configuration; its list is one value."""
     keys = F.transform(F.array_sort(F.collect_list(F.struct(pos, key))), lambda x: x[key])
-    return catalogue.agg(F.sha2(F.to_json(keys).cast("binary"), 256).alias("signature"), F.count("*").alias("size"))
+    return catalogue.groupBy(*by).agg(F.sha2(F.to_json(keys).cast("binary"), 256).alias("signature"), F.count("*").alias("size"))
 
 
 def rowset_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -59,6 +59,23 @@ def in_order(*times: Column) -> Column:
     return ok
 
 
+def run_sound(status: Column, started_at: Column, finished_at: Column) -> Column:
+    """A known status, no end before the start, and an end where the run is finished."""
+    known = status.isin("running", "incomplete", "finished")
+    return known & F.coalesce(finished_at >= started_at, F.lit(True)) & ((status != "finished") | finished_at.isNotNull())
+
+
+def claim_sound(status: Column, attempts: Column, claimed_at: Column, changed_at: Column, submitted_at: Column, finished_at: Column) -> Column:
+    """A known status, an attempt at least, and no time before the claim."""
+    after = F.forall(F.array(changed_at, submitted_at, finished_at), lambda x: x.isNull() | (x >= claimed_at))
+    return status.isin("CLAIMED", "SUBMITTING", "SUBMITTED", "UNCERTAIN", "FAILED_SAFE_TO_RETRY") & (attempts >= 1) & changed_at.isNotNull() & after
+
+
+def payload_id_sound(payload_id: Column, path_id: Column) -> Column:
+    """A posting lies below its own identifier."""
+    return payload_id.cast("string").eqNullSafe(path_id.cast("string"))
+
+
 def counters_sound(*counters: Column) -> Column:
     return F.forall(F.array(*counters), lambda x: x.isNull() | (x >= 0))
 

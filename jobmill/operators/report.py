@@ -33,6 +33,34 @@ def roll_up(runs: DataFrame, by: list[str], counters: list[str], cap: Column | N
     return g if cap is None else g.withColumn("quota_left", F.greatest(cap - F.col(used), F.lit(0)))
 
 
+def discovery_counters(observations: DataFrame, run: list[str], item: str, max_unique: int) -> DataFrame:
+    """Per run: observations, distinct items, how many of them are selected, whether some were cut off."""
+    g = observations.groupBy(*run).agg(F.count("*").alias("search_observation_count"), F.count_distinct(item).alias("unique_vacancy_count"))
+    return g.withColumns({"candidate_count": F.least("unique_vacancy_count", F.lit(max_unique)), "truncated": F.col("unique_vacancy_count") > max_unique})
+
+
+def observe_summary(attempts: DataFrame, run: list[str], status: str, work_items: str, captcha: Column, fetched: str = "fetched", failed: str = "failed") -> DataFrame:
+    """Per run of observation: attempts, fetched, work items, failures, whether a CAPTCHA stopped it. Nothing is ever submitted."""
+    return attempts.groupBy(*run).agg(
+        F.count("*").alias("full_fetch_attempted"), F.count_if(F.col(status) == fetched).alias("full_fetched"), F.coalesce(F.sum(work_items), F.lit(0)).alias("evaluation_candidate_count"),
+        F.count_if(F.col(status) == failed).alias("failed"), F.coalesce(F.bool_or(captcha), F.lit(False)).alias("stopped_on_captcha"))
+
+
+def apply_summary(outcomes: DataFrame, run: list[str], status: str, attempted: Column) -> DataFrame:
+    """Per batch of applications: submitted (confirmed ones too), confirmed, external writes, failures, and the quota used, the greater of submissions and writes."""
+    s = F.col(status)
+    g = outcomes.groupBy(*run).agg(
+        F.count_if(s.isin("submitted", "confirmed")).alias("submitted"), F.count_if(s == "confirmed").alias("confirmed"), F.count_if(attempted).alias("external_writes_attempted"), F.count_if(s == "failed").alias("failed"))
+    return g.withColumn("quota_consumed", F.greatest("submitted", "external_writes_attempted"))
+
+
+def load_report(runs: DataFrame, eligible: Column, selected: Column, loaded: Column, failed: Column) -> DataFrame:
+    """One row: runs discovered, eligible, pending (eligible and not loaded before they were selected), selected, loaded, failed."""
+    return runs.agg(
+        F.count("*").alias("discovered"), F.count_if(eligible).alias("eligible"), F.count_if(eligible & ~F.coalesce(loaded & ~selected, F.lit(False))).alias("pending"),
+        F.count_if(selected).alias("selected"), F.count_if(selected & loaded).alias("loaded"), F.count_if(selected & failed).alias("failed"))
+
+
 def summary_checks(headers: DataFrame, rows: DataFrame, run: list[str], declared: str) -> DataFrame:
     """Declared count of each run against counted rows; runs without rows count 0, without a summary are incomplete."""
     c = rows.groupBy(*run).agg(F.count("*").alias("counted"))

@@ -4,10 +4,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def in_order(pos: str, value: str) -> Column:
-    """Aggregate: distinct values, each at its first position."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).alias("v"))))
-    return F.array_distinct(F.transform(F.filter(pairs, lambda x: x["v"].isNotNull()), lambda x: x["v"]))
+def values_in_order(df: DataFrame, key: list[str], pos: str, value: str, out: str) -> DataFrame:
+    """key, out: distinct non-null values of each key by their first position. Only distinct values are gathered, however many rows a key has."""
+    first = df.filter(F.col(value).isNotNull()).groupBy(*key, value).agg(F.min(pos).alias("_p"))
+    return first.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", value))), lambda x: x[value]).alias(out))
 
 
 def first_by_position(df: DataFrame, key: list[str], pos: str) -> DataFrame:
@@ -19,7 +19,10 @@ def first_by_position(df: DataFrame, key: list[str], pos: str) -> DataFrame:
 def union_candidates(observations: DataFrame, key: list[str], pos: str, item: list[str], ordered: dict[str, str]) -> DataFrame:
     """One row per key: the items of the first observation, and for each ``out: column`` its distinct values in order."""
     first = [F.min_by(c, pos).alias(c) for c in item]
-    return observations.groupBy(*key).agg(*first, F.min(pos).alias("first_pos"), F.count("*").alias("observations"), *[in_order(pos, c).alias(out) for out, c in ordered.items()])
+    out = observations.groupBy(*key).agg(*first, F.min(pos).alias("first_pos"), F.count("*").alias("observations"))
+    for name, c in ordered.items():
+        out = out.join(values_in_order(observations, key, pos, c, name), key, "left").withColumn(name, F.coalesce(name, F.array().cast(f"array<{observations.schema[c].dataType.simpleString()}>")))
+    return out
 
 
 def page_completeness(pages: DataFrame, request: list[str], page: str, total: str) -> DataFrame:
@@ -49,10 +52,10 @@ def technical_caps(candidates: DataFrame, run: list[str], pos: str, max_unique:
     return df.withColumn("kept", F.col("rank") <= max_unique).withColumn("status", status)
 
 
-def circular_window(catalogue: DataFrame, pos: str, n: int, start: int, size: int) -> DataFrame:
+def circular_window(catalogue: DataFrame, pos: str, n: int | Column, start: int | Column, size: int) -> DataFrame:
     """``size`` entries from position ``start`` on, going round; with their place in the window. ``n``: entries of the catalogue."""
-    place = F.pmod(F.col(pos) - start, F.lit(n))
-    return catalogue.withColumn("place", place).filter(F.col("place") < min(size, n))
+    n = n if isinstance(n, Column) else F.lit(n)
+    return catalogue.withColumn("place", F.pmod(F.col(pos) - start, n)).filter(F.col("place") < F.least(F.lit(size), n))
 
 
 def fan_out(fetched: DataFrame, bindings: DataFrame, account: list[str], matched_keys: str, matched_sets: str, key_sets: str, resume_sets: str) -> DataFrame:
@@ -96,6 +99,37 @@ def agree(left: DataFrame, right: DataFrame, on: list[str], equal: list[str], or
     return j.withColumn("violations", F.filter(F.array(*rules), lambda x: x.isNotNull())).drop(*[c for c in r.columns if c.startswith("_r_")])
 
 
+def projections_agree(observed: DataFrame, items: DataFrame, key: list[str], pos: str, fields: dict[str, str]) -> DataFrame:
+    """observed(key, one array per field) against the work items of the key in order of ``pos``: names of the fields that differ.
+
+    fields: ``array column: item column``. A key without items is compared with
+    empty lists; items whose key was never observed are ``unobserved``.
+    """
+    lists = items.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(pos, *dict.fromkeys(fields.values())))).alias("_items"))
+    j = observed.withColumn("_seen", F.lit(True)).join(lists, key, "full")
+    none = F.array().cast(items.select(F.array(F.struct(pos, *dict.fromkeys(fields.values())))).schema[0].dataType)
+    j = j.withColumn("_items", F.coalesce("_items", none))
+
+    def of(c: str) -> Column:
+        return F.transform("_items", lambda x: x[c])
+
+    rules = [F.when(F.col("_seen") & ~F.col(a).eqNullSafe(of(b)), f"{a}_differs") for a, b in fields.items()]
+    found = F.filter(F.array(F.when(F.col("_seen").isNull(), "unobserved"), *rules), lambda x: x.isNotNull())
+    return j.select(*key, found.alias("violations"))
+
+
+def uris_resolve(sidecars: DataFrame, keys: DataFrame, on: list[str], uris: dict[str, str], relative) -> DataFrame:
+    """Sidecar rows with the names of those URIs that don't resolve to the object key that is there.
+
+    uris: ``URI column of sidecars: key column of keys``; a null URI is not
+    asked for. ``relative`` turns a URI into a key.
+    """
+    there = keys.select(*on, *[F.col(c).alias(f"_k_{c}") for c in uris.values()])
+    j = sidecars.join(there, on, "left")
+    rules = [F.when(F.col(u).isNotNull() & ~relative(F.col(u)).eqNullSafe(F.col(f"_k_{c}")), f"{u}_mismatch") for u, c in uris.items()]
+    return j.select(*on, F.filter(F.array(*rules), lambda x: x.isNotNull()).alias("violations"))
+
+
 def ordered_union(refs: DataFrame, queries: DataFrame, set_key: str = "query_set_key", set_pos: str = "set_pos", query_pos: str = "query_pos") -> DataFrame:
     """Enabled queries of the referenced sets in order of first reference; a repeated set counts once."""
     sets = refs.groupBy(set_key).agg(F.min(set_pos).alias(set_pos))

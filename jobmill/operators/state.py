@@ -12,6 +12,8 @@ MOVES = {
     "SUBMITTING": ("CLAIMED",), "SUBMITTED": ("SUBMITTING",), "CONFIRMED": ("SUBMITTED", "SUBMITTING"), "UNCERTAIN": ("SUBMITTING", "SUBMITTED"),
     "FAILED_SAFE_TO_RETRY": ("CLAIMED", "SUBMITTING"), "FAILED_FINAL": ("CLAIMED", "SUBMITTING"),
 }
+#: Positions that are numbered in one group.
+RANGE = 1 << 16
 CLAIM = "run_id string, status string, attempt_count int, claimed_seq long, changed_seq long, applied long, rejected long"
 
 
@@ -87,7 +89,12 @@ def interleave(accounts: DataFrame, pos: str, runs: str) -> DataFrame:
     # slots of earlier rounds are the accounts that have such a round: counted per round, few rows
     rounds = e.groupBy("run_number").agg(F.count("*").alias("_n"))
     before = rounds.select("run_number", F.coalesce(F.sum("_n").over(Window.orderBy("run_number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return e.join(before, "run_number").withColumn("slot", F.col("_b") + F.row_number().over(Window.partitionBy("run_number").orderBy(pos))).drop("_b")
+    # within a round, accounts are numbered by ranges of their position (a number), so that no task holds a round
+    parts = e.withColumn("_part", F.floor(F.col(pos) / RANGE))
+    sizes = parts.groupBy("run_number", "_part").agg(F.count("*").alias("_m"))
+    sizes = sizes.select("run_number", "_part", F.coalesce(F.sum("_m").over(Window.partitionBy("run_number").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_a"))
+    inside = F.row_number().over(Window.partitionBy("run_number", "_part").orderBy(pos))
+    return parts.join(sizes, ["run_number", "_part"]).join(before, "run_number").withColumn("slot", F.col("_b") + F.col("_a") + inside).drop("_b", "_a", "_part")
 
 
 def slot_state(scheduled: Column, now: Column, grace_seconds: int, paused: Column, quota_left: Column) -> Column:

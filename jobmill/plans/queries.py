@@ -133,11 +133,12 @@ def discovery_caps(t):
 
 
 @query("""
-with c as (select p_partkey, p_name, p_brand, p_partkey - 1 as pos from part)
-select p_partkey, p_name, ((pos - 190) % 200 + 200) % 200 as place from c where pos < 200 and ((pos - 190) % 200 + 200) % 200 < 25""")
+with c as (select p_partkey, p_name, p_partkey as pos from part)
+select p_partkey, p_name, (pos - (n - 10) + n) % n as place from c, (select count(*) as n from part) where (pos - (n - 10) + n) % n < 25""")
 def query_window(t):
-    c = t("part").withColumn("pos", F.col("p_partkey") - 1).filter("pos < 200")
-    return routing.circular_window(c, "pos", 200, 190, 25).select("p_partkey", "p_name", "place")
+    n = F.col("n")  # of the whole catalogue, one row; the window starts ten before its end and goes round
+    c = t("part").withColumn("pos", F.col("p_partkey")).join(F.broadcast(t("part").agg(F.count("*").alias("n"))))
+    return routing.circular_window(c, "pos", n, n - 10, 25).select("p_partkey", "p_name", "place")
 
 
 _SETS = "['MACHINERY', 'AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD']"
@@ -158,13 +159,13 @@ def fanout_work_items(t):
 
 
 @query("""
-with e as (select s_nationkey as nation, s_suppkey as m from supplier), a as (select s_nationkey as nation, l_suppkey as m, count(*) as k from lineitem join supplier on s_suppkey = l_suppkey where l_quantity >= 49.5 group by 1, 2),
+with e as (select s_nationkey as nation, s_suppkey as m from supplier), a as (select n_nationkey as nation, l_suppkey as m, count(*) as k from lineitem join nation on n_nationkey = l_partkey % 25 group by 1, 2),
 j as (select coalesce(e.nation, a.nation) as nation, e.m as em, a.m as am, k from e full join a on e.nation = a.nation and e.m = a.m)
 select nation, sum((am is null)::int)::bigint as missing, sum((em is null)::int)::bigint as unexpected, coalesce(sum((k > 1)::int), 0)::bigint as repeated,
   sum((am is null)::int) + sum((em is null)::int) + coalesce(sum((k > 1)::int), 0) = 0 as complete from j group by nation""")
 def fanout_completeness(t):
     s = t("supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("m"))
-    a = t("lineitem").filter("l_quantity >= 49.5").select(F.col("l_suppkey").alias("m")).join(s, "m").select("nation", "m")
+    a = t("lineitem").select(F.col("l_suppkey").alias("m"), (F.col("l_partkey") % 25).cast("int").alias("nation")).join(t("nation").select(F.col("n_nationkey").alias("nation")), "nation")
     return routing.fan_out_completeness(s, a, ["nation"], "m")
 
 
@@ -203,13 +204,12 @@ def skill_overlap_top3(t):
 
 
 @query("""
-with refs as (select n_regionkey as k, min(n_nationkey) as set_pos from nation where n_nationkey % 2 = 0 group by 1)
-select n_regionkey as query_set_key, set_pos, n_nationkey as query_pos, n_name from nation join refs on k = n_regionkey where length(n_name) > 5""")
+with refs as (select s_nationkey as k, min(s_suppkey) as set_pos from supplier group by 1)
+select c_nationkey as query_set_key, set_pos, c_custkey as query_pos, c_name from customer join refs on k = c_nationkey where c_acctbal > 0""")
 def ordered_union(t):
-    n = t("nation")
-    refs = n.filter("n_nationkey % 2 = 0").select(F.col("n_regionkey").alias("query_set_key"), F.col("n_nationkey").alias("set_pos"))
-    q = n.select(F.col("n_regionkey").alias("query_set_key"), F.col("n_nationkey").alias("query_pos"), "n_name", (F.length("n_name") > 5).alias("enabled"))
-    return routing.ordered_union(refs, q).select("query_set_key", "set_pos", "query_pos", "n_name")
+    refs = t("supplier").select(F.col("s_nationkey").alias("query_set_key"), F.col("s_suppkey").alias("set_pos"))
+    q = t("customer").select(F.col("c_nationkey").alias("query_set_key"), F.col("c_custkey").alias("query_pos"), "c_name", (F.col("c_acctbal") > 0).alias("enabled"))
+    return routing.ordered_union(refs, q).select("query_set_key", "set_pos", "query_pos", "c_name")
 
 
 @query("""
@@ -272,19 +272,20 @@ def application_newest(t):
 
 
 @query("""
-with ch as (select c_custkey as k, max(o_orderkey) as s, arg_max(o_orderstatus, o_orderkey) as st from orders join customer on c_custkey = o_custkey where o_custkey % 3 = 0 group by 1)
-select c_custkey, case when k is null then c_mktsegment else st end as c_mktsegment, c_name as created_at, c_nationkey from customer left join ch on k = c_custkey
-where c_custkey % 2 = 0
-union all select k, st, 'order ' || s, null from ch where k % 2 = 1""")
+with ch as (select o_custkey as k, max(o_orderkey) as s, arg_max(o_orderstatus, o_orderkey) as st from orders group by 1)
+select coalesce(c_custkey, k) as c_custkey, case when k is null then c_mktsegment else st end as c_mktsegment, coalesce(c_name, 'order ' || s) as created_at, c_nationkey
+from (select * from customer where c_acctbal >= 0) full join ch on k = c_custkey""")
 def generic_upsert(t):
-    c = t("customer").filter("c_custkey % 2 = 0").select("c_custkey", "c_mktsegment", F.col("c_name").alias("created_at"), "c_nationkey")
-    o = t("orders").filter("o_custkey % 3 = 0").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderstatus").alias("c_mktsegment"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("created_at"), F.col("o_orderkey").alias("seq"))
+    # customers in debt are not yet rows of the current state; the orders of all make the changes
+    c = t("customer").filter("c_acctbal >= 0").select("c_custkey", "c_mktsegment", F.col("c_name").alias("created_at"), "c_nationkey")
+    o = t("orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderstatus").alias("c_mktsegment"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("created_at"), F.col("o_orderkey").alias("seq"))
     return merge.upsert(c, o, ["c_custkey"], "seq")
 
 
 @query("""
-with p as (select c_custkey, c_mktsegment, c_custkey % 5 <> 0 as active from customer where c_custkey % 4 <> 0),
-n as (select c_custkey, case when c_custkey % 7 = 0 then 'CHANGED' else c_mktsegment end as c_mktsegment from customer where c_custkey % 3 <> 0),
+with p as (select c_custkey, c_mktsegment, c_acctbal >= 0 as active from customer where c_acctbal < 9000),
+n as (select c_custkey, coalesce(max(case when o_orderstatus = 'P' then 'CHANGED' end), c_mktsegment) as c_mktsegment from customer left join orders on o_custkey = c_custkey
+  where c_acctbal >= 9000 or o_orderkey is not null group by c_custkey, customer.c_mktsegment),
 j as (select coalesce(p.c_custkey, n.c_custkey) as c_custkey, p.c_custkey is not null as had, n.c_custkey is not null as has, active, p.c_mktsegment as a, n.c_mktsegment as b
   from p full join n on p.c_custkey = n.c_custkey)
 select c_custkey, case when not had then 'registered' when not has and not active then 'still_deleted' when not has then 'deleted' when not active then 'reactivated'
@@ -293,10 +294,13 @@ select c_custkey, case when not had then 'registered' when not has and not activ
 def snapshot_reconcile(t):
     c = t("customer")
     day = lambda d: F.lit(d).cast("timestamp")
-    p = c.filter("c_custkey % 4 <> 0").select(
-        "c_custkey", "c_mktsegment", F.when(F.col("c_custkey") % 5 != 0, "active").otherwise("deleted").alias("lifecycle"), F.when(F.col("c_custkey") % 5 == 0, day("2024-01-05")).alias("inactive_at"),
+    # known before: all with less than 9,000; there now: the rest and who ordered; in debt: deleted before
+    p = c.filter("c_acctbal < 9000").select(
+        "c_custkey", "c_mktsegment", F.when(F.col("c_acctbal") >= 0, "active").otherwise("deleted").alias("lifecycle"), F.when(F.col("c_acctbal") < 0, day("2024-01-05")).alias("inactive_at"),
         day("2024-01-01").alias("first_seen_at"), day("2024-01-31").alias("last_seen_at"))
-    n = c.filter("c_custkey % 3 <> 0").select("c_custkey", F.when(F.col("c_custkey") % 7 == 0, "CHANGED").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"), day("2024-02-01").alias("observed_at"))
+    o = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.bool_or(F.col("o_orderstatus") == "P").alias("changed"))
+    n = c.join(o, "c_custkey", "left").filter("c_acctbal >= 9000 or changed is not null")
+    n = n.select("c_custkey", F.when(F.col("changed"), "CHANGED").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"), day("2024-02-01").alias("observed_at"))
     return reconcile.reconcile(p, n, ["c_custkey"], ["c_mktsegment"]).select("c_custkey", "change", "lifecycle", F.col("c_mktsegment").alias("segment"), "inactive_at")
 
 
@@ -523,18 +527,19 @@ def duplicate_keys(t):
     return quality.duplicate_keys(t("documents").select(T.sha256(F.col("text")).alias("h")), ["h"])
 
 
-@query("select sha256('[' || string_agg('\"' || p_brand || '-' || p_partkey || '\"', ',' order by p_partkey) || ']') as signature, count(*) as size from part")
+@query("select l_orderkey, sha256('[' || string_agg('\"' || l_linenumber || '-' || l_partkey || '\"', ',' order by l_linenumber, l_partkey) || ']') as signature, count(*) as size from lineitem group by 1")
 def catalogue_signature(t):
-    return quality.catalogue_signature(t("part").select("p_partkey", F.concat_ws("-", "p_brand", F.col("p_partkey").cast("string")).alias("k")), "p_partkey", "k")
+    li = t("lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey").alias("pos"), F.concat_ws("-", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("k"))
+    return quality.catalogue_signature(li, "pos", "k", ["l_orderkey"])
 
 
 _FP = "select '{0}' as name, count(*) as n, (sum(('0x' || substr(sha256({1}), 1, 15))::bigint::hugeint) % 2305843009213693951)::bigint as fingerprint from {0}"
 
 
-@query(" union all ".join(_FP.format(n, " || '|' || ".join(f"coalesce({c}::varchar, '\\N')" for c in cs)) for n, cs in (("region", ("r_regionkey", "r_name")), ("orders", ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")))))
+@query(" union all ".join(_FP.format(n, " || '|' || ".join(f"coalesce({c}::varchar, '\\N')" for c in cs)) for n, cs in (("region", ("r_regionkey", "r_name")), ("orders", ("o_orderkey", "o_custkey", "o_orderstatus", "round(o_totalprice * 100)::bigint", "o_orderdate::date", "o_orderpriority")))))
 def rowset_fingerprint(t):
     a = quality.rowset_fingerprint(t("region"), ["r_regionkey", "r_name"]).withColumn("name", F.lit("region"))
-    return a.unionByName(quality.rowset_fingerprint(t("orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]).withColumn("name", F.lit("orders")))
+    return a.unionByName(quality.rowset_fingerprint(t("orders").withColumns({"price": cents("o_totalprice"), "day": F.to_date("o_orderdate")}), ["o_orderkey", "o_custkey", "o_orderstatus", "price", "day", "o_orderpriority"]).withColumn("name", F.lit("orders")))
 
 
 # --- text and trees --------------------------------------------------------

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from jobmill.plans import more_queries  # noqa: F401
 from jobmill.plans import queries as jobs
 
 SF = "/root/testdata/sf0.001"
