@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pre-tokens with their ids that a task keeps: so many of late, and as many from before, of which those met again are kept on.
-KEPT = 80_000
+KEPT = 120_000
 #: Characters of texts whose new pre-tokens are looked up together.
-BLOCK = 1 << 18
+BLOCK = 1 << 19
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -111,24 +111,29 @@ class PerfectHash:
 def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one pre-token: the adjacent pair of lowest rank, leftmost first, merges until none is left."""
     n = len(piece)
-    end = list(range(1, n + 1))  # part i is piece[i:end[i]]; the part that begins at end[i] follows
+    end = list(range(1, n + 1))  # part i is piece[i:end[i]]; the part that begins at end[i] follows; 0 for a part that is gone
     back = list(range(-1, n - 1))
-    alive = [True] * n
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    rank = ranks.get
+    # an entry is rank, start and end of a pair in one number
+    width = n.bit_length()
+    mask = (1 << width) - 1
+    heap = [(((r << width) | i) << width) | (i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
+    pop, push = heapq.heappop, heapq.heappush
     while heap:
-        _, i, stop = heapq.heappop(heap)
+        pair = pop(heap)
+        i, stop = (pair >> width) & mask, pair & mask
         j = end[i]
-        if not alive[i] or j >= n or end[j] != stop or not alive[j]:
+        if not j or j >= n or end[j] != stop:
             continue  # one of the two has changed since
-        end[i], alive[j] = stop, False
+        end[i], end[j] = stop, 0
         if stop < n:
             back[stop] = i
-            if (r := ranks.get(piece[i : end[stop]])) is not None:
-                heapq.heappush(heap, (r, i, end[stop]))
-        if (k := back[i]) >= 0 and (r := ranks.get(piece[k:stop])) is not None:
-            heapq.heappush(heap, (r, k, stop))
-    return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
+            if (r := rank(piece[i : end[stop]])) is not None:
+                push(heap, (((r << width) | i) << width) | end[stop])
+        if (k := back[i]) >= 0 and (r := rank(piece[k:stop])) is not None:
+            push(heap, (((r << width) | k) << width) | stop)
+    return [ranks[piece[i : end[i]]] for i in range(n) if end[i]]
 
 
 class Codec:
