@@ -80,9 +80,11 @@ CONTRACTS: dict[str, Contract] = {
         ("event_type", "schema_version", "run_id", "vacancy_id", "full_fetch_status", "observed_at"),
         rules={"version": "v.schema_version = 3", "observed_zoned": zoned("observed_at"), "count_matches": "v.evaluation_candidate_count = size(v.candidate_source_resume_ids)"}),
     "evaluation_candidates": Contract(
-        f"{_OBSERVE}, vacancy_id string, evaluations array<{EVALUATION}>, created_at string", ("event_type", "schema_version", "run_id", "vacancy_id", "evaluations", "created_at"),
-        rules={"version": "v.schema_version = 3", "created_zoned": zoned("created_at"), "same_vacancy": "forall(v.evaluations, e -> e.vacancy_id = v.vacancy_id)",
-               "resumes_unique": "size(array_distinct(transform(v.evaluations, e -> e.source_resume_id))) = size(v.evaluations)"}),
+        f"event_type string, schema_version int, run_id string, runtime_mode string, account_key string, source_profile string, vacancy_id string, evaluation_semantics string, evaluations array<{EVALUATION}>, created_at string",
+        ("event_type", "schema_version", "run_id", "account_key", "source_profile", "vacancy_id", "evaluations", "created_at"),
+        rules={"version": "v.schema_version = 1", "semantics": "v.evaluation_semantics = 'routing_only_no_relevance_decision'", "created_zoned": zoned("created_at"), "same_vacancy": "forall(v.evaluations, e -> e.vacancy_id = v.vacancy_id)",
+               "resumes_unique": "size(array_distinct(transform(v.evaluations, e -> e.source_resume_id))) = size(v.evaluations)",
+               "work_item_form": "forall(v.evaluations, e -> e.schema_version = 1 and e.binding_version >= 1 and e.evaluation_status = 'pending_filtering_v2')"}),
     "apply_run": Contract(
         "event_type string, schema_version int, run_id string, profile_id string, resume_id string, search string, area int, period int, pages int, per_page int, professional_roles array<int>, max_responses int,"
         " cover_letter_mode string, live boolean, runtime_mode string, account_key string, resume_key string, target_key string, binding_version int, query_sets array<string>, external_writes_allowed boolean, started_at string",
@@ -102,10 +104,10 @@ CONTRACTS: dict[str, Contract] = {
         ("run_id", "vacancy_id", "status", "created_at"),
         rules={"created_zoned": zoned("created_at"), "completed_has_proof": "v.status <> 'completed' or (v.application_run_id is not null and v.application_result_uri is not null and v.submission_mode is not null and v.confirmed is not null)"}),
     "application_request": Contract(
-        "run_id string, account_key string, profile_id string, resume_id string, vacancy_id string, submission_mode string, requested_at string",
+        "event_type string, schema_version int, run_id string, account_key string, profile_id string, resume_id string, vacancy_id string, submission_mode string, requested_at string",
         ("run_id", "profile_id", "resume_id", "vacancy_id", "submission_mode", "requested_at"), strict=False, rules={"requested_zoned": zoned("requested_at")}),
     "application_result": Contract(
-        "run_id string, account_key string, profile_id string, resume_id string, vacancy_id string, submission_mode string, status string, confirmed boolean, claim_status string, confirmation_evidence string,"
+        "event_type string, schema_version int, run_id string, account_key string, profile_id string, resume_id string, vacancy_id string, submission_mode string, status string, confirmed boolean, claim_status string, confirmation_evidence string,"
         " confirmation_error string, relations array<string>, finished_at string",
         ("run_id", "profile_id", "resume_id", "vacancy_id", "status", "finished_at"), strict=False, rules={"finished_zoned": zoned("finished_at")}),
     "vacancy": Contract("id string, name string", ("id", "name"), strict=False),
@@ -116,6 +118,13 @@ CONTRACTS: dict[str, Contract] = {
     "dispatch": Contract("account_key string, run_number int, status string, reason string, submitted int, confirmed int, quota_consumed int, at string", ("account_key", "status", "at"), rules={"at_zoned": zoned("at")}),
 }
 
+# Event type (after the board's prefix) and schema version of the objects.
+EVENTS: dict[str, tuple[tuple[str, ...], int]] = {
+    "observe_run": (("batch.started",), 3), "observe_summary": (("batch.finished",), 3), "observation": (("vacancy.observed",), 3), "evaluation_candidates": (("vacancy_resume.evaluation_candidates",), 1),
+    "apply_run": (("batch.started",), 2), "apply_summary": (("batch.finished",), 2), "decision": (("vacancy.decision",), 2), "outcome": (("batch.application_completed", "batch.application_failed"), 2),
+    "application_request": (("application.requested",), 2), "application_result": (("application.submitted",), 2),
+}
+
 # Rows that contracts become.
 RAW_REF = "struct<source:string,source_entity_id:string,raw_uri:string,content_hash:string,collected_at:timestamp>"
 EVENT_ENVELOPE = "event_id string, event_type string, schema_version int, source string, occurred_at timestamp, payload string"

@@ -61,6 +61,15 @@ def store_runs(path: str) -> Callable[[DataFrame, int], None]:
     return load
 
 
+def store_objects(path: str) -> Callable[[DataFrame, int], None]:
+    """A ``load`` that lands whole objects by batch and name, so that ``plans.backfill`` reads each kind from its own files."""
+
+    def load(objects: DataFrame, batch: int) -> None:
+        objects.filter("kind is not null").write.mode("overwrite").partitionBy("name").parquet(f"{path}/batch={batch}")
+
+    return load
+
+
 def current_runs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Runs and quarantine over all batches so far; an object seen again counts once."""
     return run_table(spark.read.parquet(path).dropDuplicates(["key"]))
