@@ -3,7 +3,6 @@
 import copy
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from jobmill.plans import backfill as B
@@ -87,10 +86,6 @@ def changed(tree, name, drop=(), **over):
     return t
 
 
-def faults(spark, tree):
-    return {r["rule"] for r in B.parse(objects(spark, tree), BUCKET, PREFIX)[1].collect()}
-
-
 def test_tree_to_current_state(spark, tmp_path):
     """From files through the stream to tables; twice the same; both kinds of run; a broken run adds nothing and stops no other."""
     third = json.loads(json.dumps(observe_tree()).replace(OBSERVE, OBSERVE[:-1] + "9"))
@@ -114,39 +109,51 @@ def test_tree_to_current_state(spark, tmp_path):
     assert {(r["resume_id"], r["overlap"]["has_overlap"]) for r in t["work_items"].collect()} == {("r1", True), ("r2", False)}
 
 
-@pytest.mark.parametrize("name,over,rule", [
+OBSERVE_FAULTS = [
     ("observation", {"account_key": "other"}, "observation_identity"), ("observation", {"candidate_resume_keys": ["b1", "b2"]}, "binding_projection"), ("observation", {"search_item_uri": uri("elsewhere.json")}, "search_item_uri_mismatch"),
     ("observation", {"vacancy_id": "v2"}, "path_vacancy_id"), ("observation", {"matched_query_keys": ["q2"]}, "provenance"), ("observation", {"full_fetch_status": "failed"}, "fan_out"), ("vacancy", {"id": "v2"}, "path_vacancy_id"),
     ("vacancy", {"employer": None}, "posting_incomplete"), ("summary", {"candidate_count": 2}, "candidate_count"), ("summary", {"evaluation_candidate_count": 1}, "work_item_total"), ("summary", {"queries_selected": 1}, "rotation"),
     ("summary", {"s3_prefix": "elsewhere"}, "prefix"), ("summary", {"finished_at": f"{DAY}T07:00:00+00:00"}, "finished_before_start"), ("run", {"started_at": "2026-08-29T08:00:00+00:00"}, "path_date"), ("run", {"schema_version": 4}, "unknown_version"),
     ("evaluation_candidates", {"source_profile": "q"}, "work_items_identity"), ("evaluation_candidates", {"schema_version": 3}, "version"),
-])
-def test_observe_rules(spark, name, over, rule):
-    assert rule in faults(spark, changed(observe_tree(), name, **over))
-
-
-@pytest.mark.parametrize("name,over,rule", [
+]
+APPLY_FAULTS = [
     ("outcome", {"confirmed": False}, "status"), ("outcome", {"submission_mode": "form"}, "mode"), ("outcome", {"application_run_id": None}, "proof_missing"), ("outcome", {"application_result_uri": uri("x.json")}, "result_uri"),
     ("outcome", {"cover_letter_uri": "s3://foreign/x"}, "cover_letter_uri"), ("application_request", {"resume_id": "r2"}, "profile_or_resume"), ("application_request", {"requested_at": f"{DAY}T11:00:00+03:00"}, "times_reversed"),
     ("vacancy_before", {"id": "v2"}, "before"), ("vacancy_after", {"id": "v2"}, "after"), ("run", {"account_key": "acc"}, "account"), ("summary", {"live": False}, "live"), ("decision", {"run_id": OBSERVE}, "path_run_id"),
-])
-def test_apply_rules(spark, name, over, rule):
-    assert rule in faults(spark, changed(apply_tree(), name, **over))
+]
+
+
+def test_rules(spark):
+    """Each fault in a run of its own: its rule fires for that run; sound runs between them have none."""
+    trees, wanted = [], {}
+    for i, (faults, tree) in enumerate(((OBSERVE_FAULTS, observe_tree()), (APPLY_FAULTS, apply_tree()))):
+        for n, (name, over, rule) in enumerate([*faults, ("summary", {}, None)]):
+            text, own = json.dumps(changed(tree, name, **over)), f"00000000-0000-4000-801{i}-{n:012d}"
+            trees.append(json.loads(text.replace(OBSERVE if i == 0 else APPLY, own).replace(SENT, own.replace("-4000-", "-4001-"))))
+            wanted[own] = rule
+    got = {}
+    for r in B.parse(objects(spark, *trees), BUCKET, PREFIX)[1].collect():
+        got.setdefault(r["run_id"], set()).add(r["rule"])
+    assert {k: v for k, v in wanted.items() if v not in got.get(k, {None})} == {}
+    assert not any(k in got for k, v in wanted.items() if v is None)
+
+
+def test_odd_trees(spark):
+    """A failed outcome is no application; without the snapshot after, its error must say so; no sidecar, no header, no tree."""
+    own = [f"00000000-0000-4000-8002-{n:012d}" for n in range(5)]
+    no_after = {k: v for k, v in apply_tree().items() if "vacancy_after" not in k}
+    trees = [changed(apply_tree(), "outcome", event_type="board.batch.application_failed", application_run_id=None, status="failed"), no_after, changed(no_after, "application_result", confirmation_error={"stage": "vacancy_after"}),
+             {k: v for k, v in observe_tree().items() if "observation" not in k}, {k: v for k, v in observe_tree().items() if not k.endswith("run.json")}]
+    trees = [json.loads(json.dumps(t).replace(OBSERVE, i).replace(APPLY, i).replace(SENT, i.replace("-4000-", "-4001-"))) for t, i in zip(trees, own, strict=True)]
+    o = objects(spark, *trees)
+    parts, bad = B.parse(o, BUCKET, PREFIX)
+    rows = bad.collect()
+    assert {(r["run_id"], r["rule"]) for r in rows} == {(own[1], "after"), (own[3], "observation_missing"), (own[3], "work_item_total")}
+    bad = spark.createDataFrame(rows, B.RULE)
+    assert [r["batch_run_id"] for r in B.current_state(parts, bad, uri(""))["applications"].collect()] == [own[2]]
+    assert {r["run_id"]: r["verdict"] for r in B.run_log(o, parts, bad).collect()} == dict(zip(own, ["loaded", "failed", "loaded", "failed", "no_header"], strict=True))
 
 
-def test_sound_and_odd_trees(spark):
-    """No fault in sound trees; a failed outcome is no application; without the snapshot after, its error must say so; no sidecars, no header, no tree."""
-    assert faults(spark, observe_tree() | apply_tree()) == set()
-    failed = changed(apply_tree(), "outcome", event_type="board.batch.application_failed", application_run_id=None, status="failed", error=None)
-    parts, bad = B.parse(objects(spark, failed), BUCKET, PREFIX)
-    assert bad.count() == 0 and B.current_state(parts, bad, uri(""))["applications"].count() == 0
-    no_after = {k: v for k, v in apply_tree().items() if "vacancy_after" not in k}
-    assert faults(spark, no_after) == {"after"} and faults(spark, changed(no_after, "application_result", confirmation_error={"stage": "vacancy_after"})) == set()
-    no_sidecar = {k: v for k, v in observe_tree().items() if "observation" not in k}
-    assert "observation_missing" in faults(spark, no_sidecar)
-    headless = {k: v for k, v in observe_tree().items() if not k.endswith("run.json")}
-    o = objects(spark, headless)
-    assert B.run_log(o, *B.parse(o, BUCKET, PREFIX)).first()["verdict"] == "no_header"
+def test_empty_tree(spark):
     o = objects(spark, observe_tree()).limit(0)
-    parts, bad = B.parse(o, BUCKET, PREFIX)
-    assert bad.count() == 0 and B.run_log(o, parts, bad).count() == 0
+    assert B.parse(o, BUCKET, PREFIX)[1].count() == 0
