@@ -162,8 +162,8 @@ def sync_postings(index: DataFrame, postings: DataFrame, ids: DataFrame | None =
 
 
 def eligible_runs(runs: DataFrame, headers: DataFrame) -> DataFrame:
-    """Runs with a summary and an observe header of version 3: headers(run_id, event_type, schema_version, runtime_mode)."""
-    h = headers.filter("event_type = 'run_started' and schema_version = 3 and runtime_mode = 'observe'").select("run_id")
+    """Runs with a summary and an observe header of version 3: headers(run_id, event_type, schema_version, runtime_mode); event types with or without the board's prefix."""
+    h = headers.filter("(event_type = 'run_started' or event_type like '%.batch.started') and schema_version = 3 and runtime_mode = 'observe'").select("run_id")
     return runs.filter("has_summary and not clash").join(h, "run_id", "left_semi")
 
 
