@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobmill.llm.common import cut, few, free
@@ -137,7 +137,7 @@ class Model:
         return self.__dict__ | {"kept": {}}
 
     def hits(self, text: str | None) -> list[tuple[str, int, bool]]:
-        """Term, edits, quoted, for each word that matches."""
+        """Term, edits, quoted, for each word that matches; of a learned model, for each that has a weight."""
         words = (text or "").split()
         kept, every = self.kept, set(words)
         new = [w for w in every if w not in kept]
@@ -145,7 +145,8 @@ class Model:
             kept.clear()
             new = list(every)
         for w in new:
-            kept[w] = self.lexicon.match(bare(w))
+            m = self.lexicon.match(bare(w))
+            kept[w] = m if not self.weights or m in self.weights else None
         if not any(map(kept.get, every)):
             return []
         out = []
@@ -179,6 +180,13 @@ def _strength(t: int, n_t: int, c: int, n_c: int) -> float:
     return math.log(((t + 0.5) / (n_t + 1)) / ((c + 0.5) / (n_c + 1)))
 
 
+def _sketch(text: str) -> Column:
+    """The least hash of five words in a row, of all words if there are fewer: near copies mostly share it, other texts hardly ever."""
+    words = F.transform(F.split(F.lower(F.trim(text)), r"\s+"), lambda w: F.xxhash64(w))
+    n = F.greatest(F.size(words) - 4, F.lit(1))
+    return F.array_min(F.transform(F.arrays_zip(*[F.slice(words, F.lit(k), n).alias(f"w{k}") for k in range(1, 6)]), lambda s: F.xxhash64(s)))
+
+
 def _counts(rows: DataFrame, wanted: frozenset | None) -> DataFrame:
     """Number of documents with each feature; of the wanted ones only, if given."""
 
@@ -215,8 +223,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 4
 
     At most about ``sample`` labelled rows are used, whole texts, chosen by a
     hash of the key. A term must occur in ``least`` toxic documents, ten times
-    as often as in clean ones, and beyond chance; features are counted and
-    tested by Spark, and the driver gets the TERMS best. A word with k edits has
+    as often as in clean ones, and beyond chance; of toxic documents with the
+    same sketch one counts here, or the words of a text copied many times would
+    be terms. Features are counted and tested by Spark, and the driver gets the
+    TERMS best. A word with k edits has
     EDIT ** k of its term's weight, unless the sample holds words as far from
     the term: then what they show. A quoted hit has QUOTED of the weight, moved
     by the quoted hits of the sample.
@@ -229,13 +239,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 4
     rows = cut(docs.select(key, F.col(text).alias("text")).join(F.broadcast(known), key).select("text", "y"))
     sizes = {r["y"] > 0: r["n"] for r in rows.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     n_t, n_c = sizes.get(True, 0), sizes.get(False, 0)
-    toxic = cut(_counts(rows.filter("y > 0"), None).filter(F.col("n") >= max(least, int(0.003 * n_t))))
+    once = cut(rows.filter("y > 0").groupBy(_sketch("text").alias("sketch")).agg(F.min("text").alias("text")).select("text"))
+    n_o = once.count()
+    toxic = cut(_counts(once, None).filter(F.col("n") >= max(least, int(0.003 * n_o))))
     # a small set of features is sent to where clean documents are counted; a large one meets all their features in a join
     wanted = frozenset(r["feature"] for r in toxic.select("feature").collect()) if few(toxic) else None
     both = toxic.withColumnRenamed("n", "a").join(_counts(rows.filter("y <= 0"), wanted).withColumnRenamed("n", "b"), "feature", "left").fillna(0, "b")
-    mean = (F.col("a") + F.col("b")) / max(1, n_t + n_c)
-    evidence = 2 * (F.col("a") * F.ln(F.col("a") / (mean * n_t)) + F.when(F.col("b") > 0, F.col("b") * F.ln(F.col("b") / (mean * n_c))).otherwise(0.0))
-    often = ((F.col("a") + 0.5) / (n_t + 1)) / ((F.col("b") + 0.5) / (n_c + 1)) >= 10
+    mean = (F.col("a") + F.col("b")) / max(1, n_o + n_c)
+    evidence = 2 * (F.col("a") * F.ln(F.col("a") / (mean * n_o)) + F.when(F.col("b") > 0, F.col("b") * F.ln(F.col("b") / (mean * n_c))).otherwise(0.0))
+    often = ((F.col("a") + 0.5) / (n_o + 1)) / ((F.col("b") + 0.5) / (n_c + 1)) >= 10
     best = both.withColumn("g", evidence).filter(often & (F.col("g") >= 22)).orderBy(F.desc("g"), "feature").limit(TERMS)
     t = {r["feature"]: r["a"] for r in best.collect()}
     stems = {f[:-1] for f in t if f.endswith("*")}
@@ -252,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 4
             yield pd.DataFrame({"y": b["y"], "term": [[h[0] for h in f] for f in found], "edits": [[h[1] for h in f] for f in found], "quoted": [[h[2] for h in f] for f in found]})
 
     seen = rows.select("text", F.col("y").cast("int").alias("y")).mapInPandas(find, "y int, term array<string>, edits array<int>, quoted array<boolean>").collect()
-    free(rows, toxic)
+    free(rows, once, toxic)
     of = {True: Counter(), False: Counter()}
     for r in seen:
         of[r["y"] > 0].update(set(zip(r["term"], r["edits"], strict=True)))
