@@ -154,3 +154,53 @@ select j.conv_id, j.call_id, lv.level::int as level,
     '"],"arguments":{"text":' || to_json(text)::varchar || ',"words":' || words || '},"id":"' || j.call_id || '","name":"' || name ||
     '","result":' || coalesce(to_json(content)::varchar, 'null') || '}' end as record
 from j left join lv on lv.conv_id = j.conv_id and lv.turn = j.turn"""
+
+OP12 = """
+with rows as (
+  select row_number() over () as rid, vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::varchar as lab,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+scored as (
+  select a.rid as a, a.vec_id as anchor_id, b.rid as b, b.vec_id, a.lab = b.lab as same, list_dot_product(a.v, b.v)::bigint as score
+  from rows a join rows b on a.rid <> b.rid and len(a.v) = len(b.v) where a.vec_id % 100 = 0
+),
+positive as (
+  select a, anchor_id, b, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by a order by score desc, vec_id nulls last) <= 5
+)
+select p.anchor_id, p.positive_id, (row_number() over w)::int as rank, s.vec_id as negative_id, p.positive_score, s.score as negative_score
+from positive p join scored s on s.a = p.a and not s.same and 80 * p.positive_score <= 100 * s.score and 100 * s.score <= 100 * p.positive_score
+window w as (partition by p.a, p.b order by s.score desc, s.vec_id nulls last)
+qualify row_number() over w <= 5"""
+
+_RUN = r"[A-Za-z\u00C0-\u00FF]+".encode().decode("unicode_escape")
+
+#: Words one edit apart share what a deletion leaves: a replacement at the same place, an insertion the shorter word.
+OP13 = f"""
+with recursive {_CRC.strip().replace("select distinct coalesce(text, '') as txt from documents", "select distinct doc || ':' || run as txt from runs").replace("crc_0 as", "runs as (select doc, run, count(*) as n from (select coalesce(doc_id::varchar, '') as doc, translate(unnest(regexp_extract_all(text, '" + _RUN + "')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents) where length(run) >= 7 group by all), crc_0 as", 1)},
+words as (
+  select word, sum(n)::bigint as n from (
+    select n, case when crc % 31 = 0 then substr(run, 1, (crc % length(run))::int) || substr(run, (crc % length(run))::int + 2) else run end as word
+    from runs join crc on crc.txt = doc || ':' || run)
+  where length(word) >= 7 group by word having sum(n) >= 2
+),
+cuts as (select word, n, place, substr(word, 1, (place - 1)::int) || substr(word, (place + 1)::int) as rest from (select word, n, unnest(range(1, length(word) + 1)) as place from words)),
+near as (
+  select distinct a.word, b.word as other, b.n from cuts a join cuts b on a.rest = b.rest and a.place = b.place and a.word <> b.word
+  union select b.word, a.word, a.n from words a join cuts b on a.word = b.rest
+  union select a.word, b.word, b.n from words a join cuts b on a.word = b.rest
+),
+best as (select word, count(*) as n_near, first(struct_pack(form := other, n := n) order by n desc, other) as b from near group by word),
+formed as (
+  select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when b.n >= 10 * w.n then b.form end as form, case when b.n >= 10 * w.n then b.n end as form_n
+  from words w left join best using (word)
+),
+path as (
+  select word, word as root, 0 as hops from formed
+  union all select p.word, f.form, p.hops + 1 from path p join formed f on f.word = p.root where f.form is not null
+)
+select f.word, f.form, p.root, f.n, f.n_near, f.form_n
+from formed f join (select word, first(root order by hops desc) as root from path group by word) p using (word)"""

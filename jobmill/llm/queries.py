@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmill.llm import byte_bpe, chat_format, exact_dedup, jaccard_join, language, mixing, oracles, sharding, substring_dedup, toxicity, vector_dedup
+from jobmill.llm import byte_bpe, chat_format, exact_dedup, hard_negatives, jaccard_join, language, mixing, oracles, quality, sharding, spelling, substring_dedup, toxicity, vector_dedup
 from jobmill.llm.common import fold, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -59,6 +59,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = quality.fit(docs.filter(~held_out), table(spark, sf_dir, "labels").filter(~held_out))
+    return quality.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    v = v.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(v, F.col("id") % 100 == 0)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
@@ -70,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_language": op9_language,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_quality": op11_quality,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES: dict[str, str] = {
@@ -79,4 +99,6 @@ ORACLES: dict[str, str] = {
     "op6_vector_dedup": oracles.OP6,
     "op7_exact_dedup": oracles.OP7,
     "op8_chat_format": oracles.OP8,
+    "op12_hard_negatives": oracles.OP12,
+    "op13_spelling": oracles.OP13,
 }
