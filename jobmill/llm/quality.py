@@ -82,7 +82,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """
     total: dict | np.ndarray | None = None
     tail = np.zeros(0, np.uint64)
-    reach = max(*WORDS, *SHAPES) - 1
+    reach = max(*WORDS, *SHAPES)  # words of the piece before that n-grams of this one reach, and one more for repetition
     at, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for words in _words(text or ""):
         h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))

@@ -10,6 +10,7 @@ COLUMNS = {
     "op1_toxicity": {"doc_id", "held_out", "score", "predicted"},
     "op5_byte_bpe": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
     "op9_language": {"doc_id", "held_out", "lang_pred", "score"},
+    "op11_quality": {"doc_id", "held_out", "score", "predicted"},
     "op10_substring_dedup": {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"},
 }
 
