@@ -83,21 +83,79 @@ def letter(title: Column, company: Column, domains: Column, skills: Column, resu
     return F.element_at(made, n + 1)
 
 
-def choice_text(c: Column, seed: Column, most: int = 24) -> Column:
-    """``{a|b}`` replaced by one alternative, innermost first, ``most`` groups at most.
+def choice_text(c: Column, seed: Column) -> Column:
+    """``{a|b}`` replaced by one alternative, innermost first, at any depth; braces that aren't a pair, or hold nothing, stay.
 
+    One pass over braces and what is between them, with a stack of open groups.
     The choice is hashed from the seed and the group's text, so it is the same in every run.
     """
-    def step(text: Column) -> Column:
-        parts = F.regexp_extract_all(text, F.lit(r"(?s)^(.*?)\{([^{}]*)\}"), F.lit(1))
-        group = F.regexp_extract(text, r"\{([^{}]*)\}", 1)
-        before = F.length(F.get(parts, F.lit(0)))
-        options = F.split(group, r"\|")
-        chosen = F.element_at(options, F.pmod(F.xxhash64(seed, group), F.size(options).cast("long")).cast("int") + 1)
-        made = F.concat(F.substring(text, F.lit(1), before), chosen, F.substring(text, before + F.length(group) + 3, F.length(text)))
-        return F.when(text.rlike(r"\{[^{}]*\}"), made).otherwise(text)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), c, lambda text, _: step(text))
+    # each open group: its text so far, and whether a brace stays within it
+    group = "struct<t:string,kept:boolean>"
+
+    def made(t: Column, kept: Column) -> Column:
+        return F.struct(t.alias("t"), kept.alias("kept"))
+
+    def step(stack: Column, token: Column) -> Column:
+        top, rest = F.element_at(stack, -1), F.slice(stack, 1, F.size(stack) - 1)
+        options = F.split(top["t"], r"\|")
+        chosen = F.element_at(options, F.pmod(F.xxhash64(seed, top["t"]), F.size(options).cast("long")).cast("int") + 1)
+        under = F.element_at(rest, -1)
+        whole = ~top["kept"] & (top["t"] != "")
+        closed = F.concat(F.slice(rest, 1, F.size(rest) - 1), F.array(F.when(whole, made(F.concat(under["t"], chosen), under["kept"])).otherwise(made(F.concat(under["t"], F.lit("{"), top["t"], F.lit("}")), F.lit(True)))))
+        longer = F.concat(rest, F.array(made(F.concat(top["t"], token), top["kept"])))
+        pushed = F.concat(stack, F.array(made(F.lit(""), F.lit(False))))
+        return F.when(token == "{", pushed).when((token == "}") & (F.size(stack) > 1), closed).otherwise(longer).cast(f"array<{group}>")
+
+    start = F.array(made(F.lit(""), F.lit(False))).cast(f"array<{group}>")
+    tokens = F.regexp_extract_all(c, F.lit(r"([{}]|[^{}]+)"), F.lit(1))
+    return F.aggregate(tokens, start, step, lambda stack: F.array_join(F.transform(stack, lambda x: x["t"]), "{"))
+
+
+def first_of_key(json: Column, key: str) -> Column:
+    """The first value of a key at any depth of a JSON text, depth first, that isn't null; text without quotes, else JSON. Null where there is none or the text is no JSON.
+
+    An object that has the key answers for all that is below it. A key that an
+    object repeats has its last value. One pass over the text's tokens with a
+    stack of open objects and lists; only places of the key are kept.
+    """
+    text = F.regexp_extract_all(json, F.lit(r'("(?:[^"\\]++|\\.)*+"|[{}\[\],:]|[^\s{}\[\],:"]+)'), F.lit(1))
+    place = "struct<at:int,first:int,last:int>"  # token after the colon; first and last token of the object
+    state = f"struct<i:int,stack:array<int>,found:array<{place}>>"
+
+    def named(t: Column) -> Column:
+        plain = F.when(t.contains("\\"), F.get_json_object(F.concat(F.lit('{"x":'), t, F.lit("}")), "$.x")).otherwise(F.substring(t, F.lit(2), F.length(t) - 2))
+        return t.startswith('"') & (plain == key)
+
+    def step(s: Column, t: Column, tokens: Column) -> Column:
+        i, top = s["i"] + 1, F.element_at(s["stack"], -1)
+        closed = F.transform(s["found"], lambda f: F.struct(f["at"].alias("at"), f["first"].alias("first"), F.when(f["first"] == top, i).otherwise(f["last"]).alias("last")))
+        here = (F.get(tokens, i) == ":") & named(t)
+        # the same object again: its last value stays
+        again = F.filter(s["found"], lambda f: f["first"] != top)
+        found = F.when(here, F.concat(again, F.array(F.struct((i + 2).alias("at"), top.alias("first"), F.lit(None).cast("int").alias("last"))))).when(t == "}", closed).otherwise(s["found"])
+        stack = F.when(t.isin("{", "["), F.concat(s["stack"], F.array(i))).when(t.isin("}", "]"), F.slice(s["stack"], 1, F.size(s["stack"]) - 1)).otherwise(s["stack"])
+        return F.struct(i.alias("i"), stack.alias("stack"), found.alias("found")).cast(state)
+
+    def value(tokens: Column, at: Column) -> Column:
+        """JSON text of the value that begins with the token at the place (from 1)."""
+        deep = "struct<n:int,depth:int,done:boolean>"
+        after = F.slice(tokens, at, F.size(tokens))
+
+        def walk(s: Column, t: Column) -> Column:
+            d = s["depth"] + F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0)
+            return F.when(s["done"], s).otherwise(F.struct((s["n"] + 1).alias("n"), d.alias("depth"), (d == 0).alias("done")).cast(deep))
+
+        end = F.aggregate(after, F.struct(F.lit(0).alias("n"), F.lit(0).alias("depth"), F.lit(False).alias("done")).cast(deep), walk)
+        return F.array_join(F.slice(after, 1, end["n"]), "")
+
+    def pick(tokens: Column) -> Column:
+        start = F.struct(F.lit(0).alias("i"), F.array().cast("array<int>").alias("stack"), F.array().cast(f"array<{place}>").alias("found")).cast(state)
+        found = F.aggregate(tokens, start, lambda s, t: step(s, t, tokens))["found"]
+        highest = F.filter(found, lambda f: ~F.exists(found, lambda g: (g["first"] < f["first"]) & (f["last"] < g["last"])))
+        return F.filter(F.transform(F.array_sort(F.transform(highest, lambda f: F.struct(f["first"].alias("a"), f["at"].alias("b")))), lambda f: value(tokens, f["b"])), lambda v: v != "null")
+
+    first = F.get(F.transform(F.array(text), pick), F.lit(0))
+    return F.when(F.get_json_object(json, "$").isNotNull(), F.get_json_object(F.concat(F.lit('{"x":'), F.get(first, F.lit(0)), F.lit("}")), "$.x"))
 
 
 def shorten(c: Column, limit: int = 75, mark: str = "…") -> Column:

@@ -7,6 +7,10 @@ sequence ``seq`` that breaks ties.
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+#: Arrival numbers of a chunk of one key's history.
+CHUNK = 1 << 16
 
 
 def change_feed(*feeds: DataFrame) -> DataFrame:
@@ -29,7 +33,7 @@ def last_write(feed: DataFrame, key: list[str], seq: str = "seq") -> DataFrame:
 
 def coalesce_merge(
     feed: DataFrame, key: list[str], ts: str, seq: str, keep: list[str], replace: list[str] = (), full_only: list[str] = (), is_full: str | None = None,
-    first: dict[str, str] | None = None, last: dict[str, str] | None = None, mode: str = "arrival",
+    first: dict[str, str] | None = None, last: dict[str, str] | None = None, mode: str = "arrival", chunk: Column | None = None,
 ) -> DataFrame:
     """One row per key from a feed of partial and full rows.
 
@@ -40,11 +44,14 @@ def coalesce_merge(
     mode ``arrival``: a row counts only if its time isn't older than the newest
     time that arrived before it, so a late older row never fills a null.
     mode ``event_time``: order of arrival has no effect except between equal times.
+
+    In ``arrival`` mode a key's history is not one group: ``chunk`` (of a whole
+    ``seq``, CHUNK numbers each; else to be given, and never falling as seq grows) divides it. Newest times of
+    chunks come first, then running ones within a chunk.
     """
     full = F.col(is_full) if is_full else F.lit(False)
     if mode == "arrival":
-        w = Window.partitionBy(*key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-        feed = feed.withColumn("_ok", F.col(ts) >= F.coalesce(F.max(ts).over(w), F.col(ts)))
+        feed = _not_older(feed, key, ts, seq, chunk)
         order: Column = F.col(seq)
     elif mode == "event_time":
         feed = feed.withColumn("_ok", F.lit(True))
@@ -63,6 +70,25 @@ def coalesce_merge(
     return feed.groupBy(*key).agg(*out)
 
 
+def _not_older(feed: DataFrame, key: list[str], ts: str, seq: str, chunk: Column | None) -> DataFrame:
+    """Adds _ok: the row's time isn't older than the newest before it in order of seq."""
+    if chunk is None:
+        if not isinstance(feed.schema[seq].dataType, IntegralType):
+            raise ValueError(f"{seq} is no whole number: give the chunk of a row")
+        chunk = F.floor(F.col(seq) / CHUNK)
+    feed = feed.withColumn("_chunk", chunk)
+    before = Window.partitionBy(*[f"_c_{c}" for c in key]).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    tops = feed.groupBy(*[F.col(c).alias(f"_c_{c}") for c in key], "_chunk").agg(F.max(ts).alias("_top"))
+    tops = tops.withColumn("_before", F.max("_top").over(before)).filter(F.col("_before").isNotNull()).drop("_top").withColumnRenamed("_chunk", "_c")
+    # only chunks that follow another of their key have a row here: none for most keys
+    on = F.col("_chunk").eqNullSafe(F.col("_c"))
+    for c in key:
+        on = on & F.col(c).eqNullSafe(F.col(f"_c_{c}"))
+    inside = Window.partitionBy(*key, "_chunk").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    newest_before = F.greatest(F.max(ts).over(inside), F.col("_before"))
+    return feed.join(tops, on, "left").withColumn("_ok", F.col(ts) >= F.coalesce(newest_before, F.col(ts)))
+
+
 def reconciled_merge(feed: DataFrame, key: list[str], order: list[str], first: str, last: str) -> DataFrame:
     """The newest row of each key in full, nulls too, with the least ``first`` and the greatest ``last`` of all its rows."""
     ends = feed.groupBy(*key).agg(F.min(first).alias(first), F.max(last).alias(last))

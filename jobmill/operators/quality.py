@@ -36,11 +36,30 @@ def catalogue_signature(catalogue: DataFrame, pos: str, key: str, by: list[str])
     return catalogue.groupBy(*by).agg(F.sha2(F.to_json(keys).cast("binary"), 256).alias("signature"), F.count("*").alias("size"))
 
 
-def rowset_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Order-independent: count and sum of the first 60 bits of each row's digest, modulo 2 ** 61 - 1. One number a task."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
-    part = F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(part) % F.lit(2**61 - 1).cast("decimal(38,0)"), F.lit(0)).cast("long").alias("fingerprint"))
+def rowset_fingerprint(df: DataFrame, columns: list[str], leaf: int = 4096) -> DataFrame:
+    """One row: n, and a SHA-256 over all rows whatever their order; any row changed, added, repeated or gone changes it.
+
+    A digest tree: rows are digested as JSON lists of texts (null is not the text of null),
+    sorted within ranges of the first hexadecimal digits, two a level, so
+    many that a range holds about ``leaf`` rows; each range has a digest over its
+    sorted digests, each level one over its ranges'. No task holds more than a range or 256 digests.
+    """
+    row = F.sha2(F.to_json(F.array(*[F.col(c).cast("string") for c in columns])).cast("binary"), 256)
+    rows = df.select(row.alias("d"))
+    n = rows.count()
+    levels, held = 0, n
+    while held > leaf:
+        levels, held = levels + 1, held // 256
+
+    def up(nodes: DataFrame, digits: int) -> DataFrame:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "d"))), lambda x: x["d"]), "")
+        return nodes.groupBy(F.substring("at", 1, digits).alias("_to")).agg(F.sha2(joined.cast("binary"), 256).alias("d")).select(F.col("_to").alias("at"), "d")
+
+    nodes = rows.withColumn("at", F.col("d"))
+    for level in range(levels, 0, -1):
+        nodes = up(nodes, 2 * level)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "d"))), lambda x: x["d"]), "")
+    return nodes.agg(F.sha2(joined.cast("binary"), 256).alias("fingerprint")).select(F.lit(n).cast("long").alias("n"), "fingerprint")
 
 
 def hex64(c: Column) -> Column:

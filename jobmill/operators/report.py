@@ -1,6 +1,6 @@
 """Counts, roll-ups and lists for reports."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -78,9 +78,16 @@ def rates(df: DataFrame, by: list[str], flags: dict[str, Column]) -> DataFrame:
 
 
 def latency(df: DataFrame, by: list[str], start: str, end: str, points: list[float]) -> DataFrame:
-    """Percentiles of whole days between two times."""
-    days = F.datediff(end, start)
-    return df.groupBy(*by).agg(F.count("*").alias("n"), *[F.percentile_approx(days, p).alias(f"p{round(100 * p)}") for p in points])
+    """Exact percentiles of whole days between two times: the first day up to which a share of the group's rows lie; rows without both times don't count.
+
+    Rows are counted by group and day first, so a window holds one row a day.
+    """
+    days = df.groupBy(*by, F.datediff(end, start).alias("_day")).agg(F.count("*").alias("_n")).filter(F.col("_day").isNotNull())
+    w = Window.partitionBy(*by)
+    run = days.withColumns({"_upto": F.sum("_n").over(w.orderBy("_day")), "_all": F.sum("_n").over(w)})
+    # k of n rows are p of them: compared as 100000 * k >= 100000 p * n, in whole numbers
+    at = [F.min(F.when(F.col("_upto") * 100_000 >= F.col("_all") * round(p * 100_000), F.col("_day"))).alias(f"p{round(100 * p)}") for p in points]
+    return run.groupBy(*by).agg(F.sum("_n").alias("n"), *at)
 
 
 def not_in(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
@@ -109,15 +116,37 @@ def area_tree(areas: DataFrame, area: str, parent: str, name: str) -> DataFrame:
     return out.withColumn("label", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.col(name)))
 
 
-def traceback_lines(lines: DataFrame, order: str, text: str, last: int = 1000) -> DataFrame:
-    """Lines of tracebacks with the line before each, at most the last ones. One log file at a time: the log is one sequence."""
-    from pyspark.sql import Window
+def traceback_lines(lines: DataFrame, log: list[str], pos: str, text: str, after: str, last: int = 1000, span: int = 1 << 16) -> DataFrame:
+    """Lines of tracebacks of each log, at most the ``last`` ones of it: the log's columns, ``pos``, ``text``, and ``place`` (0 for the line before a head, 1 else).
 
-    w = Window.orderBy(order)
-    head = F.col(text).startswith("Traceback (most recent call last)")
-    body = F.col(text).rlike(r"^\s|^Traceback|^[A-Za-z_.]*(Error|Exception)\b")
-    marked = lines.withColumns({"_head": head, "_body": body})
-    marked = marked.withColumn("_block", F.sum(F.when(F.col("_head"), 1).otherwise(0)).over(w)).withColumn("_next", F.lead("_head").over(w))
-    broken = marked.withColumn("_out", F.max(F.when(~F.col("_body"), 1).otherwise(0)).over(Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
-    kept = broken.filter(F.coalesce("_next", F.lit(False)) | ((F.col("_block") > 0) & (F.col("_out") == 0)))
-    return kept.orderBy(F.desc(order)).limit(last).select(*lines.columns)
+    A traceback begins at its head and ends before the next line with a time; it
+    counts if the last time before it isn't before ``after``. The line before
+    each head comes with it, again if it was part of a traceback itself.
+
+    A log is one sequence, but no task holds it: positions (whole numbers) are
+    cut into spans of ``span``. Each span is summed up first: its last time, whether a head
+    follows it, its last line. Windows over spans carry these into the next
+    span, windows within a span do the rest.
+    """
+    c = lines.select(*log, pos, text).withColumns({
+        "_span": F.floor(F.col(pos) / span), "_time": F.try_to_timestamp(F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})", 1)), "_head": F.col(text).startswith("Traceback (most recent call last):")})
+    part = [*log, "_span"]
+    spans = c.groupBy(*part).agg(
+        F.max_by("_time", F.when(F.col("_time").isNotNull(), F.col(pos))).alias("_time"), F.max(F.when(F.col("_time").isNotNull(), F.col(pos))).alias("_at"),
+        F.max(F.when(F.col("_head"), F.col(pos))).alias("_head_at"), F.max_by(F.struct(F.col(pos).alias("p"), F.col(text).alias("t")), pos).alias("_line"))
+    before = Window.partitionBy(*log).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(
+        *part, F.last("_time", ignorenulls=True).over(before).alias("_in_time"), F.coalesce(F.max("_head_at").over(before) > F.max("_at").over(before), F.lit(False)).alias("_in_open"), F.last("_line").over(before).alias("_in_line"))
+    c = c.join(spans, part)
+    w = Window.partitionBy(*part).orderBy(pos)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumns({
+        "_now": F.coalesce(F.last("_time", ignorenulls=True).over(upto), F.col("_in_time")), "_last_time": F.max(F.when(F.col("_time").isNotNull(), F.col(pos))).over(upto), "_last_head": F.max(F.when(F.col("_head"), F.col(pos))).over(upto),
+        "_prev": F.coalesce(F.lag(F.struct(F.col(pos).alias("p"), F.col(text).alias("t"))).over(w), F.col("_in_line"))})
+    open_ = F.when(F.col("_last_head").isNotNull(), F.col("_last_time").isNull() | (F.col("_last_head") > F.col("_last_time"))).otherwise(F.col("_last_time").isNull() & F.col("_in_open"))
+    fresh = F.coalesce(F.col("_now") >= F.lit(after).cast("timestamp"), F.lit(False))
+    own = F.when(open_, F.struct(F.lit(1).alias("place"), F.col(pos).alias("_p"), F.col(text).alias("_t")))
+    lead = F.when(F.col("_head"), F.struct(F.lit(0).alias("place"), F.col("_prev.p").alias("_p"), F.col("_prev.t").alias("_t")))
+    kept = c.filter(fresh).select(*log, F.col(pos).alias("_from"), F.explode(F.filter(F.array(lead, own), lambda x: x.isNotNull())).alias("x"))
+    rank = F.row_number().over(Window.partitionBy(*log).orderBy(F.desc("_from"), F.desc("x.place")))
+    return kept.withColumn("_rank", rank).filter(F.col("_rank") <= last).select(*log, F.col("_from").alias("head_or_line"), F.col("x._p").alias(pos), F.col("x._t").alias(text), "x.place")

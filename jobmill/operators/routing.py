@@ -58,18 +58,43 @@ def circular_window(catalogue: DataFrame, pos: str, n: int | Column, start: int
     return catalogue.withColumn("place", F.pmod(F.col(pos) - start, n)).filter(F.col("place") < F.least(F.lit(size), n))
 
 
-def fan_out(fetched: DataFrame, bindings: DataFrame, account: list[str], matched_keys: str, matched_sets: str, key_sets: str, resume_sets: str) -> DataFrame:
-    """Every fetched posting with every active binding of its account, with the overlap of their query sets.
-
-    Overlap never filters. ``key_sets`` maps a query key to its set. An equal
-    join on the account: it grows with postings times bindings of one account.
+def fan_out(fetched: DataFrame, bindings: DataFrame, account: list[str], matched_keys: str, matched_sets: str, key_sets: str, resume_sets: str, broadcast_bytes: int = 16 << 20) -> DataFrame:
+    """Every fetched posting with every active binding of its account, with the overlap of their query sets: work items, asked for by who wants the rows.
+
+    Overlap never filters. ``key_sets`` maps a query key to its set. Bindings
+    are counted first: up to ``broadcast_bytes`` (as texts) they are broadcast
+    and no posting moves; beyond it both sides are shuffled by account, with a
+    posting's account split by AQE. The rows are postings times bindings of an
+    account by definition; ``fan_out_counts`` has their counts without them.
     """
-    j = fetched.join(bindings, account)
+    size = bindings.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("n")).first()["n"] or 0
+    j = fetched.join(F.broadcast(bindings) if size <= broadcast_bytes else bindings, account)
     shared_sets = F.filter(matched_sets, lambda s: F.array_contains(F.col(resume_sets), s))
     shared_keys = F.filter(matched_keys, lambda k: F.coalesce(F.array_contains(F.col(resume_sets), F.element_at(F.col(key_sets), k)), F.lit(False)))
     return j.withColumns({"overlap_sets": shared_sets, "overlap_keys": shared_keys}).withColumn("has_overlap", F.size("overlap_sets") > 0)
 
 
+def fan_out_counts(fetched: DataFrame, bindings: DataFrame, account: list[str], matched_keys: str, matched_sets: str, key_sets: str, resume_sets: str) -> DataFrame:
+    """Per account with both: items, overlapping (items whose query sets meet), shared_keys (keys shared, summed over items); no item is formed.
+
+    Postings and bindings are counted by their combination of sets. Sets are an
+    inverted index: combinations of both sides that share a set meet there, each pair of
+    combinations once, and counts multiply. Shared keys are counts of keys of a
+    set times counts of bindings that have the set.
+    """
+    p = fetched.groupBy(*account, F.array_sort(F.array_distinct(matched_sets)).alias("_m")).agg(F.count("*").alias("_p"))
+    b = bindings.groupBy(*account, F.array_sort(F.array_distinct(resume_sets)).alias("_r")).agg(F.count("*").alias("_b"))
+    items = p.groupBy(*account).agg(F.sum("_p").alias("_p")).join(b.groupBy(*account).agg(F.sum("_b").alias("_b")), account).select(*account, (F.col("_p") * F.col("_b")).alias("items"))
+    left, right = p.select("*", F.explode("_m").alias("_set")), b.select("*", F.explode("_r").alias("_set"))
+    met = left.join(right, [*account, "_set"]).groupBy(*account, "_m", "_r").agg(F.first("_p").alias("_p"), F.first("_b").alias("_b"))
+    met = met.groupBy(*account).agg(F.sum(F.col("_p") * F.col("_b")).alias("overlapping"))
+    keys = fetched.select(*account, key_sets, F.explode(matched_keys).alias("_k")).groupBy(*account, F.element_at(F.col(key_sets), F.col("_k")).alias("_set")).agg(F.count("*").alias("_k"))
+    having = right.groupBy(*account, "_set").agg(F.sum("_b").alias("_b"))
+    shared = keys.join(having, [*account, "_set"]).groupBy(*account).agg(F.sum(F.col("_k") * F.col("_b")).alias("shared_keys"))
+    out = items.join(met, account, "left").join(shared, account, "left")
+    return out.select(*account, "items", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("overlapping", "shared_keys")])
+
+
 def fan_out_completeness(expected: DataFrame, actual: DataFrame, group: list[str], member: str) -> DataFrame:
     """Per group: missing, unexpected and repeated members; complete when there are none."""
     e = expected.select(*group, member).distinct().withColumn("_e", F.lit(1))

@@ -153,9 +153,9 @@ def fanout_work_items(t):
     sets = F.array(*map(F.lit, ("MACHINERY", "AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD")))
     v = t("customer").select("c_custkey", F.col("c_nationkey").alias("account"), F.array("c_mktsegment").alias("matched_sets"), F.array(F.lit("q")).alias("matched_keys"), F.create_map(F.lit("q"), "c_mktsegment").alias("key_sets"))
     b = t("supplier").select("s_suppkey", F.col("s_nationkey").alias("account"), F.array(F.element_at(sets, (F.col("s_suppkey") % 5 + 1).cast("int"))).alias("resume_sets"))
-    w = routing.fan_out(v, b, ["account"], "matched_keys", "matched_sets", "key_sets", "resume_sets")
+    w = routing.fan_out_counts(v, b, ["account"], "matched_keys", "matched_sets", "key_sets", "resume_sets")
     n = t("nation").select(F.col("n_nationkey").alias("account"), "n_name")
-    return w.groupBy("account").agg(F.count("*").alias("items"), F.count_if("has_overlap").alias("overlapping"), F.sum(F.size("overlap_keys")).alias("shared_keys")).join(n, "account").drop("account")
+    return w.join(n, "account").drop("account")
 
 
 @query("""
@@ -533,10 +533,18 @@ def catalogue_signature(t):
     return quality.catalogue_signature(li, "pos", "k", ["l_orderkey"])
 
 
-_FP = "select '{0}' as name, count(*) as n, (sum(('0x' || substr(sha256({1}), 1, 15))::bigint::hugeint) % 2305843009213693951)::bigint as fingerprint from {0}"
+_FP = """
+select '{0}' as name, (select count(*) from {0}) as n, (
+  with d as (select sha256({1}) as d from {0}), levels as (select case when count(*) > 4096 * 256 then null else count(*) > 4096 end as two from d),
+  parts as (select substr(d, 1, 2) as part, sha256(string_agg(d, '' order by d)) as d from d group by 1)
+  select case when two then (select sha256(string_agg(d, '' order by part)) from parts) else (select sha256(coalesce(string_agg(d, '' order by d), '')) from d) end from levels) as fingerprint"""
 
 
-@query(" union all ".join(_FP.format(n, " || '|' || ".join(f"coalesce({c}::varchar, '\\N')" for c in cs)) for n, cs in (("region", ("r_regionkey", "r_name")), ("orders", ("o_orderkey", "o_custkey", "o_orderstatus", "round(o_totalprice * 100)::bigint", "o_orderdate::date", "o_orderpriority")))))
+def _as_json(*columns: str) -> str:
+    return "'[' || " + " || ',' || ".join(f"coalesce(to_json({c}::varchar)::varchar, 'null')" for c in columns) + " || ']'"
+
+
+@query(" union all ".join(_FP.format(n, _as_json(*cs)) for n, cs in (("region", ("r_regionkey", "r_name")), ("orders", ("o_orderkey", "o_custkey", "o_orderstatus", "round(o_totalprice * 100)::bigint", "o_orderdate::date", "o_orderpriority")))))
 def rowset_fingerprint(t):
     a = quality.rowset_fingerprint(t("region"), ["r_regionkey", "r_name"]).withColumn("name", F.lit("region"))
     return a.unionByName(quality.rowset_fingerprint(t("orders").withColumns({"price": cents("o_totalprice"), "day": F.to_date("o_orderdate")}), ["o_orderkey", "o_custkey", "o_orderstatus", "price", "day", "o_orderpriority"]).withColumn("name", F.lit("orders")))

@@ -46,12 +46,6 @@ def test_canonical_posting(spark):
     assert [(r["a"], r["b"], r["c"], r["cast_failures"]) for r in m] == [(7, "x", None, 0), (0, "none", None, 1)]
 
 
-def test_log_lines(spark):
-    log = ["ok", "before", "Traceback (most recent call last):", "  File x", "ValueError: y", "after", "more"]
-    df = spark.createDataFrame(list(enumerate(log)), "n int, line string")
-    assert [r["line"] for r in report.traceback_lines(df, "n", "line").orderBy("n").collect()] == log[1:5]
-
-
 def test_adhoc(spark, tmp_path):
     df = run_sql(spark, {"t_adhoc": spark.range(20)}, "select id * 2 as x from t_adhoc order by id")
     rows, more = preview(df)
