@@ -117,8 +117,11 @@ def headers(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
     return heads[0].unionByName(heads[1]), reduce(DataFrame.unionByName, [*bad, unknown, clash])
 
 
-def parse(objects: DataFrame, bucket: str, prefix: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    """(typed parts by kind, quarantine(run_id, key, rule)). An object below no sound header is left out with its run."""
+def parse(objects: DataFrame, bucket: str, prefix: str, versions: tuple[int, ...] = (3, 2)) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(typed parts by kind, quarantine(run_id, key, rule)). An object below no sound header is left out with its run.
+
+    versions: 3 for the parts of runs that observe, 2 for those of runs that apply; runs of other versions are the caller's to leave out.
+    """
     heads, bad_heads = headers(objects)
     bad = [bad_heads]
     head = heads.select("run_id", "version", "h")
@@ -137,35 +140,51 @@ def parse(objects: DataFrame, bucket: str, prefix: str) -> tuple[dict[str, DataF
     need = [F.when(F.col("search_item").isNull(), "search_item_missing")] + [F.when((F.col("version") == 3) & F.col(n).isNull(), f"{n}_missing") for n in ("observation", "evaluation_candidates")]
     failing(keys.join(head, "run_id").withColumn("key", F.lit(None).cast("string")), F.filter(F.array(*need), lambda x: x.isNotNull()))
 
-    parts = {"heads": heads, "keys": keys, "search_item": kind("search_item", "search_item", None, POSTING), "vacancy": kind("vacancy", "vacancy", None, POSTING), "decision": kind("decision", "decision", 2)}
+    parts = {"heads": heads, "keys": keys, "search_item": kind("search_item", "search_item", None, POSTING), "vacancy": kind("vacancy", "vacancy", None, POSTING)}
     full = mapping.canonical_posting(parts["vacancy"], "payload", provenance=["run_id", "key"])
     bad.append(full.filter(~F.col("valid")).select("run_id", "key", F.lit("posting_incomplete").alias("rule")))
 
-    # an observation with its work items: both sides of one candidate, one row
-    on = ["run_id", "vacancy_id"]
-    seen = kind("observation", "observation", 3).withColumnRenamed("v", "o")
-    work = kind("evaluation_candidates", "evaluation_candidates", 3).select(*on, F.col("v").alias("e"))
-    pairs = seen.join(work, on)
-    failing(pairs, broken(SIDECAR_RULES))
-    uris = {"search_item_uri": "search_item", "vacancy_uri": "vacancy", "evaluation_candidates_uri": "evaluation_candidates"}
-    resolved = routing.uris_resolve(pairs.select(*on, *[F.col(f"o.{u}").alias(u) for u in uris]), keys.select(*on, *uris.values()), on, uris, lambda u: relative_key(u, bucket, prefix)["key"])
-    failing(resolved.withColumn("key", F.lit(None).cast("string")), F.col("violations"))
-    parts["observed"] = pairs
-
     counted = keys.groupBy("run_id").agg(F.count("*").alias("candidates"))
-    items = pairs.groupBy("run_id").agg(F.sum(F.size("e.evaluations")).alias("work_items"))
-    for version, contract in ((3, "observe_summary"), (2, "apply_summary")):
-        s = kind("summary", contract, version, group="run").withColumnRenamed("v", "s").join(counted, "run_id", "left").join(items, "run_id", "left").na.fill(0, ["candidates", "work_items"])
-        failing(s, broken(SUMMARY_RULES[version]))
-        parts[f"summary{version}"] = s
-
-    outcomes = kind("outcome", "outcome", 2).withColumn("event_type", F.regexp_extract("v.event_type", r"[^.]+$", 0))
-    proofs = proven(merge.applications_from(outcomes, "event_type", "application_failed").withColumnRenamed("v", "o"), objects, bucket, prefix)
-    failing(proofs, broken(APPLICATION_RULES))
-    parts["applied"] = proofs
+
+    def summary(version: int, contract: str, items: DataFrame | None) -> None:
+        t = kind("summary", contract, version, group="run").withColumnRenamed("v", "s").join(counted, "run_id", "left")
+        t = (t.join(items, "run_id", "left") if items is not None else t.withColumn("work_items", F.lit(0).cast("long"))).na.fill(0, ["candidates", "work_items"])
+        failing(t, broken(SUMMARY_RULES[version]))
+        parts[f"summary{version}"] = t
+
+    if 3 in versions:
+        # an observation with its work items: both sides of one candidate, one row
+        on = ["run_id", "vacancy_id"]
+        seen = kind("observation", "observation", 3).withColumnRenamed("v", "o")
+        work = kind("evaluation_candidates", "evaluation_candidates", 3).select(*on, F.col("v").alias("e"))
+        pairs = seen.join(work, on)
+        failing(pairs, broken(SIDECAR_RULES))
+        uris = {"search_item_uri": "search_item", "vacancy_uri": "vacancy", "evaluation_candidates_uri": "evaluation_candidates"}
+        resolved = routing.uris_resolve(pairs.select(*on, *[F.col(f"o.{u}").alias(u) for u in uris]), keys.select(*on, *uris.values()), on, uris, lambda u: relative_key(u, bucket, prefix)["key"])
+        failing(resolved.withColumn("key", F.lit(None).cast("string")), F.col("violations"))
+        parts["observed"] = pairs
+        summary(3, "observe_summary", pairs.groupBy("run_id").agg(F.sum(F.size("e.evaluations")).alias("work_items")))
+    if 2 in versions:
+        parts["decision"] = kind("decision", "decision", 2)
+        summary(2, "apply_summary", None)
+        outcomes = kind("outcome", "outcome", 2).withColumn("event_type", F.regexp_extract("v.event_type", r"[^.]+$", 0))
+        proofs = proven(merge.applications_from(outcomes, "event_type", "application_failed").withColumnRenamed("v", "o"), objects, bucket, prefix)
+        failing(proofs, broken(APPLICATION_RULES))
+        parts["applied"] = proofs
     return parts, reduce(DataFrame.unionByName, bad)
 
 
+def store_parts(parts: dict[str, DataFrame], quarantine: DataFrame, path: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The same, each part written once below ``path`` and read from there, so that what follows reads no raw object again."""
+    spark = quarantine.sparkSession
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    return {n: stored(d, n) for n, d in parts.items()}, stored(quarantine, "quarantine")
+
+
 def proven(outcomes: DataFrame, objects: DataFrame, bucket: str, prefix: str) -> DataFrame:
     """Outcomes o with the four objects of the application that each points to: q, r, b, a (structs of v, violations, key; null where absent), result_path, cover_error."""
     key = relative_key(F.col("o.application_result_uri"), bucket, prefix)["key"]
@@ -179,10 +198,19 @@ def proven(outcomes: DataFrame, objects: DataFrame, bucket: str, prefix: str) ->
     return out.drop("_key", "_at")
 
 
-def current_state(parts: dict[str, DataFrame], quarantine: DataFrame, base: str, source: str = "board") -> dict[str, DataFrame]:
-    """Tables of current state from the sound runs: profiles, resumes, vacancies, runs, observations, work_items, decisions, applications. ``base`` is the URI that keys are below."""
+COUNTERS = ["search_observation_count", "unique_vacancy_count", "candidate_count", "full_fetch_attempted", "full_fetched", "evaluation_candidate_count", "failed", "stopped_on_captcha", "discovered", "prefiltered", "accepted", "submitted", "confirmed"]
+ONLY_FULL = ["description", "salary_from", "salary_to", "salary_currency", "remote", "employment_type", "experience", "flags"]
+#: The key of each table of current state.
+KEYS = {
+    "profiles": ["source", "profile_id"], "resumes": ["profile_id", "resume_id"], "vacancies": ["source", "source_entity_id"], "runs": ["run_id"], "observations": ["run_id", "vacancy_id"], "work_items": ["run_id", "vacancy_id", "resume_id"],
+    "decisions": ["run_id", "vacancy_id", "stage"], "applications": ["profile_id", "resume_id", "vacancy_id"],
+}
+
+
+def feeds(parts: dict[str, DataFrame], quarantine: DataFrame, base: str, source: str = "board", arrival: str = "") -> dict[str, DataFrame]:
+    """Rows of the sound runs for each table of current state, not merged yet, in order of ``seq``: ``arrival``, then date and run. ``base`` is the URI that keys are below."""
     bad = quarantine.select("run_id").distinct()
-    seq = F.concat_ws("/", F.col("date").cast("string"), "run_id")
+    seq = F.concat(F.lit(arrival), F.concat_ws("/", F.col("date").cast("string"), "run_id"))
 
     def sound(name: str) -> DataFrame:
         return merge.whole_runs(parts[name], bad, ["run_id"]).withColumn("seq", seq)
@@ -191,10 +219,9 @@ def current_state(parts: dict[str, DataFrame], quarantine: DataFrame, base: str,
         return F.concat(F.lit(f"{base.rstrip('/')}/"), key)
 
     heads = sound("heads")
-    account = F.col("h.account_key")
-    profiles = heads.groupBy(F.lit(source).alias("source"), F.col("h.profile_id").alias("profile_id")).agg(F.max_by(F.when(account.isNotNull(), account), F.when(account.isNotNull(), F.col("seq"))).alias("account_key"))
-    resume = heads.select(F.col("h.profile_id").alias("profile_id"), F.col("h.started_at").alias("at"), F.explode(F.when(F.col("version") == 3, F.col("h.resume_ids")).otherwise(F.array("h.resume_id"))).alias("resume_id"))
-    resumes = resume.groupBy("profile_id", "resume_id").agg(F.min("at").alias("first_seen_at"), F.max("at").alias("last_seen_at"))
+    out = {"profiles": heads.select(F.lit(source).alias("source"), F.col("h.profile_id").alias("profile_id"), F.col("h.account_key").alias("account_key"), "seq")}
+    resume = heads.select(F.col("h.profile_id").alias("profile_id"), F.col("h.started_at").alias("first_seen_at"), F.col("h.started_at").alias("last_seen_at"), F.explode(F.when(F.col("version") == 3, F.col("h.resume_ids")).otherwise(F.array("h.resume_id"))).alias("resume_id"), "seq")
+    out["resumes"] = resume
 
     provenance = ["run_id", "vacancy_id", "observed_at", "seq", "key", "sha256"]
     full = sound("vacancy")
@@ -202,35 +229,58 @@ def current_state(parts: dict[str, DataFrame], quarantine: DataFrame, base: str,
     full = mapping.canonical_posting(full, "payload", source, [*provenance, "flags"]).drop("valid").withColumns({"is_full": F.lit(True), "seq": F.concat("seq", F.lit("/1"))})
     item = sound("search_item")
     partial = mapping.search_item(item.withColumn("_employer", F.col("payload.employer.id")), "payload", [*provenance, "_employer"]).withColumnRenamed("_employer", "company_id").withColumns({"is_full": F.lit(False), "source": F.lit(source), "seq": F.concat("seq", F.lit("/0"))})
-    feed = merge.change_feed(full, partial).withColumns({"raw_uri": uri("key"), "content_hash": F.col("sha256")})
-    only_full = ["description", "salary_from", "salary_to", "salary_currency", "remote", "employment_type", "experience", "flags"]
-    vacancies = merge.coalesce_merge(feed, ["source", "source_entity_id"], "observed_at", "seq", ["title", "company_name", "company_id", "area_name", "url", "published_at"], ["raw_uri", "content_hash"], only_full, "is_full",
-                                     {"first_seen_at": "observed_at"}, {"last_seen_at": "observed_at"})
-
-    counters = ["search_observation_count", "unique_vacancy_count", "candidate_count", "full_fetch_attempted", "full_fetched", "evaluation_candidate_count", "failed", "stopped_on_captcha", "discovered", "prefiltered", "accepted", "submitted", "confirmed"]
+    feed = merge.change_feed(full, partial).withColumns({"raw_uri": uri("key"), "content_hash": F.col("sha256"), "first_seen_at": F.col("observed_at"), "last_seen_at": F.col("observed_at")})
+    out["vacancies"] = feed
 
     def end(name: str) -> DataFrame:
         have = set(parts[name].schema["s"].dataType.fieldNames())
-        return parts[name].select("run_id", F.try_to_timestamp("s.finished_at").alias("finished_at"), *[(F.col(f"s.{c}") if c in have else F.lit(None)).cast("boolean" if c == "stopped_on_captcha" else "int").alias(c) for c in counters])
-
-    runs = heads.join(end("summary3").unionByName(end("summary2")), "run_id", "left").select(
-        "run_id", "date", "version", F.when(F.col("finished_at").isNull(), "incomplete").otherwise("finished").alias("status"), "h.*", "finished_at", *counters, F.concat(F.lit("batches/date="), F.col("date").cast("string"), F.lit("/run_id="), "run_id").alias("s3_prefix"))
-
-    seen = sound("observed")
-    observations = merge.last_write(seen.select("run_id", "vacancy_id", "seq", *[F.col(f"o.{c}").alias(c) for c in ("full_fetch_status", "matched_query_keys", "matched_query_sets", "query_page_uris", "search_item_uri", "vacancy_uri", "evaluation_candidates_uri")],
-                                                F.try_to_timestamp("o.observed_at").alias("observed_at")), ["run_id", "vacancy_id"])
-    work = seen.select("run_id", "vacancy_id", "seq", F.try_to_timestamp("e.created_at").alias("created_at"), F.explode("e.evaluations").alias("x"))
-    work_items = merge.last_write(work.select("run_id", "vacancy_id", F.col("x.source_resume_id").alias("resume_id"), "seq", *[F.col(f"x.{c}").alias(c) for c in ("binding_key", "target_key", "binding_version", "auto_apply", "matched_query_keys", "matched_query_sets", "resume_query_sets",
-                                              "full_fetch_status", "evaluation_status")], F.col("x.provenance_overlap").alias("overlap"), "created_at"), ["run_id", "vacancy_id", "resume_id"])
-    decisions = merge.last_write(sound("decision").select("run_id", "vacancy_id", F.col("v.stage").alias("stage"), "seq", F.col("v.accepted").alias("accepted"), F.col("v.reason").alias("reason"), F.coalesce("v.matched_domains", F.array().cast("array<string>")).alias("matched_domains"),
-                                 F.coalesce("v.blocked_terms", F.array().cast("array<string>")).alias("blocked_terms"), mapping.keep_keys(F.col("rest"), DECISION_METADATA).alias("metadata"), F.try_to_timestamp("v.created_at").alias("created_at")), ["run_id", "vacancy_id", "stage"])
-    after = F.when(~F.get_json_object("r.v.confirmation_error", "$.stage").eqNullSafe("vacancy_after"), uri("a.key"))
-    applied = sound("applied").select(
-        F.col("h.profile_id").alias("profile_id"), F.col("h.resume_id").alias("resume_id"), "vacancy_id", "seq", F.col("o.application_run_id").alias("application_run_id"), F.col("run_id").alias("batch_run_id"), F.col("r.v.submission_mode").alias("submission_mode"),
-        F.col("r.v.status").alias("status"), F.col("r.v.confirmed").alias("confirmed"), F.try_to_timestamp("q.v.requested_at").alias("requested_at"), F.try_to_timestamp("r.v.finished_at").alias("finished_at"), F.col("o.cover_letter_uri").alias("cover_letter_uri"),
-        uri("q.key").alias("request_uri"), uri("r.key").alias("result_uri"), uri("b.key").alias("before_uri"), after.alias("after_uri"), F.struct("r.v.relations", "r.v.claim_status", "r.v.confirmation_evidence", "r.v.confirmation_error").alias("upstream"))
-    applications = merge.newest(applied, ["profile_id", "resume_id", "vacancy_id"], ["requested_at", "seq"])
-    return {"profiles": profiles, "resumes": resumes, "vacancies": vacancies, "runs": runs, "observations": observations.drop("seq"), "work_items": work_items.drop("seq"), "decisions": decisions.drop("seq"), "applications": applications.drop("seq")}
+        return parts[name].select("run_id", F.try_to_timestamp("s.finished_at").alias("finished_at"), *[(F.col(f"s.{c}") if c in have else F.lit(None)).cast("boolean" if c == "stopped_on_captcha" else "int").alias(c) for c in COUNTERS])
+
+    ends = reduce(DataFrame.unionByName, [end(n) for n in ("summary3", "summary2") if n in parts])
+    out["runs"] = heads.join(ends, "run_id", "left").select(
+        "run_id", "date", "version", F.when(F.col("finished_at").isNull(), "incomplete").otherwise("finished").alias("status"), "h.*", "finished_at", *COUNTERS, F.concat(F.lit("batches/date="), F.col("date").cast("string"), F.lit("/run_id="), "run_id").alias("s3_prefix"), "seq")
+    if "observed" in parts:
+        seen = sound("observed")
+        out["observations"] = seen.select("run_id", "vacancy_id", "seq", *[F.col(f"o.{c}").alias(c) for c in ("full_fetch_status", "matched_query_keys", "matched_query_sets", "query_page_uris", "search_item_uri", "vacancy_uri", "evaluation_candidates_uri")], F.try_to_timestamp("o.observed_at").alias("observed_at"))
+        work = seen.select("run_id", "vacancy_id", "seq", F.try_to_timestamp("e.created_at").alias("created_at"), F.explode("e.evaluations").alias("x"))
+        out["work_items"] = work.select("run_id", "vacancy_id", F.col("x.source_resume_id").alias("resume_id"), "seq", *[F.col(f"x.{c}").alias(c) for c in ("binding_key", "target_key", "binding_version", "auto_apply", "matched_query_keys", "matched_query_sets", "resume_query_sets",
+                                        "full_fetch_status", "evaluation_status")], F.col("x.provenance_overlap").alias("overlap"), "created_at")
+    if "decision" in parts:
+        none = F.array().cast("array<string>")
+        out["decisions"] = sound("decision").select("run_id", "vacancy_id", F.col("v.stage").alias("stage"), "seq", F.col("v.accepted").alias("accepted"), F.col("v.reason").alias("reason"), F.coalesce("v.matched_domains", none).alias("matched_domains"),
+                                                    F.coalesce("v.blocked_terms", none).alias("blocked_terms"), mapping.keep_keys(F.col("rest"), DECISION_METADATA).alias("metadata"), F.try_to_timestamp("v.created_at").alias("created_at"))
+        after = F.when(~F.get_json_object("r.v.confirmation_error", "$.stage").eqNullSafe("vacancy_after"), uri("a.key"))
+        out["applications"] = sound("applied").select(
+            F.col("h.profile_id").alias("profile_id"), F.col("h.resume_id").alias("resume_id"), "vacancy_id", "seq", F.col("o.application_run_id").alias("application_run_id"), F.col("run_id").alias("batch_run_id"), F.col("r.v.submission_mode").alias("submission_mode"),
+            F.col("r.v.status").alias("status"), F.col("r.v.confirmed").alias("confirmed"), F.try_to_timestamp("q.v.requested_at").alias("requested_at"), F.try_to_timestamp("r.v.finished_at").alias("finished_at"), F.col("o.cover_letter_uri").alias("cover_letter_uri"),
+            uri("q.key").alias("request_uri"), uri("r.key").alias("result_uri"), uri("b.key").alias("before_uri"), after.alias("after_uri"), F.struct("r.v.relations", "r.v.claim_status", "r.v.confirmation_evidence", "r.v.confirmation_error").alias("upstream"))
+    return out
+
+
+def merged(name: str, feed: DataFrame) -> DataFrame:
+    """One row per key of the table from its feed. The result, as a feed with an empty ``seq``, stands for all that it was made from: see ``as_feed``."""
+    key = KEYS[name]
+    if name == "profiles":
+        return feed.groupBy(*key).agg(F.max_by(F.when(F.col("account_key").isNotNull(), F.col("account_key")), F.when(F.col("account_key").isNotNull(), F.col("seq"))).alias("account_key"))
+    if name == "resumes":
+        return feed.groupBy(*key).agg(F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"))
+    if name == "vacancies":
+        return merge.coalesce_merge(feed, key, "observed_at", "seq", ["title", "company_name", "company_id", "area_name", "url", "published_at"], ["raw_uri", "content_hash"], ONLY_FULL, "is_full",
+                                    {"first_seen_at": "first_seen_at"}, {"last_seen_at": "last_seen_at"}, chunk=F.substring_index("seq", "/", 1))
+    if name == "applications":
+        return merge.newest(feed, key, ["requested_at", "seq"]).drop("seq")
+    return merge.last_write(feed, key).drop("seq")
+
+
+def as_feed(name: str, state: DataFrame) -> DataFrame:
+    """Merged rows as the first rows of a feed: older than any arrival, whole, as new as the newest row that they were made from."""
+    state = state.withColumn("seq", F.lit(""))
+    return state.withColumns({"observed_at": F.col("last_seen_at"), "is_full": F.lit(True)}) if name == "vacancies" else state
+
+
+def current_state(parts: dict[str, DataFrame], quarantine: DataFrame, base: str, source: str = "board") -> dict[str, DataFrame]:
+    """Tables of current state from the sound runs: profiles, resumes, vacancies, runs, observations, work_items, decisions, applications. ``base`` is the URI that keys are below."""
+    return {n: merged(n, f) for n, f in feeds(parts, quarantine, base, source).items()}
 
 
 def run_log(objects: DataFrame, parts: dict[str, DataFrame], quarantine: DataFrame) -> DataFrame:
@@ -238,17 +288,17 @@ def run_log(objects: DataFrame, parts: dict[str, DataFrame], quarantine: DataFra
     failed = quarantine.select("run_id").distinct().withColumn("_failed", F.lit(True))
     out = discover_runs(objects).select("run_id", "date", F.col("has_summary").alias("complete")).join(parts["heads"].groupBy("run_id").agg(F.max("version").alias("version")), "run_id", "left").join(failed, "run_id", "left")
     for name, part, n in (("candidates", "keys", F.count("*")), ("work_items", "observed", F.sum(F.size("e.evaluations"))), ("decisions", "decision", F.count("*")), ("applications", "applied", F.count("*"))):
-        out = out.join(parts[part].groupBy("run_id").agg(n.alias(f"_{name}")), "run_id", "left")
+        out = out.join(parts[part].groupBy("run_id").agg(n.alias(f"_{name}")), "run_id", "left") if part in parts else out.withColumn(f"_{name}", F.lit(0).cast("long"))
     verdict = F.when(F.col("_failed"), "failed").when(F.col("version").isNull(), "no_header").otherwise("loaded")
     out = out.withColumn("verdict", verdict)
     return out.select("run_id", "date", "version", "verdict", "complete", *[F.when(F.col("verdict") == "loaded", F.coalesce(f"_{n}", F.lit(0))).otherwise(0).alias(n) for n in ("candidates", "work_items", "decisions", "applications")])
 
 
 def backfill(objects: DataFrame, out: str, bucket: str, prefix: str, source: str = "board") -> None:
-    """Writes quarantine, run log and current state of the whole tree below ``out``; the same tree gives the same tables."""
-    spark = objects.sparkSession
-    parts, quarantine = parse(objects, bucket, prefix)
-    quarantine.write.mode("overwrite").parquet(f"{out}/quarantine")
-    quarantine = spark.read.schema(RULE).parquet(f"{out}/quarantine")
-    for name, table in (current_state(parts, quarantine, f"s3://{bucket}/{prefix}", source) | {"run_log": run_log(objects, parts, quarantine)}).items():
+    """Writes quarantine, run log and current state of the whole tree below ``out``; the same tree gives the same tables.
+
+    Typed parts are stored once by kind, below ``out``/_parts. ``streaming.state_tables`` merges new runs only, into a state that changes at once.
+    """
+    parts, quarantine = store_parts(*parse(objects, bucket, prefix), f"{out}/_parts")
+    for name, table in (current_state(parts, quarantine, f"s3://{bucket}/{prefix}", source) | {"run_log": run_log(objects, parts, quarantine), "quarantine": quarantine}).items():
         table.write.mode("overwrite").parquet(f"{out}/{name}")
