@@ -8,6 +8,7 @@ broken object contributes nothing and stops no other run. Both are plans over
 own files only. Replaying a run changes nothing.
 """
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,8 @@ POSTING = (
 # Keys of a decision's open part that are kept.
 DECISION_METADATA = ["vacancy_title", "company_name", "submission_mode", "has_test", "search_item_uri", "vacancy_uri", "error_type", "error"]
 RULE = "run_id string, key string, rule string"
+#: Tables that are written at the same time.
+AT_ONCE = 4
 
 #: Rule id to condition over o (observation), e (its work items), h (run header) and the vacancy of the path; null is broken.
 SIDECAR_RULES = {
@@ -182,7 +185,11 @@ def store_parts(parts: dict[str, DataFrame], quarantine: DataFrame, path: str) -
         df.write.mode("overwrite").parquet(f"{path}/{name}")
         return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
-    return {n: stored(d, n) for n, d in parts.items()}, stored(quarantine, "quarantine")
+    # small jobs that don't wait for each other
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        todo = {n: pool.submit(stored, d, n) for n, d in (parts | {"quarantine": quarantine}).items()}
+        done = {n: t.result() for n, t in todo.items()}
+    return {n: done[n] for n in parts}, done["quarantine"]
 
 
 def proven(outcomes: DataFrame, objects: DataFrame, bucket: str, prefix: str) -> DataFrame:
@@ -300,5 +307,6 @@ def backfill(objects: DataFrame, out: str, bucket: str, prefix: str, source: str
     Typed parts are stored once by kind, below ``out``/_parts. ``streaming.state_tables`` merges new runs only, into a state that changes at once.
     """
     parts, quarantine = store_parts(*parse(objects, bucket, prefix), f"{out}/_parts")
-    for name, table in (current_state(parts, quarantine, f"s3://{bucket}/{prefix}", source) | {"run_log": run_log(objects, parts, quarantine), "quarantine": quarantine}).items():
-        table.write.mode("overwrite").parquet(f"{out}/{name}")
+    tables = current_state(parts, quarantine, f"s3://{bucket}/{prefix}", source) | {"run_log": run_log(objects, parts, quarantine), "quarantine": quarantine}
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        list(pool.map(lambda t: t[1].write.mode("overwrite").parquet(f"{out}/{t[0]}"), tables.items()))

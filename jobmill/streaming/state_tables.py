@@ -11,6 +11,7 @@ dies leaves folders that no manifest names. One writer at a time.
 import json
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -161,18 +162,19 @@ def load_pending(tables: StateTables, landed: str, bucket: str, prefix: str, lim
     report.loaded = [r for r in report.selected if verdicts.get(r) == "loaded"]
     report.failed = [r for r in report.selected if r not in report.loaded]
 
-    for name, feed in B.feeds(parts, quarantine, f"s3://{bucket}/{prefix}", source, f"{manifest['version']:012d}-").items():
-        def into(old: DataFrame | None, new: DataFrame, name: str = name) -> DataFrame:
-            return B.merged(name, new if old is None else B.as_feed(name, old).unionByName(new, allowMissingColumns=True))
-
-        report.rewritten[name] = tables.rewrite(manifest, name, B.KEYS[name], feed, into)
     chosen = spark.createDataFrame([(r,) for r in report.selected], "run_id string")
-    for name, rows in (("run_log", log), ("quarantine", quarantine)):
-        # a run's rows of its last load
-        def replaced(old: DataFrame | None, new: DataFrame) -> DataFrame:
-            return new if old is None else old.join(chosen, "run_id", "left_anti").unionByName(new)
 
-        report.rewritten[name] = tables.rewrite(manifest, name, ["run_id"], rows, replaced, chosen)
+    def into(name: str) -> Callable[[DataFrame | None, DataFrame], DataFrame]:
+        return lambda old, new: B.merged(name, new if old is None else B.as_feed(name, old).unionByName(new, allowMissingColumns=True))
+
+    def replaced(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        return new if old is None else old.join(chosen, "run_id", "left_anti").unionByName(new)
+
+    todo = [(n, B.KEYS[n], feed, into(n)) for n, feed in B.feeds(parts, quarantine, f"s3://{bucket}/{prefix}", source, f"{manifest['version']:012d}-").items()]
+    todo += [(n, ["run_id"], rows, replaced, chosen) for n, rows in (("run_log", log), ("quarantine", quarantine))]
+    with ThreadPoolExecutor(B.AT_ONCE) as pool:
+        done = list(pool.map(lambda x: tables.rewrite(manifest, *x), todo))
+    report.rewritten = {x[0]: d for x, d in zip(todo, done, strict=True)}
     tables.commit(manifest)
     tables._fs.delete(tables._jvm.org.apache.hadoop.fs.Path(staged), True)
     report.version = manifest["version"]
