@@ -6,63 +6,102 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: States of a claim, and where a transition may start.
-STATES = ("CLAIMED", "SUBMITTING", "SUBMITTED", "CONFIRMED", "UNCERTAIN", "FAILED_SAFE_TO_RETRY", "FAILED_FINAL")
-MOVES = {
-    "SUBMITTING": ("CLAIMED",), "SUBMITTED": ("SUBMITTING",), "CONFIRMED": ("SUBMITTED", "SUBMITTING"), "UNCERTAIN": ("SUBMITTING", "SUBMITTED"),
-    "FAILED_SAFE_TO_RETRY": ("CLAIMED", "SUBMITTING"), "FAILED_FINAL": ("CLAIMED", "SUBMITTING"),
-}
+# States of a claim, and the states from which its owner may move it there.
+STATES = ("CLAIMED", "SUBMITTING", "SUBMITTED", "UNCERTAIN", "FAILED_SAFE_TO_RETRY")
+MOVES = {"SUBMITTING": ("CLAIMED",), "SUBMITTED": ("CLAIMED", "SUBMITTING"), "UNCERTAIN": ("CLAIMED", "SUBMITTING"), "FAILED_SAFE_TO_RETRY": ("CLAIMED",)}
+#: States that end an attempt.
+ENDS = ("SUBMITTED", "UNCERTAIN", "FAILED_SAFE_TO_RETRY")
 #: Positions that are numbered in one group.
 RANGE = 1 << 16
-CLAIM = "run_id string, status string, attempt_count int, claimed_seq long, changed_seq long, applied long, rejected long"
+REQUEST = ("seq", "run_id", "account_key", "kind", "at", "error_type", "error_message", "evidence")
+CLAIM = "account_key string, run_id string, status string, attempt_count int, claimed_at timestamp, changed_at timestamp, submitted_at timestamp, finished_at timestamp, error_type string, error_message string, evidence string"
+CLAIM_COLUMNS = [c.split()[0] for c in CLAIM.split(", ")]
+DECISION = f"seq long, by_run_id string, kind string, granted boolean, reason string, {CLAIM}"
 
 
-def apply_request(state: dict | None, seq: int, run_id: str, kind: str) -> tuple[dict | None, bool]:
-    """The claim after a request, and whether it was granted.
+def apply_request(claim: dict | None, r: dict) -> tuple[dict | None, str | None]:
+    """The claim after a request (REQUEST), and why it was refused, null if it was granted.
 
     ``acquire`` takes a free claim, or one that failed safely, with one more
-    attempt. Any other kind is a move: only by the owner, only from where it may start.
+    attempt, and clears what the last attempt left. Any other kind is a move: only by the owner,
+    only from where it may start; error and evidence are those of the move.
     """
-    if kind == "acquire":
-        if state is None or state["status"] == "FAILED_SAFE_TO_RETRY":
-            return {"run_id": run_id, "status": "CLAIMED", "attempt_count": (state["attempt_count"] if state else 0) + 1, "claimed_seq": seq, "changed_seq": seq}, True
-        return state, False
-    if state is None or state["run_id"] != run_id or state["status"] not in MOVES.get(kind, ()):
-        return state, False
-    return state | {"status": kind, "changed_seq": seq}, True
-
-
-def fold_claims(requests: DataFrame, key: list[str]) -> DataFrame:
-    """requests(key, seq, run_id, kind) folded in order of seq: one row per key that ever held a claim.
+    if r["kind"] == "acquire":
+        if not (r["account_key"] or "").strip():
+            return claim, "no_account"
+        if claim is not None and claim["status"] != "FAILED_SAFE_TO_RETRY":
+            return claim, "held"
+        return dict(zip(CLAIM_COLUMNS, (r["account_key"].strip(), r["run_id"], "CLAIMED", (claim["attempt_count"] if claim else 0) + 1, r["at"], r["at"], None, None, None, None, "{}"), strict=True)), None
+    if r["kind"] not in MOVES:
+        return claim, "unknown_state"
+    if claim is None:
+        return claim, "not_claimed"
+    if claim["run_id"] != r["run_id"]:
+        return claim, "other_owner"
+    if claim["status"] not in MOVES[r["kind"]]:
+        return claim, f"not_from_{claim['status']}"
+    return claim | {
+        "status": r["kind"], "changed_at": r["at"], "submitted_at": r["at"] if r["kind"] == "SUBMITTED" else claim["submitted_at"], "finished_at": r["at"] if r["kind"] in ENDS else None,
+        "error_type": r["error_type"], "error_message": r["error_message"], "evidence": r["evidence"] or "{}"}, None
+
+
+def decide(claim: dict | None, r: dict) -> tuple[dict | None, list]:
+    """The claim after a request, and the row of DECISION that tells of it."""
+    claim, reason = apply_request(claim, r)
+    return claim, [r["seq"], r["run_id"], r["kind"], reason is None, reason, *((claim or {}).get(c) for c in CLAIM_COLUMNS)]
+
+
+def plain(value):
+    """A value of a pandas row as Python has it: no NaN, NaT or Timestamp."""
+    if value is None or value is pd.NaT or value != value:
+        return None
+    return value.to_pydatetime() if isinstance(value, pd.Timestamp) else value
+
+
+def as_requests(requests: DataFrame, key: list[str]) -> DataFrame:
+    """key and REQUEST, columns that are not there as nulls; rows without a key ask for nothing."""
+    kinds = {"seq": "long", "at": "timestamp"}
+    return requests.select(*key, *[(F.col(c) if c in requests.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in REQUEST]).filter(F.col(key[0]).isNotNull())
+
+
+def decide_claims(requests: DataFrame, key: list[str]) -> DataFrame:
+    """requests(key, REQUEST) in order of seq: one row per request, granted or refused and why, with the claim after it.
 
     Rows arrive sorted within their partition and are folded one after the
     other, so a key with very many requests needs no more memory than others.
     """
-    kinds = [f"{c} {requests.schema[c].dataType.simpleString()}" for c in key]
+    kinds = ", ".join(f"{c} {requests.schema[c].dataType.simpleString()}" for c in key)
+    names = [*key, *(c.split()[0] for c in DECISION.split(", "))]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state, applied, rejected = None, None, 0, 0
-
-        def row() -> list:
-            return [[*last, *(state[c] for c in ("run_id", "status", "attempt_count", "claimed_seq", "changed_seq")), applied, rejected]] if state else []
-
-        columns = [*key, "run_id", "status", "attempt_count", "claimed_seq", "changed_seq", "applied", "rejected"]
+        last, claim = None, None
         for b in batches:
             out = []
             for r in b.itertuples(index=False, name=None):
                 k = r[: len(key)]
                 if k != last:
-                    out += row()
-                    last, state, applied, rejected = k, None, 0, 0
-                state, granted = apply_request(state, r[-3], r[-2], r[-1])
-                applied, rejected = applied + granted, rejected + (not granted)
+                    last, claim = k, None
+                claim, row = decide(claim, dict(zip(REQUEST, map(plain, r[len(key) :]), strict=True)))
+                out.append([*k, *row])
             if out:
-                yield pd.DataFrame(out, columns=columns)
-        if last is not None and (out := row()):
-            yield pd.DataFrame(out, columns=columns)
+                yield pd.DataFrame(out, columns=names).astype({"attempt_count": "Int32"})
+
+    return as_requests(requests, key).repartition(*key).sortWithinPartitions(*key, "seq").mapInPandas(fold, f"{kinds}, {DECISION}")
 
-    rows = requests.select(*key, "seq", "run_id", "kind").filter(F.col(key[0]).isNotNull())
-    return rows.repartition(*key).sortWithinPartitions(*key, "seq").mapInPandas(fold, ", ".join([*kinds, CLAIM]))
+
+def claims_after(decisions: DataFrame, key: list[str]) -> DataFrame:
+    """The claim of each key after its last request, with how many were granted and refused; keys that never held one are absent."""
+    g = decisions.groupBy(*key).agg(F.max_by(F.struct(*CLAIM_COLUMNS), "seq").alias("c"), F.count_if("granted").alias("granted"), F.count_if(~F.col("granted")).alias("refused"))
+    return g.filter("c.status is not null").select(*key, "c.*", "granted", "refused")
+
+
+def refusals(decisions: DataFrame, key: list[str]) -> DataFrame:
+    """Requests that changed nothing: who asked for what, why not, and the claim that stood."""
+    return decisions.filter(~F.col("granted")).select(*key, "seq", "by_run_id", "kind", "reason", F.col("run_id").alias("held_by"), "status")
+
+
+def fold_claims(requests: DataFrame, key: list[str]) -> DataFrame:
+    return claims_after(decide_claims(requests, key), key)
 
 
 def reserve_windows(requests: DataFrame, profile: list[str], seq: str, signature: str, size: str, window: str) -> DataFrame:

@@ -316,10 +316,45 @@ def resume_selectable(t):
 # --- state -----------------------------------------------------------------
 
 
-@query(None)
+_CLAIMS = """
+with recursive q as (
+  select user_id, event_id as seq, 'run' || (user_id + (event_id % 5 = 0)::int) as by_run, ts as t, case when value > 250 then 'Timeout' end as err, props,
+    case event_type when 'click' then 'SUBMITTING' when 'purchase' then 'SUBMITTED' when 'error' then case when event_id % 2 = 0 then 'FAILED_SAFE_TO_RETRY' else 'UNCERTAIN' end else 'acquire' end as kind,
+    user_id * 3 + event_id % 3 as claim, row_number() over (partition by user_id * 3 + event_id % 3 order by event_id) as k from events),
+fold as (
+  select claim, 0::bigint as k, null::bigint as seq, null::varchar as kind, null::varchar as reason, null::varchar as run_id, null::varchar as status, 0 as attempts, null::timestamp as claimed, null::timestamp as changed, null::timestamp as submitted, null::timestamp as finished, null::varchar as error, null::varchar as evidence
+  from (select distinct claim from q)
+  union all
+  select claim, k, seq, kind, reason, case when got then by_run else run_id end, case when not ok then status when got then 'CLAIMED' else kind end, attempts + got::int, case when got then t else claimed end, case when ok then t else changed end,
+    case when got then null when ok and kind = 'SUBMITTED' then t else submitted end, case when not ok then finished when kind in ('SUBMITTED', 'UNCERTAIN', 'FAILED_SAFE_TO_RETRY') then t end, case when not ok then error when not got then err end, case when not ok then evidence when got then '{}' else props end
+  from (select *, reason is null as ok, reason is null and kind = 'acquire' as got from (
+    select f.claim, q.k, q.seq, q.kind, q.by_run, q.t, q.err, q.props, f.run_id, f.status, f.attempts, f.claimed, f.changed, f.submitted, f.finished, f.error, f.evidence,
+      case when q.kind = 'acquire' then case when f.status is not null and f.status <> 'FAILED_SAFE_TO_RETRY' then 'held' end
+        when f.status is null then 'not_claimed' when f.run_id <> q.by_run then 'other_owner'
+        when not (f.status = 'CLAIMED' or (f.status = 'SUBMITTING' and q.kind in ('SUBMITTED', 'UNCERTAIN'))) then 'not_from_' || f.status end as reason
+    from fold f join q on q.claim = f.claim and q.k = f.k + 1))
+)"""
+
+
+def _claims(t):
+    kind = F.expr("case event_type when 'click' then 'SUBMITTING' when 'purchase' then 'SUBMITTED' when 'error' then if(event_id % 2 = 0, 'FAILED_SAFE_TO_RETRY', 'UNCERTAIN') else 'acquire' end")
+    run = F.concat(F.lit("run"), (F.col("user_id") + (F.col("event_id") % 5 == 0).cast("long")).cast("string"))
+    e = t("events").select((F.col("user_id") * 3 + F.col("event_id") % 3).alias("claim"), F.col("event_id").alias("seq"), run.alias("run_id"), F.lit("acc").alias("account_key"), kind.alias("kind"), F.col("ts").alias("at"),
+                           F.when(F.col("value") > 250, "Timeout").alias("error_type"), F.col("props").alias("evidence"))
+    return state.decide_claims(e, ["claim"])
+
+
+@query(f"""{_CLAIMS}
+select claim, 'acc' as account_key, run_id, status, attempts as attempt_count, claimed as claimed_at, changed as changed_at, submitted as submitted_at, finished as finished_at, error as error_type, null::varchar as error_message, evidence,
+  (select count(*) from fold g where g.claim = f.claim and g.k > 0 and g.reason is null) as granted, (select count(*) from fold g where g.claim = f.claim and g.reason is not null) as refused
+from fold f where status is not null qualify row_number() over (partition by claim order by k desc) = 1""")
 def claim_fold(t):
-    kind = F.expr("case event_type when 'signup' then 'acquire' when 'click' then 'SUBMITTING' when 'purchase' then 'SUBMITTED' when 'error' then 'FAILED_SAFE_TO_RETRY' else 'acquire' end")
-    return state.fold_claims(t("events").select("user_id", F.col("event_id").alias("seq"), F.lit("run").alias("run_id"), kind.alias("kind")), ["user_id"])
+    return state.claims_after(_claims(t), ["claim"])
+
+
+@query(f"{_CLAIMS} select kind, reason, count(*) as n, min(seq) as first_seq, max(seq) as last_seq from fold where reason is not null group by 1, 2")
+def claim_refusals(t):
+    return state.refusals(_claims(t), ["claim"]).groupBy("kind", "reason").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
 @query("""

@@ -1,13 +1,11 @@
-"""Incremental load of finished runs and keyed claims as Structured Streaming jobs."""
+"""Incremental load of finished runs as a Structured Streaming job."""
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from jobmill.operators.state import apply_request
 from jobmill.plans.contracts import CONTRACTS, check, split
 from jobmill.sources.raw import classify, stream_objects
 
@@ -73,25 +71,3 @@ def store_objects(path: str) -> Callable[[DataFrame, int], None]:
 def current_runs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Runs and quarantine over all batches so far; an object seen again counts once."""
     return run_table(spark.read.parquet(path).dropDuplicates(["key"]))
-
-
-def claim_stream(requests: DataFrame, key: str) -> DataFrame:
-    """Claims as a keyed stream: requests(key, seq, run_id, kind) to the claim after each micro-batch.
-
-    One micro-batch must hold a closed range of seq; rows of a key are folded
-    in order of seq within it.
-    """
-    state = "run_id string, status string, attempt_count int, claimed_seq long, changed_seq long"
-    out = f"{key} {requests.schema[key].dataType.simpleString()}, {state}"
-
-    def fold(k: tuple, frames: Iterator[pd.DataFrame], group) -> Iterator[pd.DataFrame]:
-        names = ["run_id", "status", "attempt_count", "claimed_seq", "changed_seq"]
-        claim = dict(zip(names, group.get, strict=True)) if group.exists else None
-        # requests of one key within one micro-batch
-        for r in pd.concat(list(frames)).sort_values("seq").itertuples(index=False):
-            claim, _ = apply_request(claim, int(r.seq), r.run_id, r.kind)
-        if claim is not None:
-            group.update(tuple(claim[n] for n in names))
-            yield pd.DataFrame([[k[0], *(claim[n] for n in names)]], columns=[key, *names])
-
-    return requests.groupBy(key).applyInPandasWithState(fold, out, state, "update", "NoTimeout")

@@ -86,21 +86,6 @@ def test_stream_loads_runs_once(spark, tmp_path):
     assert load() == ({a: "finished", b: "finished"}, {c})
 
 
-def test_claim_stream_equals_fold(spark, tmp_path):
-    from jobmill.operators.state import fold_claims
-
-    rows = [("k1", 1, "r1", "acquire"), ("k1", 2, "r1", "SUBMITTING"), ("k2", 1, "r1", "acquire"), ("k1", 3, "r1", "FAILED_SAFE_TO_RETRY"), ("k1", 4, "r2", "acquire")]
-    schema = "k string, seq long, run_id string, kind string"
-    for i in range(2):
-        spark.createDataFrame([r for r in rows if (r[1] > 2) == i], schema).write.mode("append").parquet(str(tmp_path / "in"))
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(str(tmp_path / "in"))
-    q = M.claim_stream(s, "k").writeStream.outputMode("update").format("memory").queryName("claims").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {r["k"]: (r["run_id"], r["status"], r["attempt_count"]) for r in spark.table("claims").collect()}
-    want = {r["k"]: (r["run_id"], r["status"], r["attempt_count"]) for r in fold_claims(spark.createDataFrame(rows, schema), ["k"]).collect()}
-    assert got == want == {"k1": ("r2", "CLAIMED", 2), "k2": ("r1", "CLAIMED", 1)}
-
-
 def test_digest_and_visible_text(spark):
     df = spark.createDataFrame([('{"b":1.0,"a":"é"}', "<p>a</p><script>x()</script>tail &am"), ("nope", None)], "j string, h string")
     got = raw.exact_visible_text(raw.canonical_digest(df, "j"), "h").collect()

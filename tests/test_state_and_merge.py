@@ -62,10 +62,24 @@ def test_reconcile(spark):
 
 
 def test_claims(spark):
-    rows = [("k", 1, "r1", "acquire"), ("k", 2, "r2", "acquire"), ("k", 3, "r2", "SUBMITTING"), ("k", 4, "r1", "SUBMITTING"), ("k", 5, "r1", "FAILED_SAFE_TO_RETRY"), ("k", 6, "r2", "acquire"),
-            ("u", 1, "r1", "acquire"), ("u", 2, "r1", "SUBMITTING"), ("u", 3, "r1", "UNCERTAIN"), ("u", 4, "r2", "acquire"), ("x", 1, "r1", "SUBMITTED")]
-    got = {r["k"]: (r["run_id"], r["status"], r["attempt_count"], r["applied"], r["rejected"]) for r in state.fold_claims(spark.createDataFrame(rows, "k string, seq long, run_id string, kind string"), ["k"]).collect()}
-    assert got == {"k": ("r2", "CLAIMED", 2, 4, 2), "u": ("r1", "UNCERTAIN", 1, 3, 1)}
+    """Each state by hand: who owns, when it was claimed, submitted and finished, what an attempt leaves behind, and why a request was refused."""
+    rows = [
+        ("k", 1, "r1", "a", "acquire", 1, None, None, None), ("k", 2, "r2", "a", "acquire", 2, None, None, None), ("k", 3, "r2", "a", "SUBMITTING", 3, None, None, None), ("k", 4, "r1", "a", "FAILED_SAFE_TO_RETRY", 4, "OSError", "no space", '{"x":1}'),
+        ("k", 5, "r1", "a", "SUBMITTED", 5, None, None, None), ("k", 6, "r2", " b ", "acquire", 6, None, None, None), ("u", 1, "r1", "a", "acquire", 1, None, None, None), ("u", 2, "r1", "a", "SUBMITTING", 2, None, None, '{"pre":0}'),
+        ("u", 3, "r1", "a", "FAILED_SAFE_TO_RETRY", 3, None, None, None), ("u", 4, "r1", "a", "SUBMITTED", 4, None, None, '{"seen":1}'), ("u", 5, "r2", "a", "acquire", 5, None, None, None), ("x", 1, "r1", "a", "SUBMITTED", 1, None, None, None),
+        ("x", 2, "r1", "", "acquire", 2, None, None, None), ("y", 1, "r1", "a", "acquire", 1, None, None, None), ("y", 2, "r1", "a", "CONFIRMED", 2, None, None, None), ("y", 3, "r1", "a", "UNCERTAIN", 3, "Timeout", "?", None), (None, 1, "r1", "a", "acquire", 1, None, None, None)]
+    df = spark.createDataFrame(rows, "k string, seq long, run_id string, account_key string, kind string, s long, error_type string, error_message string, evidence string").withColumn("at", F.timestamp_seconds("s"))
+    decided = state.decide_claims(df, ["k"]).cache()
+
+    def sec(t):
+        return t and t.second
+
+    got = {r["k"]: (r["run_id"], r["account_key"], r["status"], r["attempt_count"], sec(r["claimed_at"]), sec(r["changed_at"]), sec(r["submitted_at"]), sec(r["finished_at"]), r["error_type"], r["evidence"], r["granted"], r["refused"]) for r in state.claims_after(decided, ["k"]).collect()}
+    assert got == {
+        "k": ("r2", "b", "CLAIMED", 2, 6, 6, None, None, None, "{}", 3, 3), "u": ("r1", "a", "SUBMITTED", 1, 1, 4, 4, 4, None, '{"seen":1}', 3, 2), "y": ("r1", "a", "UNCERTAIN", 1, 1, 3, None, 3, "Timeout", "{}", 2, 1)}
+    assert {(r["k"], r["seq"], r["reason"], r["held_by"]) for r in state.refusals(decided, ["k"]).collect()} == {
+        ("k", 2, "held", "r1"), ("k", 3, "other_owner", "r1"), ("k", 5, "not_from_FAILED_SAFE_TO_RETRY", "r1"), ("u", 3, "not_from_SUBMITTING", "r1"), ("u", 5, "held", "r1"), ("x", 1, "not_claimed", None), ("x", 2, "no_account", None), ("y", 2, "unknown_state", "r1")}
+    assert state.fold_claims(df.limit(0), ["k"]).count() == 0
 
 
 def test_cursor_wraps_and_resets(spark):
