@@ -37,6 +37,7 @@ DOMAINS = {
     "dl": r"(?:\bdeep\s+learning\b|(?<![a-z0-9])dl(?![a-z0-9])|глубок\w*\s+обуч\w*)",
     "mlops": r"(?:\bmlops\b|\bml\s+infrastructure\b|ml[-\s]platform)",
 }
+# Tags and patterns, in the order in which tags are reported.
 ROLES = {
     "leadership": r"(?:\btech\s*lead\b|\bteam\s*lead(?:er)?\b|\bteamlead\b|(?<![a-z])\blead\b(?![a-z])|тимлид\w*|тим\s*лид\w*|\bhead\b|\bdirector\b|\bcto\b|директор\w*|руководител\w*|начальник\w*)",
     "product_project": r"(?:\bproduct\s+(?:manager|owner)\b|\bproject\s+manager\b|продакт[-\s]?менеджер\w*|проектн\w*\s+менеджер\w*|менеджер\s+продукт\w*|владелец\s+продукт\w*)",
@@ -53,12 +54,14 @@ ROLES = {
     "web_site": r"(?:создан\w*\s+сайт\w*|разработк\w*\s+сайт\w*|\bweb\s+(?:developer|engineer)\b|веб[-\s]?разработчик\w*|website)",
     "content_ops": r"(?:управлен\w*\s+контент\w*|контент[-\s]?(?:менеджер|специалист)\w*|\bcontent\s+(?:manager|specialist)\b)",
 }
+# Tags and patterns, in the order in which tags are reported.
 CONTEXTS = {
     "drones_uav": r"(?:\bбпла\b|беспилот\w*|дрон\w*|\bdrone\w*\b|(?<![a-z0-9])uav(?![a-z0-9])|(?<![a-z0-9])uas(?![a-z0-9])|(?<![a-z0-9])fpv(?![a-z0-9]))",
     "military_defence": r"(?:\bсво\b|военн\w*|вооруженн\w*\s+сил\w*|минобор\w*|оборонн\w*|оборонно[-\s]?промышлен\w*|гособоронзаказ\w*|\bгоз\b|\bmilitary\b|\bdefen[cs]e\b|армейск\w*|\bармия\b)",
     "war_region": r"(?:донецк\w*|\bднр\b|луганск\w*|\bлнр\b|мариупол\w*|херсон\w*|запорож\w*)",
     "relocation": r"(?:релокац\w*|\brelocat(?:e|ion|ing)?\b|переезд\w*|готовност\w*\s+к\s+переезд\w*|вахт\w*)",
 }
+# Two patterns.
 DEVOPS = r"(?<![a-z0-9])devops(?![a-z0-9])"
 ENGINEERING = r"(?:engineer|developer|researcher|scientist|architect|инженер\w*|разработчик\w*|исследовател\w*|архитектор\w*|сайентист\w*)"
 
@@ -76,7 +79,7 @@ FOCUS_OTHER = "Задачи вакансии близки моему текущ
 SKILLS_SHARED = "По стеку вижу прямое пересечение: %s."
 SKILLS_TITLE = "Мой текущий профиль в резюме — «%s», поэтому направление мне близко."
 SKILLS_OTHER = "Профиль вакансии совпадает с направлением, в котором я сейчас работаю и развиваюсь."
-#: Title, company phrase, then focus and skills (the third template has skills first).
+# Title, company phrase, then focus and skills (the third template has skills first).
 TEMPLATES = {
     "t1": "Здравствуйте! Откликаюсь на вакансию «%s»%s. %s %s Буду рад обсудить задачи команды.",
     "t2": "Добрый день! Заинтересовала позиция «%s»%s. %s %s Готов подробнее рассказать о релевантном опыте.",

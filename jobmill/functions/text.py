@@ -192,6 +192,7 @@ def page_facts(html: Column) -> Column:
     def first(p: str) -> Column:
         return decode_entities(F.regexp_extract(html, p, 1))
 
+    # Patterns of the page.
     return F.struct(
         first(r"(?is)<title>(.*?)</title>").alias("title"),
         first(r'(?i)<meta name="description" content="(.*?)"').alias("description"),
@@ -214,6 +215,7 @@ def first_of_paths(json: Column, paths: list[str]) -> Column:
 
 def redact(c: Column, least: int = 32) -> Column:
     """Long hexadecimal tokens (and upper-case ones of twice the length) masked by as many asterisks."""
+    # Fixed value: the form of a token.
     token = rf"\b[A-Z0-9]{{{2 * least},}}\b|\b[a-fA-F0-9]{{{least},}}\b"
     found = F.regexp_extract_all(c, F.lit(f"({token})"), F.lit(1))
     rest = F.split(c, token)

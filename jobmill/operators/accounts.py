@@ -43,10 +43,14 @@ def claimable(requests: DataFrame, resumes: DataFrame) -> DataFrame:
 
 
 def identities(applications: DataFrame, profiles: DataFrame, resumes: DataFrame, vacancies: DataFrame) -> DataFrame:
-    """Applications whose profile, résumé and vacancy are all known, by natural keys."""
-    known = applications.join(profiles.select("source", "profile_key"), ["source", "profile_key"], "left_semi")
-    known = known.join(resumes.select("profile_key", "source_resume_id"), ["profile_key", "source_resume_id"], "left_semi")
-    return known.join(vacancies.select("source", F.col("source_entity_id").alias("vacancy_id")), ["source", "vacancy_id"], "left_semi")
+    """Applications whose profile, résumé and vacancy are all known by natural keys, with the row identifiers of these: profile_row, resume_row, vacancy_row.
+
+    profiles(source, profile_key, profile_row), resumes(profile_key,
+    source_resume_id, resume_row), vacancies(source, source_entity_id, vacancy_row), each key once.
+    """
+    known = applications.join(profiles.select("source", "profile_key", "profile_row"), ["source", "profile_key"])
+    known = known.join(resumes.select("profile_key", "source_resume_id", "resume_row"), ["profile_key", "source_resume_id"])
+    return known.join(vacancies.select("source", F.col("source_entity_id").alias("vacancy_id"), "vacancy_row"), ["source", "vacancy_id"])
 
 
 def reply_queue(negotiations: DataFrame, blacklist: DataFrame, now: Column, days: int, only_invited: bool) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from jobmill.functions.text import optional_text, strip_tags, visible_text, zoned_time
 
@@ -68,16 +68,19 @@ def search_item(df: DataFrame, p: str, provenance: list[str] = ()) -> DataFrame:
 
 
 def mapped(df: DataFrame, spec: dict[str, tuple], payload: str = "") -> DataFrame:
-    """Columns by ``name: (dotted path, type, default[, transform])``; values that don't cast are null and counted in ``cast_failures``."""
-    out, failures = [], F.lit(0)
+    """Columns by ``name: (dotted path, type, default[, transform])``; ``uncast`` keeps the values that don't cast, as text by column (null or the default stand in the column), ``cast_failures`` counts them."""
+    out, failures, uncast = [], F.lit(0), []
     for name, (path, kind, default, *more) in spec.items():
         raw = field(df, f"{payload}.{path}" if payload else path)
         raw = more[0](raw) if more else raw
         is_nested = kind == "json"
         value = F.to_json(raw) if is_nested else raw.try_cast(kind)
-        failures = failures + (raw.isNotNull() & value.isNull()).cast("int")
+        failed = raw.isNotNull() & value.isNull()
+        failures = failures + failed.cast("int")
+        uncast.append(F.when(failed, F.struct(F.lit(name).alias("key"), (F.to_json(raw) if isinstance(df.select(raw.alias("x")).schema[0].dataType, ArrayType | MapType | StructType) else raw.cast("string")).alias("value"))))
         out.append(F.coalesce(value, F.lit(default)).alias(name) if default is not None else value.alias(name))
-    return df.select(*out, failures.alias("cast_failures"))
+    kept = F.filter(F.array(*uncast), lambda x: x.isNotNull()) if uncast else F.array().cast("array<struct<key:string,value:string>>")
+    return df.select(*out, failures.alias("cast_failures"), F.map_from_entries(kept).alias("uncast"))
 
 
 def posting_row(df: DataFrame, p: str) -> DataFrame:
@@ -147,8 +150,14 @@ def reconcile_audit(changes: DataFrame, account: list[str], resume: str, change:
 
 
 def without_nulls(df: DataFrame, c: str) -> Column:
-    """JSON of a nested column without null fields and array entries."""
-    kind = df.schema[c].dataType
-    col = F.filter(c, lambda x: x.isNotNull()) if isinstance(kind, ArrayType) else F.col(c)
-    return F.to_json(col)
-
+    """JSON of a nested column, at any depth without null array entries and null map values; ``to_json`` leaves null fields out."""
+    def clean(col: Column, kind: DataType) -> Column:
+        if isinstance(kind, ArrayType):
+            return F.transform(F.filter(col, lambda x: x.isNotNull()), lambda x: clean(x, kind.elementType))
+        if isinstance(kind, MapType):
+            return F.transform_values(F.map_filter(col, lambda _, v: v.isNotNull()), lambda _, v: clean(v, kind.valueType))
+        if isinstance(kind, StructType):
+            return F.when(col.isNotNull(), F.struct(*[clean(col[f.name], f.dataType).alias(f.name) for f in kind]))
+        return col
+
+    return F.to_json(clean(F.col(c), df.schema[c].dataType))

@@ -27,9 +27,10 @@ def merge_maps(df: DataFrame, by: list[str], reasons: str) -> DataFrame:
     return e.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_n")))).alias("reasons"))
 
 
-def roll_up(runs: DataFrame, by: list[str], counters: list[str], cap: Column | None = None, used: str | None = None) -> DataFrame:
-    """Summed counters per group and number of runs; with a cap, what is left of it."""
-    g = runs.groupBy(*by).agg(F.count("*").alias("runs"), *[F.sum(c).alias(c) for c in counters])
+def roll_up(runs: DataFrame, by: list[str], counters: list[str], cap: Column | None = None, used: str | None = None, last: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Summed counters per group and number of runs; with a cap, what is left of it. ``last``, ``out: (column, order)``: its newest value that isn't null, such as why an account is paused."""
+    newest_known = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(o))).alias(name) for name, (c, o) in (last or {}).items()]
+    g = runs.groupBy(*by).agg(F.count("*").alias("runs"), *[F.sum(c).alias(c) for c in counters], *newest_known)
     return g if cap is None else g.withColumn("quota_left", F.greatest(cap - F.col(used), F.lit(0)))
 
 

@@ -65,13 +65,11 @@ def full_gate(
     return df.withColumn(out, case.otherwise(d)).drop("_c")
 
 
-def two_stage_log(searched: DataFrame, validated: DataFrame, keys: list[str], decision: str = "decision") -> DataFrame:
-    """One row per decision: rejected search items with ``prefilter_`` reasons, then what the full gate said of the rest."""
-    d = F.col(decision)
-    first = searched.filter(~d["accepted"]).select(*keys, F.lit("prefilter").alias("stage"), F.concat(F.lit("prefilter_"), d["reason"]).alias("reason"), d["accepted"].alias("accepted"))
-    passed = searched.filter(d["accepted"]).select(*keys)
-    second = validated.join(passed, keys, "left_semi").select(*keys, F.lit("full_validation").alias("stage"), d["reason"].alias("reason"), d["accepted"].alias("accepted"))
-    return first.unionByName(second)
+def two_stage_log(gated: DataFrame, keys: list[str], searched: str = "searched", validated: str = "decision") -> DataFrame:
+    """One row per decision of rows that hold both: a rejected search item with a ``prefilter_`` reason, or what the full gate said of it. One scan, no join."""
+    s, d = F.col(searched), F.col(validated)
+    first, second = ([F.lit(stage).alias("stage"), reason.alias("reason"), c["accepted"].alias("accepted")] for stage, reason, c in (("prefilter", F.concat(F.lit("prefilter_"), s["reason"]), s), ("full_validation", d["reason"], d)))
+    return gated.select(*keys, F.when(~s["accepted"], F.struct(*first)).otherwise(F.struct(*second)).alias("_x")).select(*keys, "_x.*")
 
 
 def excluded_by_pattern(title: Column, snippet: Column, description: Column, pattern: str) -> Column:

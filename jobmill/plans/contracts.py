@@ -102,7 +102,7 @@ CONTRACTS: dict[str, Contract] = {
         "event_type string, schema_version int, run_id string, vacancy_id string, status string, confirmed boolean, submission_mode string, application_run_id string, application_result_uri string, cover_letter_uri string,"
         " reason string, error_type string, error string, external_write_attempted boolean, created_at string",
         ("run_id", "vacancy_id", "status", "created_at"),
-        rules={"created_zoned": zoned("created_at"), "completed_has_proof": "v.status <> 'completed' or (v.application_run_id is not null and v.application_result_uri is not null and v.submission_mode is not null and v.confirmed is not null)"}),
+        rules={"created_zoned": zoned("created_at"), "completed_has_proof": "not endswith(coalesce(v.event_type, ''), 'application_completed') or (v.application_run_id is not null and v.application_result_uri is not null and v.submission_mode is not null and v.confirmed is not null)"}),
     "application_request": Contract(
         "event_type string, schema_version int, run_id string, account_key string, profile_id string, resume_id string, vacancy_id string, submission_mode string, requested_at string",
         ("run_id", "profile_id", "resume_id", "vacancy_id", "submission_mode", "requested_at"), strict=False, rules={"requested_zoned": zoned("requested_at")}),
@@ -112,7 +112,23 @@ CONTRACTS: dict[str, Contract] = {
         ("run_id", "profile_id", "resume_id", "vacancy_id", "status", "finished_at"), strict=False, rules={"finished_zoned": zoned("finished_at")}),
     "vacancy": Contract("id string, name string", ("id", "name"), strict=False),
     "search_item": Contract("id string, name string", ("id",), strict=False),
-    "discovery": Contract("run_id string, vacancies array<struct<vacancy_id:string,query_keys:array<string>>>", ("run_id", "vacancies"), strict=False),
+    "discovery": Contract(
+        f"event_type string, schema_version int, run_id string, account_key string, queries_executed int, max_queries_per_run int, {ROTATION}, query_sets array<string>, query_pages array<struct<query_key:string,query_set:string,page:int,uri:string>>,"
+        " query_errors array<struct<query_key:string,error_type:string,error:string,reason:string>>, search_observation_count int, unique_vacancy_count int, selected_candidate_count int, truncated_by_max_unique boolean,"
+        " vacancies array<struct<vacancy_id:string,matched_query_keys:array<string>,matched_query_sets:array<string>,query_page_uris:array<string>>>, created_at string",
+        ("event_type", "schema_version", "run_id", "account_key", "query_pages", "query_errors", "vacancies", "created_at"),
+        rules={"version": "v.schema_version = 3", "created_zoned": zoned("created_at"), "vacancies_unique": "size(array_distinct(transform(v.vacancies, x -> x.vacancy_id))) = size(v.vacancies)",
+               "selected": "v.selected_candidate_count <= v.unique_vacancy_count and v.unique_vacancy_count = size(v.vacancies)", "counters": at_least_zero("queries_executed", "search_observation_count", "unique_vacancy_count", "selected_candidate_count")}),
+    "resume_reconciliation": Contract(
+        "event_type string, schema_version int, account_key string, source_profile string, reconciled_at string, registered_ids array<string>, updated_ids array<string>, reactivated_ids array<string>, deleted_ids array<string>,"
+        " resumes array<struct<source_resume_id:string,current_title:string,upstream_status:string,lifecycle:string,content_sha256:string,binding_key:string,binding_enabled:boolean,target_key:string,query_sets:array<string>,"
+        "auto_apply:boolean,selectable_for_evaluation:boolean,selectable_for_auto_apply:boolean,binding_version:int>>",
+        ("event_type", "schema_version", "account_key", "source_profile", "reconciled_at", "registered_ids", "updated_ids", "reactivated_ids", "deleted_ids", "resumes"),
+        rules={"version": "v.schema_version = 1", "reconciled_zoned": zoned("reconciled_at"), "ids_sorted": "forall(array(v.registered_ids, v.updated_ids, v.reactivated_ids, v.deleted_ids), x -> x = array_sort(array_distinct(x)))",
+               "resumes_unique": "size(array_distinct(transform(v.resumes, r -> r.source_resume_id))) = size(v.resumes)", "lifecycle": "forall(v.resumes, r -> r.lifecycle in ('active', 'deleted'))",
+               "ids_known": "size(array_except(concat(v.registered_ids, v.updated_ids, v.reactivated_ids, v.deleted_ids), transform(v.resumes, r -> r.source_resume_id))) = 0",
+               "deleted_gone": "size(array_intersect(v.deleted_ids, transform(filter(v.resumes, r -> r.lifecycle <> 'deleted'), r -> r.source_resume_id))) = 0",
+               "gone_not_selectable": "forall(v.resumes, r -> r.lifecycle = 'active' or not (r.binding_enabled or r.auto_apply))", "sha_hex": "forall(v.resumes, r -> r.content_sha256 rlike '^[0-9a-f]{64}$')"}),
     "resume_inventory": Contract("account_key string, items array<struct<id:string,title:string,status:string>>, observed_at string", ("account_key", "items", "observed_at"), strict=False, rules={
         "ids_unique": "size(array_distinct(transform(v.items, i -> i.id))) = size(v.items)", "ids_present": "forall(v.items, i -> i.id is not null)", "observed_zoned": zoned("observed_at")}),
     "dispatch": Contract("account_key string, run_number int, status string, reason string, submitted int, confirmed int, quota_consumed int, at string", ("account_key", "status", "at"), rules={"at_zoned": zoned("at")}),
@@ -122,15 +138,10 @@ CONTRACTS: dict[str, Contract] = {
 EVENTS: dict[str, tuple[tuple[str, ...], int]] = {
     "observe_run": (("batch.started",), 3), "observe_summary": (("batch.finished",), 3), "observation": (("vacancy.observed",), 3), "evaluation_candidates": (("vacancy_resume.evaluation_candidates",), 1),
     "apply_run": (("batch.started",), 2), "apply_summary": (("batch.finished",), 2), "decision": (("vacancy.decision",), 2), "outcome": (("batch.application_completed", "batch.application_failed"), 2),
+    "discovery": (("batch.discovery",), 3), "resume_reconciliation": (("account.resumes.reconciled",), 1),
     "application_request": (("application.requested",), 2), "application_result": (("application.submitted",), 2),
 }
 
-# Rows that contracts become.
-RAW_REF = "struct<source:string,source_entity_id:string,raw_uri:string,content_hash:string,collected_at:timestamp>"
-EVENT_ENVELOPE = "event_id string, event_type string, schema_version int, source string, occurred_at timestamp, payload string"
-SOURCE_REF = "source string, source_entity_id string, url string"
-CANONICAL_VACANCY = f"source string, source_entity_id string, title string, company_name string, company_id string, description string, area_name string, url string, salary_from decimal(38,9), salary_to decimal(38,9), salary_currency string, remote boolean, employment_type string, experience string, published_at timestamp, raw {RAW_REF}"
-
 
 def check(df: DataFrame, contract: Contract, body: str = "body", out: str = "v") -> DataFrame:
     """df with the parsed object ``out`` and ``violations``: rule ids, empty for a sound object."""

@@ -206,14 +206,14 @@ def claimable_requests(t):
 
 
 @query("""
-select o_orderkey from orders where exists (select 1 from nation join customer on c_nationkey = n_nationkey where c_custkey = o_custkey and n_regionkey < 3)
-  and o_orderkey in (select l_orderkey from lineitem where l_returnflag = 'R')""")
+select o_orderkey, n_nationkey * 10 as profile_row, c_custkey + 7 as resume_row, v.r as vacancy_row from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey and n_regionkey < 3
+join (select l_orderkey, max(l_linenumber) as r from lineitem where l_returnflag = 'R' group by 1) v on v.l_orderkey = o_orderkey""")
 def application_identities(t):
-    c = t("customer").select(F.col("c_nationkey").alias("profile_key"), F.col("c_custkey").alias("source_resume_id"))
-    a = t("orders").join(c, F.col("source_resume_id") == F.col("o_custkey")).select(F.lit("board").alias("source"), "profile_key", "source_resume_id", F.col("o_orderkey").alias("vacancy_id"))
-    p = t("nation").filter("n_regionkey < 3").select(F.lit("board").alias("source"), F.col("n_nationkey").alias("profile_key"))
-    v = t("lineitem").filter("l_returnflag = 'R'").select(F.lit("board").alias("source"), F.col("l_orderkey").alias("source_entity_id")).distinct()
-    return accounts.identities(a, p, c, v).select(F.col("vacancy_id").alias("o_orderkey"))
+    c = t("customer").select(F.col("c_nationkey").alias("profile_key"), F.col("c_custkey").alias("source_resume_id"), (F.col("c_custkey") + 7).alias("resume_row"))
+    a = t("orders").join(c.drop("resume_row"), F.col("source_resume_id") == F.col("o_custkey")).select(F.lit("board").alias("source"), "profile_key", "source_resume_id", F.col("o_orderkey").alias("vacancy_id"))
+    p = t("nation").filter("n_regionkey < 3").select(F.lit("board").alias("source"), F.col("n_nationkey").alias("profile_key"), (F.col("n_nationkey") * 10).alias("profile_row"))
+    v = t("lineitem").filter("l_returnflag = 'R'").groupBy(F.lit("board").alias("source"), F.col("l_orderkey").alias("source_entity_id")).agg(F.max("l_linenumber").alias("vacancy_row"))
+    return accounts.identities(a, p, c, v).select(F.col("vacancy_id").alias("o_orderkey"), "profile_row", "resume_row", "vacancy_row")
 
 
 @query("""
@@ -412,11 +412,11 @@ def posting_rows(t):
 
 
 @query("""
-select p_partkey, p_name, coalesce(p_size, 0) as size, case when p_size > 25 then null else p_partkey end as number, (p_size > 25)::int as cast_failures, '{"a":"' || p_brand || '","b":' || p_size || '}' as doc from part""")
+select p_partkey, p_name, coalesce(p_size, 0) as size, case when p_size > 25 then null else p_partkey end as number, (p_size > 25)::int as cast_failures, case when p_size > 25 then 'many' end as kept, '{"a":"' || p_brand || '","b":' || p_size || '}' as doc from part""")
 def mapped_fields(t):
     p = t("part").select(F.struct("p_partkey", F.struct(F.col("p_name").alias("name")).alias("inner"), "p_size", F.when(F.col("p_size") > 25, "many").otherwise(F.col("p_partkey").cast("string")).alias("n"), F.struct(F.col("p_brand").alias("a"), F.col("p_size").alias("b")).alias("d")).alias("v"))
     m = mapping.mapped(p, {"p_partkey": ("p_partkey", "bigint", None), "p_name": ("inner.name", "string", None), "size": ("p_size", "int", 0), "number": ("n", "bigint", None), "doc": ("d", "json", None)}, "v")
-    return m.select("p_partkey", "p_name", "size", "number", "cast_failures", "doc")
+    return m.select("p_partkey", "p_name", "size", "number", "cast_failures", F.element_at("uncast", "number").alias("kept"), "doc")
 
 
 @query("""

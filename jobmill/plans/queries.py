@@ -89,8 +89,9 @@ gated as (select doc_id, lang, case when reason <> 'accepted' then reason when l
     when area <> 1 then 'area_' || area || '_not_allowed' else 'accepted' end as reason, reason as first_reason from full_text)"""
 
 
-def _gate(t) -> DataFrame:
-    d = _titled(t("documents")).join(t("labels"), "doc_id", "left")
+def _gate(t, searched: bool = False) -> DataFrame:
+    d = _titled(t("documents"))
+    d = (rules.title_decision(d, "title", DEMO, "searched") if searched else d).join(t("labels"), "doc_id", "left")
     return rules.full_gate(d, "title", F.col("text"), F.col("toxic") == 1, F.col("quality") == 0, F.lit(None).cast("string"), rules.area_id((F.col("doc_id") % 3 + 1).cast("string")), 1, DEMO)
 
 
@@ -104,8 +105,7 @@ log as (select 'prefilter' as stage, 'prefilter_' || first_reason as reason, fal
   union all select 'full_validation', reason, reason = 'accepted' from gated where first_reason = 'accepted')
 select stage, reason, accepted, count(*) as n from log group by 1, 2, 3""")
 def two_stage_log(t):
-    searched = rules.title_decision(_titled(t("documents")), "title", DEMO)
-    return rules.two_stage_log(searched, _gate(t), ["doc_id"]).groupBy("stage", "reason", "accepted").agg(F.count("*").alias("n"))
+    return rules.two_stage_log(_gate(t, searched=True), ["doc_id"]).groupBy("stage", "reason", "accepted").agg(F.count("*").alias("n"))
 
 
 # --- routing ---------------------------------------------------------------
@@ -181,10 +181,11 @@ def page_completeness(t):
 @query("""
 with w as (select distinct l_orderkey, l_partkey from lineitem where l_returnflag = 'R')
 select w.l_orderkey, w.l_partkey, string_agg(l_linenumber || ':' || l_linestatus, ',' order by l_linenumber, l_linestatus) as matches, count(l_linenumber) > 0 as found
-from w left join (select * from lineitem where l_discount > 0.03) l on l.l_orderkey = w.l_orderkey and l.l_partkey = w.l_partkey group by 1, 2""")
+from w left join (select * from lineitem where l_returnflag <> 'R') l on l.l_orderkey = w.l_orderkey and l.l_partkey = w.l_partkey group by 1, 2""")
 def negotiation_evidence(t):
     li = t("lineitem")
-    e = routing.negotiation_evidence(li.filter("l_discount > 0.03"), li.filter("l_returnflag = 'R'"), ["l_orderkey", "l_partkey"], ["l_linenumber", "l_linestatus"])
+    # returned lines ask, all others are the pages
+    e = routing.negotiation_evidence(li.filter("l_returnflag <> 'R'"), li.filter("l_returnflag = 'R'"), ["l_orderkey", "l_partkey"], ["l_linenumber", "l_linestatus"])
     shown = F.transform("matches", lambda x: F.concat_ws(":", x["l_linenumber"], x["l_linestatus"]))
     return e.select("l_orderkey", "l_partkey", F.when(F.col("found"), F.array_join(shown, ",")).alias("matches"), "found")
 
@@ -272,13 +273,15 @@ def application_newest(t):
 
 
 @query("""
-with ch as (select o_custkey as k, max(o_orderkey) as s, arg_max(o_orderstatus, o_orderkey) as st from orders group by 1)
+with o as (select case when o_orderpriority = '5-LOW' then -o_custkey - 1 else o_custkey end as k, * from orders),
+ch as (select k, max(o_orderkey) as s, arg_max(o_orderstatus, o_orderkey) as st from o group by 1)
 select coalesce(c_custkey, k) as c_custkey, case when k is null then c_mktsegment else st end as c_mktsegment, coalesce(c_name, 'order ' || s) as created_at, c_nationkey
-from (select * from customer where c_acctbal >= 0) full join ch on k = c_custkey""")
+from customer full join ch on k = c_custkey""")
 def generic_upsert(t):
-    # customers in debt are not yet rows of the current state; the orders of all make the changes
-    c = t("customer").filter("c_acctbal >= 0").select("c_custkey", "c_mktsegment", F.col("c_name").alias("created_at"), "c_nationkey")
-    o = t("orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderstatus").alias("c_mktsegment"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("created_at"), F.col("o_orderkey").alias("seq"))
+    # all customers are the current state; orders are changes, those of low priority of keys that aren't there yet
+    c = t("customer").select("c_custkey", "c_mktsegment", F.col("c_name").alias("created_at"), "c_nationkey")
+    key = F.when(F.col("o_orderpriority") == "5-LOW", -F.col("o_custkey") - 1).otherwise(F.col("o_custkey"))
+    o = t("orders").select(key.alias("c_custkey"), F.col("o_orderstatus").alias("c_mktsegment"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("created_at"), F.col("o_orderkey").alias("seq"))
     return merge.upsert(c, o, ["c_custkey"], "seq")
 
 
@@ -379,13 +382,13 @@ def quota_allocation(t):
 
 
 @query("""
-with o as (select o_custkey, l_orderkey, count(*) as items, sum(round(l_quantity))::bigint as q, sum((l_returnflag = 'R')::int)::bigint as returned
+with o as (select o_custkey, l_orderkey, any_value(case when o_orderstatus = 'P' then o_orderpriority end) as why, count(*) as items, sum(round(l_quantity))::bigint as q, sum((l_returnflag = 'R')::int)::bigint as returned
   from lineitem join orders on o_orderkey = l_orderkey group by 1, 2)
-select o_custkey, count(*) as runs, sum(items)::bigint as items, sum(q)::bigint as q, sum(returned)::bigint as returned, greatest(1500 - sum(q), 0)::bigint as quota_left from o group by 1""")
+select o_custkey, count(*) as runs, sum(items)::bigint as items, sum(q)::bigint as q, sum(returned)::bigint as returned, greatest(1500 - sum(q), 0)::bigint as quota_left, arg_max(why, l_orderkey) filter (why is not null) as paused_reason from o group by 1""")
 def account_rollup(t):
     li = t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("items"), F.sum(F.round("l_quantity").cast("long")).alias("q"), F.count_if(F.col("l_returnflag") == "R").alias("returned"))
-    j = li.join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    return report.roll_up(j, ["o_custkey"], ["items", "q", "returned"], F.lit(1500), "q")
+    j = li.join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority")).alias("why")), "l_orderkey")
+    return report.roll_up(j, ["o_custkey"], ["items", "q", "returned"], F.lit(1500), "q", {"paused_reason": ("why", "l_orderkey")})
 
 
 @query("""
@@ -455,10 +458,10 @@ def pending_runs(t):
 
 
 @query("""
-with s as (select p_partkey as v, case when p_size < 5 then '' else (p_partkey % 100 + 1)::varchar end as r from part where p_size < 15)
+with s as (select p_partkey as v, case when p_size < 5 then '' else (p_partkey % 100 + 1)::varchar end as r from part)
 select l_orderkey, l_linenumber from lineitem where exists (select 1 from s where v = l_partkey and (r = '' or r = l_suppkey::varchar))""")
 def skip_lookup(t):
-    s = t("part").filter("p_size < 15").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_size") < 5, "").otherwise((F.col("p_partkey") % 100 + 1).cast("string")).alias("r"))
+    s = t("part").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_size") < 5, "").otherwise((F.col("p_partkey") % 100 + 1).cast("string")).alias("r"))
     li = t("lineitem").withColumn("r", F.col("l_suppkey").cast("string"))
     return report.already_skipped(li, s, "l_partkey", "r").select("l_orderkey", "l_linenumber")
 

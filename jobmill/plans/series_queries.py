@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from jobmill.functions import text as T
 from jobmill.operators import merge, reconcile, report
+from jobmill.plans import discovery
 from jobmill.plans.queries import query
 
 _LINE = """case event_type when 'error' then 'Traceback (most recent call last):' when 'purchase' then strftime(ts, '%Y-%m-%d %H:%M:%S') || ' - INFO - done' else '  File ' || event_id end"""
@@ -57,3 +58,27 @@ from o group by 1""")
 def hot_key_merge(t):
     e = t("events").select("event_type", "event_id", "ts", "value", "props", (F.col("user_id") % 3 == 0).alias("is_full"), F.when(F.col("user_id") % 4 == 0, F.col("value")).alias("v"))
     return merge.coalesce_merge(e, ["event_type"], "ts", "event_id", ["v"], ["props"], ["value"], "is_full", {"first_seen": "ts"}, {"last_seen": "ts"}, chunk=F.floor(F.col("event_id") / 512))
+
+
+@query("""
+with p as (select o_custkey as run, l_returnflag as q, l_linenumber as page, l_partkey, row_number() over (partition by o_custkey, l_returnflag, l_linenumber order by l_orderkey, l_partkey) - 1 as place from lineitem join orders on o_orderkey = l_orderkey),
+i as (select *, case q when 'R' then 0 when 'A' then 1 else 2 end as qp from p where not (run % 7 = 0 and q = 'A' and page >= coalesce((select min(page) from p b where b.run = p.run and b.q = p.q and b.page >= 3), 99))),
+k as (select run, l_partkey, q, min(qp * 1000000 + page * 10000 + place) as first from i group by all),
+g as (select run, l_partkey, q, page, min(qp * 1000000 + page * 10000 + place) as first from i group by all)
+select 'run' || run as run_id, l_partkey::varchar as vacancy_id, string_agg(q, ',' order by first) as query_keys,
+  (select string_agg(q || page, ',' order by first) from g where g.run = k.run and g.l_partkey = k.l_partkey) as pages, (select count(*) from i where i.run = k.run and i.l_partkey = k.l_partkey) as observations from k group by run, l_partkey""")
+def page_lineage(t):
+    """Pages as raw objects made of order lines; where a run divides 7, its pages of query A from 3 on begin with a broken one."""
+    j = t("lineitem").join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    items = F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_partkey"))), lambda x: F.struct(x["l_partkey"].alias("id")))
+    p = j.groupBy("o_custkey", "l_returnflag", "l_linenumber").agg(items.alias("items"))
+    run = F.concat(F.lit("run"), F.col("o_custkey").cast("string"))
+    broken = (F.col("o_custkey") % 7 == 0) & (F.col("l_returnflag") == "A") & (F.col("l_linenumber") >= 3)
+    key = F.concat(F.lit("batches/date=2024-01-01/run_id="), run, F.lit("/discovery/queries/query="), F.col("l_returnflag"), F.lit("/page="), F.lpad(F.col("l_linenumber").cast("string"), 3, "0"), F.lit(".json"))
+    objects = p.select(F.lit("page").alias("kind"), run.alias("run_id"), key.alias("key"), F.when(broken, F.lit('{"items": {"id": 1}}')).otherwise(F.to_json(F.struct("items"))).cast("binary").alias("body"))
+    _, found = discovery.page_rows(objects)
+    place = F.when(F.col("query_key") == "R", 0).when(F.col("query_key") == "A", 1).otherwise(2)
+    queries = p.select(run.alias("run_id"), F.col("l_returnflag").alias("query_key")).distinct().withColumns({"query_pos": place, "query_set": F.lit("set")})
+    c = discovery.candidates(found, queries)
+    short = F.transform("page_keys", lambda k: F.concat(F.regexp_extract(k, "query=([^/]+)", 1), F.regexp_extract(k, r"page=0*(\d+)", 1)))
+    return c.select("run_id", "vacancy_id", F.array_join("query_keys", ",").alias("query_keys"), F.array_join(short, ",").alias("pages"), "observations")

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Forms of keys.
 RUN_KEY = r"^batches/date=([0-9]{4}-[0-9]{2}-[0-9]{2})/run_id=([^/]+)/"
 CANDIDATE_KEY = RUN_KEY + r"candidates/vacancy_id=([^/]+)/(search_item|vacancy|decision|outcome|observation|evaluation_candidates)\.json$"
 APPLICATION_KEY = r"^applications/date=([0-9]{4}-[0-9]{2}-[0-9]{2})/run_id=([^/]+)/vacancy_id=([^/]+)/(vacancy_before|application_request|application_result|vacancy_after)\.json$"

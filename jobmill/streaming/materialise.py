@@ -6,40 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from jobmill.plans.contracts import CONTRACTS, check, split
 from jobmill.sources.raw import classify, stream_objects
 
-RUN_CONTRACTS = {3: ("observe_run", "observe_summary"), 2: ("apply_run", "apply_summary")}
-
-
-def run_table(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(runs, quarantine) from classified raw objects: run_id, date, version, status, started_at, finished_at.
-
-    A run whose header or summary breaks its contract is quarantined as a
-    whole, and so is one whose path disagrees with its header. A run without a
-    summary is incomplete.
-    """
-    rows = objects.filter("kind = 'run' and name in ('run', 'summary')").withColumn("version", F.get_json_object(F.col("body").cast("string"), "$.schema_version").try_cast("int"))
-    heads, ends, bad = [], [], []
-    for version, (head, end) in RUN_CONTRACTS.items():
-        h = check(rows.filter(f"name = 'run' and version = {version}"), CONTRACTS[head])
-        path = F.filter(F.array(F.when(~F.col("v.run_id").eqNullSafe(F.col("run_id")), "path_run_id"), F.when(~F.to_date(F.try_to_timestamp("v.started_at")).eqNullSafe(F.col("date")), "path_date")), lambda x: x.isNotNull())
-        good, broken = split(h.withColumn("violations", F.concat("violations", path)), ["run_id", "key"])
-        heads.append(good.select("run_id", "date", F.lit(version).alias("version"), F.try_to_timestamp("v.started_at").alias("started_at"), F.col("v.account_key").alias("account_key")))
-        bad.append(broken)
-        e = rows.filter("name = 'summary'").join(heads[-1].select("run_id"), "run_id", "left_semi")
-        good, broken = split(check(e, CONTRACTS[end]), ["run_id", "key"])
-        ends.append(good.select("run_id", F.try_to_timestamp("v.finished_at").alias("finished_at")))
-        bad.append(broken)
-    unknown = rows.filter("name = 'run' and (version is null or version not in (2, 3))").select("run_id", "key", F.lit("unknown_version").alias("rule"))
-    head = heads[0].unionByName(heads[1])
-    j = head.join(ends[0].unionByName(ends[1]), "run_id", "left")
-    backwards = j.filter("finished_at < started_at").select("run_id", F.lit(None).cast("string").alias("key"), F.lit("finished_before_start").alias("rule"))
-    quarantine = bad[0].unionByName(bad[1]).unionByName(bad[2]).unionByName(bad[3]).unionByName(unknown).unionByName(backwards)
-    runs = j.join(quarantine.select("run_id").distinct(), "run_id", "left_anti")
-    return runs.withColumn("status", F.when(F.col("finished_at").isNull(), "incomplete").otherwise("finished")), quarantine
-
-
 def materialise(spark: SparkSession, root: str, checkpoint: str, files_per_trigger: int, load: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Feeds new raw objects in order of arrival, ``files_per_trigger`` at a time, to ``load`` until none is left.
 
@@ -50,15 +18,6 @@ def materialise(spark: SparkSession, root: str, checkpoint: str, files_per_trigg
     return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def store_runs(path: str) -> Callable[[DataFrame, int], None]:
-    """A ``load`` that appends run headers and summaries by batch; readers fold them with ``current_runs``."""
-
-    def load(objects: DataFrame, batch: int) -> None:
-        objects.filter("kind = 'run'").select("key", "body", "date", "run_id", "kind", "name", "vacancy_id").withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/batch={batch}")
-
-    return load
-
-
 def store_objects(path: str) -> Callable[[DataFrame, int], None]:
     """A ``load`` that lands whole objects by batch and name, so that ``plans.backfill`` reads each kind from its own files."""
 
@@ -66,8 +25,3 @@ def store_objects(path: str) -> Callable[[DataFrame, int], None]:
         objects.filter("kind is not null").write.mode("overwrite").partitionBy("name").parquet(f"{path}/batch={batch}")
 
     return load
-
-
-def current_runs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Runs and quarantine over all batches so far; an object seen again counts once."""
-    return run_table(spark.read.parquet(path).dropDuplicates(["key"]))

@@ -43,7 +43,7 @@ def test_canonical_posting(spark):
     flags = df.select(mapping.operational_flags(df, "v").alias("f")).collect()
     assert flags[0]["f"]["has_test"] is False and flags[1]["f"]["has_test"] is True and flags[0]["f"]["relations"] == []
     m = mapping.mapped(spark.createDataFrame([(("7", "x"),), (("q", None),)], "p struct<a:string,b:string>"), {"a": ("a", "int", 0), "b": ("b", "string", "none"), "c": ("c.d", "string", None)}, "p").collect()
-    assert [(r["a"], r["b"], r["c"], r["cast_failures"]) for r in m] == [(7, "x", None, 0), (0, "none", None, 1)]
+    assert [(r["a"], r["b"], r["c"], r["cast_failures"]) for r in m] == [(7, "x", None, 0), (0, "none", None, 1)] and m[1]["uncast"] == {"a": "q"}
 
 
 def test_adhoc(spark, tmp_path):

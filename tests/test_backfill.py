@@ -26,6 +26,7 @@ def posting(**over):
             "description": "<p>Python</p>", "salary": {"from": 10, "to": 15, "currency": "RUR"}, "schedule": {"id": "remote"}, "employment": {"id": "full"}, "relations": [], "has_test": False, "response_url": None, "extra": 1} | over
 
 
+# Field names and literals of the wire objects in the trees below.
 def observe_tree(run_id=OBSERVE):
     bindings = [{"source_resume_id": f"r{i}", "binding_key": f"b{i}", "target_key": f"t{i}", "binding_version": i, "query_sets": [f"s{i}"], "auto_apply": False} for i in (2, 1)]
     ids = {"run_id": run_id, "account_key": "acc"}

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from jobmill.plans.contracts import CONTRACTS, check, split
 from jobmill.sources import raw
-from jobmill.streaming import materialise as M
 
 SIGNATURE = "a" * 64
 
@@ -67,25 +66,6 @@ def test_keys_and_checksums(spark, tmp_path):
     assert got == [("x.json", None), (None, "foreign_bucket"), ("x.json", None), ("x.json", None), (None, "foreign_prefix"), (None, "query_or_fragment")]
 
 
-def test_stream_loads_runs_once(spark, tmp_path):
-    root, out, cp = tmp_path / "raw", tmp_path / "out", tmp_path / "cp"
-    a, b, c = (str(uuid.uuid4()) for _ in range(3))
-    put(root, a, "run", run_object(a))
-    put(root, b, "run", run_object(b))
-    put(root, c, "run", run_object(c, bad=1))
-    put(root, b, "summary", summary_object(b))
-
-    def load():
-        M.materialise(spark, str(root), str(cp), 2, M.store_runs(str(out))).awaitTermination()
-        runs, bad = M.current_runs(spark, str(out))
-        return {r["run_id"]: r["status"] for r in runs.collect()}, {r["run_id"] for r in bad.collect()}
-
-    assert load() == ({a: "incomplete", b: "finished"}, {c})
-    put(root, a, "summary", summary_object(a))
-    assert load() == ({a: "finished", b: "finished"}, {c})
-    assert load() == ({a: "finished", b: "finished"}, {c})
-
-
 def test_digest_and_visible_text(spark):
     df = spark.createDataFrame([('{"b":1.0,"a":"é"}', "<p>a</p><script>x()</script>tail &am"), ("nope", None)], "j string, h string")
     got = raw.exact_visible_text(raw.canonical_digest(df, "j"), "h").collect()
