@@ -60,6 +60,13 @@ def operational_flags(df: DataFrame, p: str) -> Column:
     return F.struct(relations, flag("has_test"), optional_text(field(df, f"{p}.response_url")).alias("response_url"), flag("response_letter_required"), flag("archived"), flag("closed_for_applicants"))
 
 
+def synced(postings: DataFrame, payload: str, source: str = "board", provenance: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(sound postings, rejected ones): of each its raw payload as JSON text, canonical columns and operational flags, in one row."""
+    df = postings.withColumns({"flags": operational_flags(postings, payload), "raw": F.to_json(payload)})
+    rows = canonical_posting(df, payload, source, [*provenance, "raw", "flags"])
+    return rows.filter("valid").drop("valid"), rows.filter("not valid").select(*provenance, "source_entity_id", "raw")
+
+
 def search_item(df: DataFrame, p: str, provenance: list[str] = ()) -> DataFrame:
     """Six fields of a search item; an employer or area that is no object is empty."""
     return df.select(

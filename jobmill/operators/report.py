@@ -78,6 +78,12 @@ def rates(df: DataFrame, by: list[str], flags: dict[str, Column]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), *[F.avg(f.cast("double")).alias(name) for name, f in flags.items()])
 
 
+def conversion_by_letter(letters: DataFrame, outcomes: DataFrame, key: list[str], by: list[str], flags: dict[str, Column]) -> DataFrame:
+    """Shares of outcomes by what the letter was made with, such as template and résumé: letters(key, by), outcomes(key). A letter without an outcome counts as none of the flags."""
+    j = letters.select(*key, *by).join(outcomes, key, "left")
+    return rates(j, by, {n: F.coalesce(f, F.lit(False)) for n, f in flags.items()})
+
+
 def latency(df: DataFrame, by: list[str], start: str, end: str, points: list[float]) -> DataFrame:
     """Exact percentiles of whole days between two times: the first day up to which a share of the group's rows lie; rows without both times don't count.
 

@@ -136,6 +136,21 @@ def interleave(accounts: DataFrame, pos: str, runs: str) -> DataFrame:
     return parts.join(sizes, ["run_number", "_part"]).join(before, "run_number").withColumn("slot", F.col("_b") + F.col("_a") + inside).drop("_b", "_a", "_part")
 
 
+def isolate_accounts(rows: DataFrame, account: list[str], pos: str, stop: Column, resumed: Column, reason: str) -> DataFrame:
+    """Adds status (executed or paused), paused_since and paused_reason: rows of an account after one that stops it are paused, until one that resumes it.
+
+    The row that stops is still executed; a row that resumes is executed itself.
+    What one account does changes no row of another: the window is over the account alone, an
+    account's slots are bounded by its schedule.
+    """
+    w = Window.partitionBy(*account).orderBy(pos)
+    df = rows.withColumn("_epoch", F.sum(F.when(resumed, 1).otherwise(0)).over(w))
+    inside = Window.partitionBy(*account, "_epoch").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.min(F.when(stop, F.struct(F.col(pos).alias("at"), F.col(reason).alias("why")))).over(inside)
+    df = df.withColumn("_p", F.when(~F.coalesce(resumed, F.lit(False)), first))
+    return df.withColumns({"status": F.when(F.col("_p").isNull(), "executed").otherwise("paused"), "paused_since": F.col("_p.at"), "paused_reason": F.col("_p.why")}).drop("_epoch", "_p")
+
+
 def slot_state(scheduled: Column, now: Column, grace_seconds: int, paused: Column, quota_left: Column) -> Column:
     late = F.unix_timestamp(now) - F.unix_timestamp(scheduled)
     return F.when(late < 0, "future").when(late > grace_seconds, "expired").when(paused, "skipped_paused").when(quota_left <= 0, "skipped_quota").otherwise("due")

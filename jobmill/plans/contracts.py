@@ -89,7 +89,7 @@ CONTRACTS: dict[str, Contract] = {
         "event_type string, schema_version int, run_id string, profile_id string, resume_id string, search string, area int, period int, pages int, per_page int, professional_roles array<int>, max_responses int,"
         " cover_letter_mode string, live boolean, runtime_mode string, account_key string, resume_key string, target_key string, binding_version int, query_sets array<string>, external_writes_allowed boolean, started_at string",
         ("event_type", "schema_version", "run_id", "profile_id", "resume_id", "live", "started_at"),
-        rules={"version": "v.schema_version = 2", "run_id_uuid": f"v.run_id rlike '{UUID}'", "started_zoned": zoned("started_at")}),
+        rules={"binding_version": "v.binding_version is null or v.binding_version >= 1", "version": "v.schema_version = 2", "run_id_uuid": f"v.run_id rlike '{UUID}'", "started_zoned": zoned("started_at")}),
     "apply_summary": Contract(
         "event_type string, schema_version int, run_id string, live boolean, discovered int, prefiltered int, full_fetched int, accepted int, submitted int, confirmed int, failed int, external_writes_attempted int,"
         " quota_consumed int, stopped_on_captcha boolean, reasons map<string,int>, finished_at string, s3_prefix string",

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from jobmill.functions import text as T
-from jobmill.operators import merge, reconcile, report
+from jobmill.operators import mapping, merge, reconcile, report, state
 from jobmill.plans import discovery
 from jobmill.plans.queries import query
+from jobmill.sources import raw
 
 _LINE = """case event_type when 'error' then 'Traceback (most recent call last):' when 'purchase' then strftime(ts, '%Y-%m-%d %H:%M:%S') || ' - INFO - done' else '  File ' || event_id end"""
 
@@ -82,3 +83,43 @@ def page_lineage(t):
     c = discovery.candidates(found, queries)
     short = F.transform("page_keys", lambda k: F.concat(F.regexp_extract(k, "query=([^/]+)", 1), F.regexp_extract(k, r"page=0*(\d+)", 1)))
     return c.select("run_id", "vacancy_id", F.array_join("query_keys", ",").alias("query_keys"), F.array_join(short, ",").alias("pages"), "observations")
+
+
+@query("""
+with e as (select user_id, event_id, event_type, props, sum((event_type = 'signup')::int) over (partition by user_id order by event_id) as epoch from events),
+p as (select *, min(case when event_type = 'error' then event_id end) over (partition by user_id, epoch order by event_id rows between unbounded preceding and 1 preceding) as since from e)
+select user_id, event_id, case when since is null then 'executed' else 'paused' end as status, since as paused_since, (select props from events x where x.event_id = since) as paused_reason from p""")
+def account_isolation(t):
+    rows = state.isolate_accounts(t("events"), ["user_id"], "event_id", F.col("event_type") == "error", F.col("event_type") == "signup", "props")
+    return rows.select("user_id", "event_id", "status", "paused_since", "paused_reason")
+
+
+@query("""
+with l as (select o_orderkey, 't' || (('0x' || substr(sha256(o_custkey || '/' || o_orderkey), 1, 2))::int % 3 + 1) as template_id, o_orderpriority from orders),
+a as (select l_orderkey, bool_or(l_returnflag = 'R') as answered, bool_and(l_linestatus = 'F') as closed from lineitem group by 1)
+select template_id, o_orderpriority, count(*) as n, round(avg(coalesce(answered, false)::int), 6) as answered, round(avg(coalesce(closed, false)::int), 6) as closed from l left join a on l_orderkey = o_orderkey group by 1, 2""")
+def template_conversion(t):
+    none = F.array().cast("array<string>")
+    seed = F.concat_ws("/", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"))
+    letters = t("orders").select("o_orderkey", "o_orderpriority", T.letter(F.lit("x"), F.lit(None).cast("string"), none, none, F.lit(None).cast("string"), seed)["template_id"].alias("template_id"))
+    a = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("answered"), F.bool_and(F.col("l_linestatus") == "F").alias("closed"))
+    r = report.conversion_by_letter(letters, a, ["o_orderkey"], ["template_id", "o_orderpriority"], {"answered": F.col("answered"), "closed": F.col("closed")})
+    return r.select("template_id", "o_orderpriority", "n", F.round("answered", 6).alias("answered"), F.round("closed", 6).alias("closed"))
+
+
+@query("select l_orderkey as id, count(*) as n from lineitem group by 1")
+def index_ids(t):
+    return raw.index_ids(raw.read_index(t("lineitem").withColumnRenamed("l_orderkey", "id"), ["id", "l_shipdate", "absent"], ("id",)))
+
+
+@query("""
+select o_orderkey::varchar as id, c_name as company, round(o_totalprice * 100)::bigint as salary_from, o_orderstatus = 'F' as archived, c_custkey::varchar as company_id from orders join customer on c_custkey = o_custkey
+where c_acctbal >= 0 and o_orderkey in (select l_orderkey from lineitem where l_returnflag = 'R')""")
+def synced_canonical(t):
+    """Postings of an index, as raw, canonical and operational rows; without an employer's name they are rejected."""
+    j = t("orders").join(t("customer"), F.col("c_custkey") == F.col("o_custkey"))
+    v = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.lit("posting").alias("name"), F.struct(F.when(F.col("c_acctbal") >= 0, F.col("c_name")).alias("name"), F.col("c_custkey").cast("string").alias("id")).alias("employer"),
+                 F.struct(F.round(F.col("o_totalprice") * 100).cast("long").alias("from")).alias("salary"), (F.col("o_orderstatus") == "F").alias("archived"))
+    index = raw.read_index(t("lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id")), ["id"], ("id",))
+    good, _ = mapping.synced(raw.sync_postings(index, j.select(F.col("o_orderkey").alias("id"), v.alias("v"))), "v")
+    return good.select(F.col("source_entity_id").alias("id"), F.col("company_name").alias("company"), F.col("salary_from").cast("long").alias("salary_from"), F.col("flags.archived").alias("archived"), "company_id")

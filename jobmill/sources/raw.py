@@ -4,8 +4,9 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Forms of keys.
 RUN_KEY = r"^batches/date=([0-9]{4}-[0-9]{2}-[0-9]{2})/run_id=([^/]+)/"
@@ -60,11 +61,19 @@ def classify(objects: DataFrame) -> DataFrame:
 
 
 def verify(objects: DataFrame, manifest: DataFrame) -> DataFrame:
-    """objects with observed_at and error, against manifest(key, sha256, collected_at): checksum (any case), a JSON object, a time."""
-    m = manifest.select("key", F.lower("sha256").alias("_sha"), F.col("collected_at"))
-    j = objects.join(m, "key", "left").withColumn("observed_at", F.coalesce("collected_at", "last_modified"))
-    error = F.when(F.col("_sha").isNotNull() & (F.col("_sha") != F.col("sha256")), "checksum").when(F.json_object_keys(F.col("body").cast("string")).isNull(), "not_a_json_object").when(F.col("observed_at").isNull(), "no_time")
-    return j.withColumn("error", error).drop("_sha")
+    """objects with observed_at and error, against manifest(key, sha256, collected_at): checksum (any case), a JSON object, a time.
+
+    A collected_at given as text must carry a zone; a time of Spark's is an instant already. Without one, the object's own time counts.
+    """
+    given = F.col("collected_at")
+    if isinstance(manifest.schema["collected_at"].dataType, StringType):
+        zoned = given.rlike(r"(Z|z|[+-][0-9]{2}:?[0-9]{2})$")
+        m = manifest.select("key", F.lower("sha256").alias("_sha"), F.when(zoned, F.try_to_timestamp(given)).alias("collected_at"), (given.isNotNull() & (~zoned | F.try_to_timestamp(given).isNull())).alias("_unzoned"))
+    else:
+        m = manifest.select("key", F.lower("sha256").alias("_sha"), given, F.lit(False).alias("_unzoned"))
+    j = objects.join(m, "key", "left").withColumn("observed_at", F.when(~F.coalesce("_unzoned", F.lit(False)), F.coalesce("collected_at", "last_modified")))
+    error = F.when(F.col("_sha").isNotNull() & (F.col("_sha") != F.col("sha256")), "checksum").when(F.json_object_keys(F.col("body").cast("string")).isNull(), "not_a_json_object").when(F.col("_unzoned"), "time_without_zone").when(F.col("observed_at").isNull(), "no_time")
+    return j.withColumn("error", error).drop("_sha", "_unzoned")
 
 
 def write_objects(objects: DataFrame, path: str) -> None:
@@ -134,6 +143,12 @@ def candidate_keys(classified: DataFrame) -> DataFrame:
     return classified.filter("kind = 'candidate'").groupBy("date", "run_id", "vacancy_id").pivot("name", names).agg(F.first("key"))
 
 
+def first_candidates(keys: DataFrame, n: int | None = None) -> DataFrame:
+    """Candidates of each run in order of their identifier, all or the first n of every run: adds ``place`` from 1. A run's candidates are bounded by its page limits."""
+    placed = keys.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy("vacancy_id")))
+    return placed if n is None else placed.filter(F.col("place") <= n)
+
+
 def select_runs(runs: DataFrame, run_id: str | None = None, limit: int | None = None) -> DataFrame:
     """Earliest runs by (date, id), or exactly one."""
     if run_id is not None and limit is not None:
@@ -152,6 +167,11 @@ def read_index(df: DataFrame, preferred: list[str], required: tuple[str, ...] =
     return out if limit is None else out.limit(limit)
 
 
+def index_ids(index: DataFrame) -> DataFrame:
+    """Distinct identifiers of an index that aren't null, newest first, with how many rows each has; the sum of ``n`` is the index's count of such rows."""
+    return index.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("n")).orderBy(F.desc("id"))
+
+
 def sync_postings(index: DataFrame, postings: DataFrame, ids: DataFrame | None = None, newest: int | None = None) -> DataFrame:
     """Raw postings of the index: of the given identifiers, or the newest n."""
     chosen = index.select("id")

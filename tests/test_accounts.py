@@ -74,3 +74,8 @@ def test_pending_runs(spark):
     heads = spark.createDataFrame([(r, "run_started", 3, "observe") for r in "abc"] + [("d", "run_started", 2, "observe")], "run_id string, event_type string, schema_version int, runtime_mode string")
     loaded = spark.createDataFrame([("b", "finished"), ("a", "incomplete")], "run_id string, status string")
     assert [r["run_id"] for r in raw.pending_runs(raw.eligible_runs(runs, heads), loaded).collect()] == ["a"]
+
+
+def test_without_nulls(spark):
+    df = spark.createDataFrame([(([1, None, 2], {"a": None, "b": [(None, "x")]}, None),)], "v struct<l:array<int>,m:map<string,array<struct<p:int,q:string>>>,n:string>")
+    assert df.select(mapping.without_nulls(df, "v").alias("j")).first()["j"] == '{"l":[1,2],"m":{"b":[{"q":"x"}]}}'

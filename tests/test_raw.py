@@ -61,6 +61,9 @@ def test_keys_and_checksums(spark, tmp_path):
     assert raw.verify(o, wrong).first()["error"] == "checksum"
     right = spark.createDataFrame([(r["key"], r["sha256"].upper(), None)], "key string, sha256 string, collected_at timestamp")
     assert raw.verify(o, right).first()["error"] is None
+    times = spark.createDataFrame([(r["key"], r["sha256"], t) for t in ("2026-08-30T08:00:00+03:00", "2026-08-30T08:00:00", "noon Z", None)], "key string, sha256 string, collected_at string")
+    assert sorted(str((x["error"], x["observed_at"] and x["observed_at"].hour)) for x in raw.verify(o, times.filter("collected_at is not null")).collect()) == ["('time_without_zone', None)", "('time_without_zone', None)", "(None, 5)"]
+    assert raw.verify(o, times.filter("collected_at is null")).first()["observed_at"] == r["last_modified"]
     uris = spark.createDataFrame([("s3://b/p/x.json",), ("s3://o/p/x.json",), ("p/x.json",), ("x.json",), ("s3://b/q/x.json",), ("s3://b/p/x.json?v=1",)], "u string")
     got = [tuple(x["k"]) for x in uris.select(raw.relative_key(F.col("u"), "b", "p").alias("k")).collect()]
     assert got == [("x.json", None), (None, "foreign_bucket"), ("x.json", None), ("x.json", None), (None, "foreign_prefix"), (None, "query_or_fragment")]
@@ -73,3 +76,8 @@ def test_digest_and_visible_text(spark):
 
     assert got[0]["digest"] == hashlib.sha256('{"a":"é","b":1.0}'.encode()).hexdigest() and got[1]["digest"] is None
     assert got[0]["visible"] == "a\nx()\ntail &am" and got[1]["visible"] == ""
+
+
+def test_first_candidates(spark):
+    keys = spark.createDataFrame([("r1", "v3"), ("r1", "v1"), ("r1", "v2"), ("r2", "v9")], "run_id string, vacancy_id string")
+    assert sorted(tuple(x) for x in raw.first_candidates(keys, 2).collect()) == [("r1", "v1", 1), ("r1", "v2", 2), ("r2", "v9", 1)]
