@@ -102,7 +102,7 @@ CONTRACTS: dict[str, Contract] = {
         "event_type string, schema_version int, run_id string, vacancy_id string, status string, confirmed boolean, submission_mode string, application_run_id string, application_result_uri string, cover_letter_uri string,"
         " reason string, error_type string, error string, external_write_attempted boolean, created_at string",
         ("run_id", "vacancy_id", "status", "created_at"),
-        rules={"created_zoned": zoned("created_at"), "completed_has_proof": "not endswith(coalesce(v.event_type, ''), 'application_completed') or (v.application_run_id is not null and v.application_result_uri is not null and v.submission_mode is not null and v.confirmed is not null)"}),
+        rules={"created_zoned": zoned("created_at")}),
     "application_request": Contract(
         "event_type string, schema_version int, run_id string, account_key string, profile_id string, resume_id string, vacancy_id string, submission_mode string, requested_at string",
         ("run_id", "profile_id", "resume_id", "vacancy_id", "submission_mode", "requested_at"), strict=False, rules={"requested_zoned": zoned("requested_at")}),
