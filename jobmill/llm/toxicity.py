@@ -7,17 +7,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobmill.llm.common import cut, few, free
 
 #: Labelled documents from which the model is learned at most: an even sample by a hash of the id.
 SAMPLE = 20_000
-#: Terms of the lexicon at most, those with the strongest evidence; the model is broadcast.
-TERMS = 2_000
-#: An edit leaves so much of a term's weight, until the sample shows misspellings of the term.
+#: Terms that the model, which is broadcast, may have; more stop the job.
+TERMS = 50_000
+#: An edit leaves at most so much of a term's weight.
 EDIT = 0.85
+#: Misspelled uses of a term presumed for each exact one, until the sample shows more.
+MISSPELLED = 0.2
+#: How far from a word stand those by which copies of its surroundings are known.
+REACH = 6
 #: What a quoted hit weighs before the sample says otherwise, and at least, as a share of one that is not quoted.
 QUOTED, LEAST_QUOTED = 0.5, 0.1
 #: Beginnings of words that may be terms themselves, whatever follows them.
@@ -101,7 +105,7 @@ class Lexicon:
         return to
 
     def match(self, word: str) -> tuple[str, int] | None:
-        """The term nearest to the word and its edits, a stem that begins it, or None."""
+        """The term nearest to the word and its edits, else a stem that begins it, or None."""
         state, stem = self.start, None
         for at, c in enumerate(word):
             state = self.steps[state].get(c, -1) if c in self.steps[state] else self._step(state, c)
@@ -111,9 +115,7 @@ class Lexicon:
             if at + 1 >= STEM_LENGTHS.start and stem is None:
                 stem = next((word[: at + 1] for node, e in found if e == 0 and self.is_stem[node]), None)
         best = min(((e, t) for node, e in self.sets[state] if (t := self.ends[node]) is not None and e <= self.terms[t]), default=None) if len(word) else None
-        if best and best[0] == 0:
-            return best[1], 0
-        return (stem + "*", 0) if stem else (best[1], best[0]) if best else None
+        return (best[1], best[0]) if best else (stem + "*", 0) if stem else None
 
 
 def bare(word: str) -> str:
@@ -130,6 +132,7 @@ def features_of(text: str | None) -> set[str]:
 class Model:
     lexicon: Lexicon
     weights: dict[tuple[str, int], float]  # by term and edits
+    barred: frozenset[str] = frozenset()  # words near a term that clean texts use: never a misspelling
     coefficients: list[float] = field(default_factory=lambda: [-2.0, 1.0, 0.0])
     kept: dict[str, tuple[str, int] | None] = field(default_factory=dict)
 
@@ -138,6 +141,10 @@ class Model:
 
     def hits(self, text: str | None) -> list[tuple[str, int, bool]]:
         """Term, edits, quoted, for each word that matches; of a learned model, for each that has a weight."""
+        return [h[:3] for h in self.found(text)]
+
+    def found(self, text: str | None) -> list[tuple[str, int, bool, str]]:
+        """The hits, each with its word."""
         words = (text or "").split()
         kept, every = self.kept, set(words)
         new = [w for w in every if w not in kept]
@@ -145,14 +152,15 @@ class Model:
             kept.clear()
             new = list(every)
         for w in new:
-            m = self.lexicon.match(bare(w))
+            b = bare(w)
+            m = None if b in self.barred else self.lexicon.match(b)
             kept[w] = m if not self.weights or m in self.weights else None
         if not any(map(kept.get, every)):
             return []
         out = []
         for i, w in enumerate(words):
             if m := kept[w]:
-                out.append((*m, is_quoted(words, i)))
+                out.append((*m, is_quoted(words, i), bare(w)))
         return out
 
     def inputs(self, hits: list[tuple[str, int, bool]]) -> tuple[float, float]:
@@ -176,15 +184,12 @@ def is_quoted(words: list[str], i: int) -> bool:
     return opened and closed or any(bare(w) in REPORTING for w in before[:-1])
 
 
-def _strength(t: int, n_t: int, c: int, n_c: int) -> float:
-    return math.log(((t + 0.5) / (n_t + 1)) / ((c + 0.5) / (n_c + 1)))
+#: Terms and misspellings of less weight, the logarithm of a ratio of rates, are none.
+LEAST = math.log(5)
 
 
-def _sketch(text: str) -> Column:
-    """The least hash of five words in a row, of all words if there are fewer: near copies mostly share it, other texts hardly ever."""
-    words = F.transform(F.split(F.lower(F.trim(text)), r"\s+"), lambda w: F.xxhash64(w))
-    n = F.greatest(F.size(words) - 4, F.lit(1))
-    return F.array_min(F.transform(F.arrays_zip(*[F.slice(words, F.lit(k), n).alias(f"w{k}") for k in range(1, 6)]), lambda s: F.xxhash64(s)))
+def _strength(t: float, n_t: int, c: int, n_c: int) -> float:
+    return math.log(((t + 0.5) / (n_t + 1)) / ((c + 0.5) / (n_c + 1)))
 
 
 def _counts(rows: DataFrame, wanted: frozenset | None) -> DataFrame:
@@ -204,6 +209,33 @@ def _counts(rows: DataFrame, wanted: frozenset | None) -> DataFrame:
     return rows.select("text").mapInPandas(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
+def _originals(rows: DataFrame, wanted: frozenset | None) -> DataFrame:
+    """Number of documents with each feature that are no copies in part of one another; of the wanted features only, if given.
+
+    A feature's contexts are the two words REACH before it and the two REACH
+    after it, where the text goes so far; the whole text, where it goes so far on
+    neither side. A document counts for a feature if it is the first, by a hash
+    of its text, in each of its contexts: of copies, near copies and texts with
+    shared passages, one does.
+    """
+
+    def occur(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for t, doc in zip(b["text"], b["doc"], strict=True):
+                words, out = [bare(w) for w in (t or "").split()], set()
+                for i, w in enumerate(words):
+                    fs = [f for f in (w, *(w[:n] + "*" for n in STEM_LENGTHS if len(w) > n)) if f and (wanted is None or f in wanted)]
+                    if fs:
+                        left = ["< " + " ".join(words[i - REACH : i - REACH + 2])] if i >= REACH else []
+                        right = ["> " + " ".join(words[i + REACH - 1 : i + REACH + 1])] if i + REACH < len(words) else []
+                        out.update((f, doc, c) for f in fs for c in left + right or [str(doc)])
+                yield pd.DataFrame(list(out), columns=["feature", "doc", "context"]).astype({"doc": "int64"})
+
+    seen = rows.select("text", F.xxhash64("text").alias("doc")).mapInPandas(occur, "feature string, doc long, context string")
+    first = seen.withColumn("first", F.min("doc").over(Window.partitionBy("feature", "context")))
+    return first.groupBy("feature", "doc").agg(F.bool_and(F.col("first") == F.col("doc")).alias("own")).groupBy("feature").agg(F.count_if("own").alias("originals"))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Newton's method with bounded steps, ridge on all but the intercept."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -222,14 +254,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 4
     """Learns lexicon, weights and scale from docs whose key has a label; rows to hold out are filtered by the caller.
 
     At most about ``sample`` labelled rows are used, whole texts, chosen by a
-    hash of the key. A term must occur in ``least`` toxic documents, ten times
-    as often as in clean ones, and beyond chance; of toxic documents with the
-    same sketch one counts here, or the words of a text copied many times would
-    be terms. Features are counted and tested by Spark, and the driver gets the
-    TERMS best. A word with k edits has
-    EDIT ** k of its term's weight, unless the sample holds words as far from
-    the term: then what they show. A quoted hit has QUOTED of the weight, moved
-    by the quoted hits of the sample.
+    hash of the key; a key that repeats in docs stands for all its rows. A term
+    must occur in ``least`` toxic documents, ten times as often as in clean
+    ones and beyond chance, and in ``least`` toxic documents that share no
+    surroundings of it, or the words of a copied text would be terms.
+    Features are counted and tested by Spark, the driver gets those that pass.
+
+    A word with k edits has at most EDIT ** k of its term's weight, less where
+    clean texts hold words as far from the term. Such words, once seen, are
+    barred themselves; how many words are in one document only, toxic or clean,
+    tells what words the sample lacks are worth (Good and Turing's estimate). Words
+    with more edits must besides be toxic by the count of all of them, barred ones too. A
+    quoted hit has QUOTED of the weight, moved by the quoted hits of the sample.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("y"))
     total = known.count()
@@ -239,17 +275,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 4
     rows = cut(docs.select(key, F.col(text).alias("text")).join(F.broadcast(known), key).select("text", "y"))
     sizes = {r["y"] > 0: r["n"] for r in rows.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     n_t, n_c = sizes.get(True, 0), sizes.get(False, 0)
-    once = cut(rows.filter("y > 0").groupBy(_sketch("text").alias("sketch")).agg(F.min("text").alias("text")).select("text"))
-    n_o = once.count()
-    toxic = cut(_counts(once, None).filter(F.col("n") >= max(least, int(0.003 * n_o))))
-    # a small set of features is sent to where clean documents are counted; a large one meets all their features in a join
+    toxic = cut(_counts(rows.filter("y > 0"), None).filter(F.col("n") >= least))
+    # a small set of features is sent to where documents are counted; a large one meets all their features in a join
     wanted = frozenset(r["feature"] for r in toxic.select("feature").collect()) if few(toxic) else None
     both = toxic.withColumnRenamed("n", "a").join(_counts(rows.filter("y <= 0"), wanted).withColumnRenamed("n", "b"), "feature", "left").fillna(0, "b")
-    mean = (F.col("a") + F.col("b")) / max(1, n_o + n_c)
-    evidence = 2 * (F.col("a") * F.ln(F.col("a") / (mean * n_o)) + F.when(F.col("b") > 0, F.col("b") * F.ln(F.col("b") / (mean * n_c))).otherwise(0.0))
-    often = ((F.col("a") + 0.5) / (n_o + 1)) / ((F.col("b") + 0.5) / (n_c + 1)) >= 10
-    best = both.withColumn("g", evidence).filter(often & (F.col("g") >= 22)).orderBy(F.desc("g"), "feature").limit(TERMS)
-    t = {r["feature"]: r["a"] for r in best.collect()}
+    mean = (F.col("a") + F.col("b")) / max(1, n_t + n_c)
+    evidence = 2 * (F.col("a") * F.ln(F.col("a") / (mean * n_t)) + F.when(F.col("b") > 0, F.col("b") * F.ln(F.col("b") / (mean * n_c))).otherwise(0.0))
+    often = ((F.col("a") + 0.5) / (n_t + 1)) / ((F.col("b") + 0.5) / (n_c + 1)) >= 10
+    best = cut(both.filter(often & (evidence >= 22)).select("feature", "a"))
+    wanted = frozenset(r["feature"] for r in best.select("feature").collect()) if few(best) else None
+    spread = _originals(rows.filter("y > 0"), wanted).filter(F.col("originals") >= least)
+    t = {r["feature"]: r["a"] for r in best.join(spread, "feature").select("feature", "a").limit(TERMS + 1).collect()}
+    if len(t) > TERMS:
+        raise ValueError(f"more than {TERMS} terms: no model to broadcast")
     stems = {f[:-1] for f in t if f.endswith("*")}
     stems = {s for s in stems if not any(s[:n] in stems for n in range(STEM_LENGTHS.start, len(s)))}
     words = {f for f in t if not f.endswith("*")}
@@ -260,27 +298,37 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 4
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [probe.hits(x) for x in b["text"]]
-            yield pd.DataFrame({"y": b["y"], "term": [[h[0] for h in f] for f in found], "edits": [[h[1] for h in f] for f in found], "quoted": [[h[2] for h in f] for f in found]})
-
-    seen = rows.select("text", F.col("y").cast("int").alias("y")).mapInPandas(find, "y int, term array<string>, edits array<int>, quoted array<boolean>").collect()
-    free(rows, once, toxic)
-    of = {True: Counter(), False: Counter()}
-    for r in seen:
-        of[r["y"] > 0].update(set(zip(r["term"], r["edits"], strict=True)))
+            found = [probe.found(x) for x in b["text"]]
+            yield pd.DataFrame({"y": b["y"]} | {name: [[h[i] for h in f] for f in found] for i, name in enumerate(("term", "edits", "quoted", "form"))})
+
+    hit = rows.select("text", F.col("y").cast("int").alias("y")).mapInPandas(find, "y int, term array<string>, edits array<int>, quoted array<boolean>, form array<string>").collect()
+    free(rows, toxic, best)
+    seen = [(r["y"] > 0, list(zip(r["term"], r["edits"], r["quoted"], r["form"], strict=True))) for r in hit]
+    forms = {True: Counter(), False: Counter()}
+    for y, hits in seen:
+        forms[y].update({(term, k, form) for term, k, _, form in hits if k})
+    barred = {key for key, b in forms[False].items() if _strength(forms[True][key], n_t, b, n_c) <= LEAST}
+    once = {y: Counter(key[:2] for key, n in forms[y].items() if n == 1 and not forms[not y][key]) for y in forms}
+    every, of = ({True: Counter(), False: Counter()} for _ in range(2))
+    for y, hits in seen:
+        every[y].update({h[:2] for h in hits})
+    seen = [(y, [h[:3] for h in hits if (h[0], h[1], h[3]) not in barred]) for y, hits in seen]
+    for y, hits in seen:
+        of[y].update({h[:2] for h in hits})
     weights = {}
     for term in {*words, *(s + "*" for s in stems)}:
         exact = _strength(of[True][(term, 0)], n_t, of[False][(term, 0)], n_c)
         for k in range(lexicon.terms.get(term, 0) + 1):
-            a, b = of[True][(term, k)], of[False][(term, k)]
-            s = exact * EDIT**k
-            if k and a + b:
-                s = min(s, _strength(a, n_t, b, n_c))
-            if s > math.log(5):
+            s = exact
+            if k:
+                s = min(exact * EDIT**k, _strength(max(once[True][(term, k)], MISSPELLED * of[True][(term, 0)]), n_t, once[False][(term, k)], n_c))
+            if k > 1 and (b := every[False][(term, k)]):
+                s = min(s, _strength(every[True][(term, k)], n_t, b, n_c))
+            if s > LEAST:
                 weights[(term, k)] = s
-    model = Model(lexicon, weights)
-    x = np.array([model.inputs(list(zip(r["term"], r["edits"], r["quoted"], strict=True))) for r in seen]).reshape(-1, 2)
-    y = np.array([float(r["y"] > 0) for r in seen])
+    model = Model(lexicon, weights, frozenset(form for _, _, form in barred))
+    x = np.array([model.inputs(hits) for _, hits in seen]).reshape(-1, 2)
+    y = np.array([float(y) for y, _ in seen])
     if 0 < y.sum() < len(y):
         # the second coefficient says how far quoted hits depart from their share; without any it is 0
         b = _logistic(np.column_stack([x[:, 0] + QUOTED * x[:, 1], x[:, 1]]), y)

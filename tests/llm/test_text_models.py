@@ -163,18 +163,43 @@ def test_toxicity(spark):
     assert toxicity.score(odd, none).filter("predicted = 1").count() == 0 and toxicity.score(odd.limit(0), model).count() == 0
 
 
-def test_toxicity_misspelled_and_quoted(spark):
-    """Every term of the lexicon learned at sf0.01, with one letter doubled, scores above clean text; quoted, between plain and none."""
-    sf = SF.replace("0.001", "0.01")
-    model = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_toxicity_misspelled_and_quoted(spark, sf):
+    """Every term learned, with one letter doubled, left out or replaced, scores above clean text unless clean texts use that word; quoted, between plain and none."""
+    at = SF.replace("0.001", sf)
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    held = fold(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs.filter(~held), labels.filter(~held))
     clean = model.score("a fine day")
     assert len(model.lexicon.terms) >= 5
+    tried = barred = 0
     for term, k in model.lexicon.terms.items():
-        if k and (term, 0) in model.weights and (term, 1) in model.weights:
-            assert clean < model.score(f"you {term[:2]}{term[1:]}") <= model.score(f"you {term}")
-        if (term, 0) in model.weights:
-            assert clean < model.score(f'once he said "{term}" aloud') < model.score(f"once you {term} aloud")
-    assert sum((term, 1) in model.weights for term, k in model.lexicon.terms.items() if k) >= 3
+        assert clean < model.score(f"you {term}")
+        if k:
+            for word in {w for i in range(len(term)) for w in (term[:i] + term[i] + term[i:], term[:i] + term[i + 1 :], term[:i] + "w" + term[i + 1 :])} - {term}:
+                tried, barred = tried + 1, barred + (word in model.barred)
+                assert word in model.barred or clean < model.score(f"you {word}"), word
+        assert clean < model.score(f'once he said "{term}" aloud') < model.score(f"once you {term} aloud")
+    assert tried >= 50 and barred < tried / 10
+    got = toxicity.score(docs.join(labels, "doc_id").filter(held), model).groupBy("toxic", "predicted").count().collect()
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in got}
+    assert n.get((0, 1), 0) <= 0.005 * n[0, 0] and n[1, 1] >= {"0.01": 4, "0.1": 91}[sf]
+
+
+def test_toxicity_terms_of_copies(spark):
+    """A word of one text that was copied forty times, now and then with a change, is no term; one of texts of their own is."""
+    rng = random.Random(5)
+
+    def prose(n):
+        return [rng.choice("bcdfgklmnprst") + rng.choice("aeiou") + rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(n)]
+
+    base = [*prose(30), "zugleich", *prose(30)]
+    copies = [" ".join(w if w == "zugleich" or rng.random() > 0.02 else "xx" for w in base) for _ in range(40)]
+    own = [" ".join([*prose(20), "moron", *prose(20)]) for _ in range(20)]
+    texts = [(t, 1) for t in copies + own] + [(" ".join(prose(40)), 0) for _ in range(300)] + [(None, 0), ("", 1)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int"))
+    assert "moron" in model.lexicon.terms and "zugleich" not in model.lexicon.terms
 
 
 def test_toxicity_score_by_hand(spark):
@@ -191,9 +216,11 @@ def test_toxicity_score_by_hand(spark):
         return row[-1]
 
     def nearest(word):
+        if word in model.barred:
+            return None
         found = [(0, word)] if word in model.lexicon.terms else []
-        found = found or [(0, s + "*") for s in sorted(model.lexicon.stems, key=len) if word.startswith(s)][:1]
         found = found or sorted((d, t) for t, k in model.lexicon.terms.items() if word and k and abs(len(t) - len(word)) <= k and (d := distance(word, t)) <= k)[:1]
+        found = found or [(0, s + "*") for s in sorted(model.lexicon.stems, key=len) if word.startswith(s)][:1]
         return found[0] if found else None
 
     cache, got = {}, {r["doc_id"]: r["score"] for r in q.op1_toxicity(spark, SF).collect()}
