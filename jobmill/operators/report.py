@@ -1,5 +1,7 @@
 """Counts, roll-ups and lists for reports."""
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,18 +111,37 @@ def already_skipped(df: DataFrame, skipped: DataFrame, vacancy: str, resume: str
     return whole.unionByName(df.join(every, vacancy, "left_anti").join(pair, [vacancy, resume], "left_semi"))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df computed once and cut from its lineage, below ``spark.checkpoint.dir``; where that is unset, one process alone may use a folder of its own."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if root is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def area_tree(areas: DataFrame, area: str, parent: str, name: str) -> DataFrame:
-    """Areas depth first: path (names from the root), depth, and the name indented by two spaces a level.
+    """Areas below the roots: path (names from the root), depth, and the name indented by two spaces a level.
 
-    One round of joins a level of the tree.
+    Identifiers are distinct; a null parent makes a root. Areas whose parent is
+    missing, and those on or below a cycle, are left out with all below them.
+    Each round doubles the stretch that a path covers, so a tree of depth d
+    takes about log2(d) joins, each stored before the next one.
     """
-    level = areas.filter(F.col(parent).isNull()).select(F.col(area), F.col(name), F.lit(0).alias("depth"), F.array(F.col(name)).alias("path"))
-    out = level
-    while not level.isEmpty():
-        up = level.select(F.col(area).alias(parent), F.col("path").alias("_path"), F.col("depth").alias("_depth"))
-        level = areas.join(up, parent).select(area, name, (F.col("_depth") + 1).alias("depth"), F.concat("_path", F.array(name)).alias("path"))
-        out = out.unionByName(level)
-    return out.withColumn("label", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.col(name)))
+    rows = stored(areas.select(F.col(area), F.col(name), F.col(parent).alias("_above"), F.array(name).alias("path")))
+    open_ = F.col("_above").isNotNull()
+    left = rows.filter(open_).count()
+    while left:
+        up = rows.select(F.col(area).alias("_id"), F.col("_above").alias("_next"), F.col("path").alias("_path"))
+        moved = rows.filter(open_).join(up, F.col("_above") == F.col("_id"))
+        rows = stored(rows.filter(~open_).unionByName(moved.select(area, name, F.col("_next").alias("_above"), F.concat("_path", "path").alias("path"))))
+        before, left = left, rows.filter(open_).count()
+        if left == before:  # any line that ends would have lost an area to its root in this round
+            break
+    depth = F.size("path") - 1
+    return rows.filter(~open_).select(area, name, depth.alias("depth"), "path", F.concat(F.repeat(F.lit("  "), depth), F.col(name)).alias("label"))
 
 
 def traceback_lines(lines: DataFrame, log: list[str], pos: str, text: str, after: str, last: int = 1000, span: int = 1 << 16) -> DataFrame:

@@ -658,13 +658,14 @@ def posting_projection(t):
 
 
 @query("""
-with recursive a as (select 'r' || r_regionkey as id, null::varchar as parent, r_name as name from region union all select 'n' || n_nationkey, 'r' || n_regionkey, n_name from nation),
+with recursive a as (select 'r' || r_regionkey as id, null::varchar as parent, r_name as name from region union all select 'n' || n_nationkey, 'r' || n_regionkey, n_name from nation union all select 'c' || c_custkey, 'n' || c_nationkey, c_name from customer),
 w as (select id, name, 0 as depth, name as path from a where parent is null union all select a.id, a.name, depth + 1, path || '/' || a.name from a join w on a.parent = w.id)
 select id, depth::int as depth, path, repeat('  ', depth) || name as label from w""")
 def area_tree(t):
     r = t("region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name"))
     n = t("nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"), F.col("n_name").alias("name"))
-    return report.area_tree(r.unionByName(n), "id", "parent", "name").select("id", "depth", F.array_join("path", "/").alias("path"), "label")
+    c = t("customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("parent"), F.col("c_name").alias("name"))
+    return report.area_tree(r.unionByName(n).unionByName(c), "id", "parent", "name").select("id", "depth", F.array_join("path", "/").alias("path"), "label")
 
 
 @query(r"""

@@ -193,3 +193,26 @@ def test_latency_is_exact(spark):
     df = spark.createDataFrame([(g, d) for g, x in days.items() for d in x] + [("a", None)], "g string, d int").select("g", F.lit("2024-01-01").cast("date").alias("s"), F.expr("date_add(date'2024-01-01', d)").alias("e"))
     got = {x["g"]: (x["n"], x["p50"], x["p90"]) for x in report.latency(df, ["g"], "s", "e", [0.5, 0.9]).collect()}
     assert got == {g: (len(x), sorted(x)[-(-len(x) // 2) - 1], sorted(x)[-(-len(x) * 9 // 10) - 1]) for g, x in days.items()}
+
+
+def test_area_tree(spark):
+    """Random forests against parents followed one by one; a long chain, a missing parent, a cycle with areas below it, no areas."""
+    rng = random.Random(4)
+    parents = {i: rng.choice([None, *range(i)]) if i else None for i in range(300)} | {1000: None} | {i: i - 1 for i in range(1001, 1150)}
+    parents |= {2000: 1999, 2001: 2000, 3000: 3002, 3001: 3000, 3002: 3001, 3003: 3002}
+
+    def line(i):
+        out = []
+        while i is not None:
+            if i not in parents or i in out:
+                return None
+            out.append(i)
+            i = parents[i]
+        return out[::-1]
+
+    rows = spark.createDataFrame([(i, p, f"a{i}") for i, p in parents.items()], "id int, parent int, name string")
+    got = {r["id"]: r for r in report.area_tree(rows, "id", "parent", "name").collect()}
+    want = {i: w for i in parents if (w := line(i))}
+    assert {i: r["path"] for i, r in got.items()} == {i: [f"a{x}" for x in w] for i, w in want.items()}
+    assert all(r["depth"] == len(r["path"]) - 1 and r["label"] == "  " * r["depth"] + r["name"] for r in got.values()) and 2000 not in got and 3003 not in got
+    assert report.area_tree(rows.limit(0), "id", "parent", "name").count() == 0
