@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobmill.llm.common import cut, few, free
@@ -192,6 +192,14 @@ def _strength(t: float, n_t: int, c: int, n_c: int) -> float:
     return math.log(((t + 0.5) / (n_t + 1)) / ((c + 0.5) / (n_c + 1)))
 
 
+def _telling(n_t: int, n_c: int) -> Column:
+    """Whether a feature of ``a`` toxic and ``b`` clean documents is toxic: ten times as often, and by a likelihood ratio beyond chance."""
+    a, b = F.col("a"), F.col("b")
+    mean = (a + b) / max(1, n_t + n_c)
+    evidence = 2 * (a * F.ln(a / (mean * n_t)) + F.when(b > 0, b * F.ln(b / (mean * n_c))).otherwise(0.0))
+    return (((a + 0.5) / (n_t + 1)) / ((b + 0.5) / (n_c + 1)) >= 10) & (evidence >= 22)
+
+
 def _counts(rows: DataFrame, wanted: frozenset | None) -> DataFrame:
     """Number of documents with each feature; of the wanted ones only, if given."""
 
@@ -256,8 +264,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 4
     At most about ``sample`` labelled rows are used, whole texts, chosen by a
     hash of the key; a key that repeats in docs stands for all its rows. A term
     must occur in ``least`` toxic documents, ten times as often as in clean
-    ones and beyond chance, and in ``least`` toxic documents that share no
-    surroundings of it, or the words of a copied text would be terms.
+    ones and beyond chance. All of this must hold again when toxic documents
+    that share surroundings of it count once, and clean ones each, or the words
+    of a copied text would be terms.
     Features are counted and tested by Spark, the driver gets those that pass.
 
     A word with k edits has at most EDIT ** k of its term's weight, less where
@@ -279,13 +288,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 4
     # a small set of features is sent to where documents are counted; a large one meets all their features in a join
     wanted = frozenset(r["feature"] for r in toxic.select("feature").collect()) if few(toxic) else None
     both = toxic.withColumnRenamed("n", "a").join(_counts(rows.filter("y <= 0"), wanted).withColumnRenamed("n", "b"), "feature", "left").fillna(0, "b")
-    mean = (F.col("a") + F.col("b")) / max(1, n_t + n_c)
-    evidence = 2 * (F.col("a") * F.ln(F.col("a") / (mean * n_t)) + F.when(F.col("b") > 0, F.col("b") * F.ln(F.col("b") / (mean * n_c))).otherwise(0.0))
-    often = ((F.col("a") + 0.5) / (n_t + 1)) / ((F.col("b") + 0.5) / (n_c + 1)) >= 10
-    best = cut(both.filter(often & (evidence >= 22)).select("feature", "a"))
+    best = cut(both.filter(_telling(n_t, n_c)).select("feature", F.col("a").alias("n"), "b"))
     wanted = frozenset(r["feature"] for r in best.select("feature").collect()) if few(best) else None
-    spread = _originals(rows.filter("y > 0"), wanted).filter(F.col("originals") >= least)
-    t = {r["feature"]: r["a"] for r in best.join(spread, "feature").select("feature", "a").limit(TERMS + 1).collect()}
+    own = best.join(_originals(rows.filter("y > 0"), wanted).withColumnRenamed("originals", "a"), "feature").filter(F.col("a") >= least)
+    t = {r["feature"]: r["n"] for r in own.filter(_telling(n_t, n_c)).select("feature", "n").limit(TERMS + 1).collect()}
     if len(t) > TERMS:
         raise ValueError(f"more than {TERMS} terms: no model to broadcast")
     stems = {f[:-1] for f in t if f.endswith("*")}
