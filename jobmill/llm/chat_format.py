@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobmill.llm.common import cut, only, spread_rank, without
+from jobmill.llm.common import cut, free, only, spread_rank, without
 
 #: Calls up to which one task orders a conversation.
 LONG = 100_000
@@ -72,40 +72,42 @@ def check_schema(schema: dict, at: str = "") -> None:
         raise ValueError(f"additionalProperties at {at or '.'} must be true or false")
 
 
-def call_levels(waits: dict[str, list[str]]) -> dict[str, int]:
-    """Level of each call of one conversation: 0 for calls that wait for none, else one more than the highest they wait for.
+def call_levels(waits: dict, least: dict | None = None, held: frozenset = frozenset()) -> dict:
+    """Level of each call: 0, or its ``least``, for calls that wait for none, else one more than the highest they wait for, if that is more.
 
-    Calls on a cycle, or behind one, are absent; references to others are not waited for.
+    Calls on a cycle, held ones, and those behind them are absent; references
+    to others are not waited for.
     """
     open_, after = {}, {}
     for call, wait in waits.items():
         known = {w for w in wait if w in waits}
-        open_[call] = len(known)
+        open_[call] = len(known) + (call in held)
         for w in known:
             after.setdefault(w, []).append(call)
-    level = {call: 0 for call, n in open_.items() if n == 0}
-    queue = list(level)
+    level = {call: (least or {}).get(call, 0) for call in waits}
+    queue = [call for call, n in open_.items() if n == 0]
     for call in queue:  # grows while it is read
         for c in after.get(call, ()):
-            level[c] = max(level.get(c, 0), level[call] + 1)
+            level[c] = max(level[c], level[call] + 1)
             open_[c] -= 1
             if open_[c] == 0:
                 queue.append(c)
     return {c: level[c] for c in queue}
 
 
-def levels(calls: DataFrame, conv: str, call_id: str, after: str) -> DataFrame:
+def levels(calls: DataFrame, conv: str, call_id: str, after: str, order: str | None = None) -> DataFrame:
     """(conv, call_id, level) of distinct calls, see call_levels.
 
     A conversation of up to LONG calls is ordered in one task, one conversation
-    at a time; longer ones by rounds of joins, one a level.
+    at a time; longer ones in blocks of ``order`` (the identifier, if not
+    given), see level_blocks.
     """
     kind = calls.schema[conv].dataType.simpleString()
     sizes = calls.groupBy(conv).agg(F.count("*").alias("_n"))
     long_ = cut(sizes.filter(F.col("_n") > LONG).select(conv))
     short = without(calls.select(conv, call_id, after), long_, [conv])
 
-    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows arrive sorted by conversation."""
         now, waits = None, {}
 
@@ -129,33 +131,71 @@ def levels(calls: DataFrame, conv: str, call_id: str, after: str) -> DataFrame:
         if rows := placed():
             yield batch(rows)
 
-    done = short.repartition(conv).sortWithinPartitions(conv).mapInArrow(order, f"{conv} {kind}, {call_id} string, level int")
-    return done if long_.isEmpty() else done.unionByName(level_rounds(only(calls, long_, [conv]), conv, call_id, after))
+    done = short.repartition(conv).sortWithinPartitions(conv).mapInArrow(whole, f"{conv} {kind}, {call_id} string, level int")
+    return done if long_.isEmpty() else done.unionByName(level_blocks(only(calls, long_, [conv]), conv, call_id, after, order or call_id))
 
 
-def level_rounds(calls: DataFrame, conv: str, call_id: str, after: str) -> DataFrame:
-    """The same by rounds of joins, one a level."""
-    ids = cut(calls.select(conv, call_id).distinct())
-    edges = calls.select(conv, call_id, F.explode(after).alias("_p")).distinct()
-    there = ids.select(F.col(conv).alias("_c"), F.col(call_id).alias("_q"))
-    edges = cut(edges.join(there, edges[conv].eqNullSafe(there["_c"]) & (edges["_p"] == there["_q"]), "left_semi"))
-    waiting, placed, n = edges, [], 0
-    left = ids
+def level_blocks(calls: DataFrame, conv: str, call_id: str, after: str, order: str) -> DataFrame:
+    """The same in ranges of about LONG calls by conversation and ``order``.
+
+    In a round each range places all calls that wait, directly or through calls
+    of the same range, only for calls placed so far. So a chain takes as many
+    rounds as it changes from one range to another, and one: few where calls
+    wait for earlier ones. Calls on cycles stay when a round places none.
+    """
+    kind = calls.schema[conv].dataType.simpleString()
+    rows = calls.select(conv, call_id, after, F.col(order).alias("_order"))
+    n = -(-rows.count() // max(1, LONG))
+    rows = cut(rows.repartitionByRange(max(1, n), conv, "_order", call_id).withColumn("_block", F.spark_partition_id()).drop("_order"))
+    there = rows.select(F.col(conv).alias("_c"), F.col(call_id).alias("_q"), F.col("_block").alias("_from"))
+    edges = rows.select(conv, call_id, "_block", F.explode(after).alias("_p")).distinct()
+    edges = cut(edges.join(there, edges[conv].eqNullSafe(there["_c"]) & (edges["_p"] == there["_q"])).drop("_c", "_q"))
+    left = rows.select(conv, call_id, "_block", F.lit(0).alias("_least"))
+    placed = []
     while True:
-        blocked = waiting.select(F.col(conv).alias("_c"), F.col(call_id).alias("_q")).distinct()
-        on = left[conv].eqNullSafe(blocked["_c"]) & (left[call_id] == blocked["_q"])
-        now = cut(left.join(blocked, on, "left_anti"))
+        inside = F.col("_from") == F.col("_block")
+        wait = edges.groupBy(F.col(conv).alias("_c"), F.col(call_id).alias("_q")).agg(F.collect_list(F.when(inside, F.col("_p"))).alias("_waits"), F.bool_or(~inside).alias("_held"))
+        work = left.join(wait, left[conv].eqNullSafe(wait["_c"]) & (left[call_id] == wait["_q"]), "left")
+        work = work.select(conv, call_id, "_block", "_least", F.coalesce("_waits", F.array().cast("array<string>")).alias("_waits"), F.coalesce("_held", F.lit(False)).alias("_held"))
+        now = cut(work.repartition("_block").sortWithinPartitions("_block").mapInArrow(_place, f"{conv} {kind}, {call_id} string, level int"))
         if now.isEmpty():
+            free(now, rows, edges, left)
             break
-        placed.append(now.withColumn("level", F.lit(n)))
-        n += 1
-        left = cut(left.join(blocked, on, "left_semi"))
-        done = now.select(F.col(conv).alias("_c"), F.col(call_id).alias("_q"))
-        waiting = cut(waiting.join(done, waiting[conv].eqNullSafe(done["_c"]) & (waiting["_p"] == done["_q"]), "left_anti"))
-    empty = ids.limit(0).withColumn("level", F.lit(0))
+        placed.append(now)
+        known = now.select(F.col(conv).alias("_c"), F.col(call_id).alias("_q"), "level")
+        met = edges.join(known, edges[conv].eqNullSafe(known["_c"]) & (edges["_p"] == known["_q"]))
+        least = met.groupBy(edges[conv].alias("_lc"), edges[call_id].alias("_lq")).agg((F.max("level") + 1).alias("_new"))
+        old = (left, edges)
+        left = left.join(known, left[conv].eqNullSafe(known["_c"]) & (left[call_id] == known["_q"]), "left_anti")
+        left = left.join(least, left[conv].eqNullSafe(least["_lc"]) & (left[call_id] == least["_lq"]), "left")
+        left = cut(left.select(conv, call_id, "_block", F.greatest("_least", "_new").alias("_least")))
+        edges = cut(edges.join(known, edges[conv].eqNullSafe(known["_c"]) & (edges["_p"] == known["_q"]), "left_anti"))
+        free(*old)
+    empty = calls.select(conv, call_id, F.lit(0).alias("level")).limit(0)
     return reduce(DataFrame.unionByName, placed, empty)
 
 
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(conv, call_id, block, least, waits, held), sorted by block, to the calls that can be placed, with their levels."""
+    now, waits, least, held, names = None, {}, {}, set(), None
+
+    def placed() -> Iterator[pa.RecordBatch]:
+        if found := call_levels(waits, least, frozenset(held)):
+            c, i = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, names.field(0).type), pa.array(i, pa.string()), pa.array(list(found.values()), pa.int32())], names=[names.field(0).name, names.field(1).name, "level"])
+
+    for b in batches:
+        names = b.schema
+        for c, i, block, n, w, h in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            if block != now:
+                yield from placed()
+                now, waits, least, held = block, {}, {}, set()
+            waits[(c, i)], least[(c, i)] = [(c, p) for p in w], n
+            if h:
+                held.add((c, i))
+    yield from placed()
+
+
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], conv: str = "conv_id") -> DataFrame:
     """One row per distinct (conversation, call_id), and one for each orphan identifier among the results.
 
@@ -181,7 +221,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     both = c.join(r, c[conv].eqNullSafe(r["_c"]) & (c["call_id"] == r["_i"]), "full")
     is_call = F.col("n_calls").isNotNull()
     both = both.select(F.when(is_call, F.col(conv)).otherwise(F.col("_c")).alias(conv), F.coalesce("call_id", "_i").alias("call_id"), "turn", "name", "arguments", "after", "content", "n_calls", "n_results")
-    lv = levels(c, conv, "call_id", "after").select(F.col(conv).alias("_c"), F.col("call_id").alias("_i"), "level")
+    lv = levels(c, conv, "call_id", "after", "turn").select(F.col(conv).alias("_c"), F.col("call_id").alias("_i"), "level")
     both = both.join(lv, both[conv].eqNullSafe(lv["_c"]) & (both["call_id"] == lv["_i"]), "left").drop("_c", "_i")
 
     known = dict(schemas)

@@ -240,6 +240,21 @@ def test_toxicity_score_by_hand(spark):
 CALLS = "conv_id long, turn int, call_id string, name string, arguments string, after array<string>"
 
 
+def test_long_conversations(spark, monkeypatch):
+    """Chains through many blocks, forwards and against the turns, random waits, a cycle across blocks: as one task orders them."""
+    rng = random.Random(3)
+    waits = {(1, f"a{i}"): [f"a{i - 1}", f"a{i - 2}"] for i in range(3000)} | {(2, f"a{i}"): [f"a{i + 1}"] for i in range(1200)}
+    waits |= {(None, f"a{i}"): [f"a{rng.randrange(i + 1)}" for _ in range(3) if i > 5] for i in range(1500)}
+    waits = {k: [w for w in ws if w != k[1]] for k, ws in waits.items()}
+    waits |= {(3, f"a{i}"): [f"a{(i + 1) % 900}"] for i in range(900)} | {(3, "b"): ["a5"], (3, "c"): ["gone"], (4, "a0"): []}
+    turns = [(c, int(i[1:] or 0), i, ws) for (c, i), ws in waits.items()]
+    calls = spark.createDataFrame(turns, "conv_id long, turn int, call_id string, after array<string>").repartition(5)
+    monkeypatch.setattr(chat_format, "LONG", 500)
+    got = {(r["conv_id"], r["call_id"]): r["level"] for r in chat_format.levels(calls, "conv_id", "call_id", "after", "turn").collect()}
+    want = chat_format.call_levels({k: [(k[0], w) for w in ws] for k, ws in waits.items()})
+    assert got == want and got[1, "a2999"] == 2999 and got[2, "a0"] == 1199 and (3, "b") not in got and got[3, "c"] == 0
+
+
 @pytest.mark.parametrize("long_", [100_000, 0])
 def test_tool_calls(spark, monkeypatch, long_):
     monkeypatch.setattr(chat_format, "LONG", long_)  # conversations of any length must come out the same
