@@ -17,11 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobmill.llm.bytes64 import GramRanges, groups, utf8
-from jobmill.llm.common import cut, only
-from jobmill.llm.passages import shared_passages
+from jobmill.llm.common import cut, free, only
 
-#: Words that a passage must exceed to be reported, whatever its bytes.
-PASSAGE = 50
 #: Bytes whose hash chooses anchors.
 GRAM = 16
 #: Bytes of suffixes sorted together, bytes of one anchor's stretches beyond which it is divided first.
@@ -167,27 +164,28 @@ def anchors(docs: DataFrame, length: int, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(find, f"doc {kind}, h long, key long, span long, lo int, hi int, anchor int")
 
 
-def settle(runs: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame]:
-    """runs(doc, h, key, span, lo, hi, n, ...) to (repeated runs, runs left in doubt).
+def settle(runs: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """runs(doc, h, key, span, lo, hi, n, ...) to (repeated runs, runs left in doubt, the written table that both read).
 
     Runs of equal (key, span) hold the same bytes: with two or more of them
     (n counts) all windows are repeated. A key with one run in all holds no
     repeated window. Keys with several spans stay in doubt.
     """
-    keys = runs.groupBy("key").agg(F.sum("n").alias("_total")).filter("_total > 1").select("key")
     # written before the join, so that Spark can split what a frequent key brings
-    many = cut(runs.join(cut(keys), "key"))
+    keys = cut(runs.groupBy("key").agg(F.sum("n").alias("_total")).filter("_total > 1").select("key"))
+    many = cut(runs.join(keys, "key"))
     first = F.min(F.struct(*[F.struct(F.col(c).isNull(), F.col(c)).alias(c) for c in ("doc", "h", "lo")]))
     spans = many.groupBy("key", "span").agg(F.sum("n").alias("_n"), first.alias("_first"))
     per_key = spans.groupBy("key").agg(F.count("*").alias("_spans"))
     spans = cut(spans.join(per_key, "key").filter("_n > 1 or _spans > 1"))
     joined = cut(many.join(spans, ["key", "span"]).withColumn(
         "_is_first", F.struct(*[F.struct(F.col(c).isNull(), F.col(c)).alias(c) for c in ("doc", "h", "lo")]) == F.col("_first")))
+    free(keys, many, spans)
     repeated = joined.filter("_n > 1")
     if keep_first:
         repeated = repeated.filter("not _is_first")
     doubt = joined.filter("_spans > 1 and _is_first")
-    return repeated.select("doc", "h", "lo", "hi"), doubt.withColumn("n", F.col("_n")).drop("_n", "_first", "_spans", "_is_first")
+    return repeated.select("doc", "h", "lo", "hi"), doubt.withColumn("n", F.col("_n")).drop("_n", "_first", "_spans", "_is_first"), joined
 
 
 def repeated_ranges(docs: DataFrame, length: int = 400, keep_first: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -198,9 +196,19 @@ def repeated_ranges(docs: DataFrame, length: int = 400, keep_first: bool = False
     ``keep_first``, when an equal one starts earlier, by key, text hash and
     position.
     """
+    found, used = _ranges(docs, length, keep_first, key, text)
+    out = cut(found)
+    free(*used)
+    return out
+
+
+def _ranges(docs: DataFrame, length: int, keep_first: bool, key: str, text: str) -> tuple[DataFrame, list[DataFrame]]:
+    """The plan of repeated_ranges, and the written tables that it reads."""
     kind = docs.schema[key].dataType.simpleString()
-    runs = cut(anchors(docs, length, key, text)).withColumn("n", F.lit(1).cast("long"))
-    repeated, doubt = settle(runs, keep_first)
+    runs = cut(anchors(docs, length, key, text).withColumn("n", F.lit(1).cast("long")))
+    repeated, doubt, table = settle(runs, keep_first)
+    free(runs)
+    used = [table]
 
     wanted = doubt.groupBy("doc", "h").agg(F.collect_list(F.struct("key", "lo", "hi", "anchor", "n")).alias("runs"))
     wanted = cut(wanted)
@@ -223,6 +231,8 @@ def repeated_ranges(docs: DataFrame, length: int = 400, keep_first: bool = False
     shape = f"doc {kind}, h long, key long, lo int, hi int, anchor int, n long, bytes binary"
     left = wanted.join(texts.select(F.col("doc").alias("_d"), F.col("h").alias("_h"), "t"), wanted["doc"].eqNullSafe(F.col("_d")) & (wanted["h"] == F.col("_h")))
     stretch = cut(left.select("doc", "h", "t", "runs").mapInPandas(slice_out, shape))
+    free(wanted)
+    used.append(stretch)
     found = [repeated]
 
     # an anchor with very many different stretches: windows part by where they start relative to it, on a finer grid each round
@@ -236,9 +246,11 @@ def repeated_ranges(docs: DataFrame, length: int = 400, keep_first: bool = False
         ready.append(stretch.join(large, "key", "left_anti"))
         width //= 2
         cells = cut(stretch.join(large, "key").mapInPandas(divide(length, width), shape + ", span long"))
-        more, doubt = settle(cells, keep_first)
+        more, doubt, table = settle(cells, keep_first)
         found.append(more)
         stretch = cut(doubt.select(*stretch.columns))
+        free(cells)
+        used += [large, table, stretch]
     stretch = ready[0]
     for r in ready[1:]:
         stretch = stretch.unionByName(r)
@@ -301,7 +313,7 @@ def repeated_ranges(docs: DataFrame, length: int = 400, keep_first: bool = False
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out.select("doc", "h", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
+    return out.select("doc", "h", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop")), used
 
 
 def divide(length: int, width: int):
@@ -346,17 +358,17 @@ def cut_out(raw: bytes, ranges: list) -> tuple[bytes, int, int]:
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: key, n_bytes, n_removed, n_spans, kept_sha256, shares_passage.
+    """One row per row of docs: key, n_bytes, n_removed, n_spans, kept_sha256.
 
     Each byte that a repeated window of ``length`` bytes covers is removed (see
     repeated_ranges). Null texts count as empty; texts shorter than the window
     lose nothing; repeated rows repeat each other. Texts without a repeat are
-    not moved at all. shares_passage: 1 if a passage of over PASSAGE words
-    stands in another text too, however few bytes it has, else 0 (see passages).
+    not moved at all.
     """
     kind = docs.schema[key].dataType.simpleString()
-    ranges = repeated_ranges(docs, length, keep_first, key, text)
+    ranges, used = _ranges(docs, length, keep_first, key, text)
     listed = cut(ranges.groupBy("doc", "h").agg(F.collect_set(F.struct("start", "stop")).alias("ranges")))
+    free(*used)
     texts = docs.select(F.col(key).alias("_d"), F.xxhash64(text).alias("_h"), F.col(text).alias("t"))
     texts = only(texts.select(F.col("_d").alias("doc"), F.col("_h").alias("h"), "t"), listed, ["doc", "h"]).dropDuplicates(["doc", "h"])
     texts = texts.select(F.col("doc").alias("_d"), F.col("h").alias("_h"), "t")
@@ -370,8 +382,6 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = False,
     done = joined.mapInPandas(rewrite, f"doc {kind}, h long, n_removed long, n_spans long, kept string")
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key), F.xxhash64(text).alias("_h"), F.octet_length(whole).cast("long").alias("n_bytes"), F.sha2(whole.cast("binary"), 256).alias("_sha"))
-    shares = shared_passages(docs, PASSAGE + 1, key, text).select(F.col("doc").alias("_pd"), F.col("h").alias("_ph"), F.lit(1).alias("_shares"))
-    rows = rows.join(shares, rows[key].eqNullSafe(shares["_pd"]) & (rows["_h"] == shares["_ph"]), "left").drop("_pd", "_ph")
     out = rows.join(done, rows[key].eqNullSafe(done["doc"]) & (rows["_h"] == done["h"]), "left")
     zero = F.lit(0).cast("long")
-    return out.select(key, "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "_sha").alias("kept_sha256"), F.coalesce("_shares", F.lit(0)).alias("shares_passage"))
+    return out.select(key, "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "_sha").alias("kept_sha256"))
