@@ -571,11 +571,12 @@ def catalogue_signature(t):
     return quality.catalogue_signature(li, "pos", "k", ["l_orderkey"])
 
 
+# a digest tree as the operator builds it: levels by the number of rows, whatever that is, then one range after another from the rows up
 _FP = """
 select '{0}' as name, (select count(*) from {0}) as n, (
-  with d as (select sha256({1}) as d from {0}), levels as (select case when count(*) > 4096 * 256 then null else count(*) > 4096 end as two from d),
-  parts as (select substr(d, 1, 2) as part, sha256(string_agg(d, '' order by d)) as d from d group by 1)
-  select case when two then (select sha256(string_agg(d, '' order by part)) from parts) else (select sha256(coalesce(string_agg(d, '' order by d), '')) from d) end from levels) as fingerprint"""
+  with recursive d as (select sha256({1}) as d from {0}), levels as (select count(*) as level from (select count(*) as n from d), range(0, 7) r(k) where n // (256 ** k)::bigint > 4096),
+  nodes as (select level, d as head, d from d, levels union all select level - 1, substr(head, 1, 2 * level), sha256(string_agg(d, '' order by head, d)) from nodes where level > 0 group by level, substr(head, 1, 2 * level))
+  select sha256(coalesce(string_agg(d, '' order by head, d), '')) from nodes where level = 0) as fingerprint"""
 
 
 def _as_json(*columns: str) -> str:
