@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from jobmill.functions import lexicons as L
 from jobmill.functions import text as T
 from jobmill.operators import merge, quality, reconcile, report, routing, rules, state
+from jobmill.operators.spread import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -174,7 +175,8 @@ select l_orderkey, count(distinct l_linenumber) as seen, max(l_linenumber) - 1 a
   count(distinct l_linenumber) >= max(l_linenumber) as complete from lineitem group by 1""")
 def page_completeness(t):
     top = Window.partitionBy("l_orderkey")
-    p = t("lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("page"), F.max("l_linenumber").over(top).alias("pages"))
+    li = t("lineitem")
+    p = spread(li.select("l_orderkey", "l_linenumber"), ["l_orderkey"], li.count()).select("l_orderkey", (F.col("l_linenumber") - 1).alias("page"), F.max("l_linenumber").over(top).alias("pages"))
     return routing.page_completeness(p, ["l_orderkey"], "page", "pages")
 
 

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from jobmill.plans import more_queries, series_queries  # noqa: F401
 from jobmill.plans import queries as jobs
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +21,15 @@ def test_fingerprint_sql_of_two_levels(spark, tmp_path, n):
         con.sql(f"create view {t} as from '{tmp_path}/{t}.parquet/*.parquet'")
     got = {(r["name"], r["n"], r["fingerprint"]) for r in jobs.QUERIES["rowset_fingerprint"](spark, str(tmp_path)).collect()}
     assert got == set(con.sql(f"select name, n, fingerprint from ({jobs.ORACLES['rowset_fingerprint']})").fetchall())
+
+
+@pytest.mark.parametrize("name", ["page_completeness"])
+def test_partitions_follow_the_rows(spark, monkeypatch, name):
+    """Last steps run in partitions of so many rows, not in the set number of shuffle partitions; the result stays."""
+    from jobmill.operators import spread
+
+    want = sorted(map(tuple, jobs.QUERIES[name](spark, SF).collect()))
+    monkeypatch.setattr(spread, "ROWS", 500)
+    df = jobs.QUERIES[name](spark, SF)
+    assert df.rdd.getNumPartitions() >= spark.read.parquet(f"{SF}/lineitem.parquet").count() // 500 > 10
+    assert sorted(map(tuple, df.collect())) == want
