@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from jobmill.functions import text as T
 from jobmill.operators import accounts, mapping, merge, quality, reconcile, report, routing, rules, state
+from jobmill.operators.spread import spread
 from jobmill.plans.queries import DEMO, _TAGGED, _demo_decision, _titled, query
 from jobmill.sources import raw
 
@@ -314,6 +315,7 @@ kept as (select l_orderkey, l_linenumber, l_partkey, 'old' as v from lineitem wh
 select * from good union all select * from kept""")
 def replayed_runs(t):
     li = t("lineitem")
+    li = spread(li.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity"), ["l_orderkey"], li.count())
     loaded = merge.whole_runs(li.filter("l_returnflag = 'R'"), li.filter("l_quantity > 49"), ["l_orderkey"])
     mark = lambda df, v: df.select("l_orderkey", "l_linenumber", "l_partkey", F.lit(v).alias("v"))
     return merge.replace_runs(mark(li.filter("l_returnflag <> 'R'"), "old"), mark(loaded, "new"), ["l_orderkey"])
