@@ -1,6 +1,6 @@
 """Search pages and audits of the raw tree: from landed pages to candidates with their lineage, checked against what the run says of itself."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobmill.plans.backfill import typed
@@ -19,8 +19,8 @@ def page_rows(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
     body = F.col("body").cast("string")
     p = objects.filter("kind = 'page'").select("run_id", "key", F.regexp_extract("key", PAGE_KEY, 1).alias("query_key"), F.regexp_extract("key", PAGE_KEY, 2).cast("int").alias("page"), F.get_json_object(body, "$.items").alias("_items"), F.json_object_keys(body).isNull().alias("_broken"))
     p = p.withColumn("_bad", F.col("_broken") | F.coalesce(~F.col("_items").startswith("["), F.lit(False)))
-    first = p.filter("_bad").groupBy("run_id", "query_key").agg(F.min("page").alias("_first_bad"))
-    p = p.join(first, ["run_id", "query_key"], "left")
+    # pages of one query of one run, which its page limit bounds
+    p = p.withColumn("_first_bad", F.min(F.when(F.col("_bad"), F.col("page"))).over(Window.partitionBy("run_id", "query_key")))
     error = F.when(F.col("_bad") & (F.col("page") == F.col("_first_bad")), "invalid_search_payload").when(F.col("page") >= F.col("_first_bad"), "after_invalid")
     p = p.withColumn("error", error)
     items = p.filter("error is null").select("run_id", "key", "query_key", "page", F.posexplode(F.from_json("_items", "array<string>")).alias("place", "item"))
@@ -33,7 +33,9 @@ def candidates(items: DataFrame, queries: DataFrame) -> DataFrame:
 
     queries(run_id, query_key, query_set, query_pos): the run's queries in the order in which they ran. Pages of other queries don't count.
     """
-    seen = items.join(queries, ["run_id", "query_key"]).withColumn("pos", F.struct("query_pos", "page", "place"))
+    # by run alone, so that all steps keep to one shuffle
+    ran = queries.groupBy("run_id").agg(F.collect_list(F.struct(F.col("query_key").alias("_key"), "query_set", "query_pos")).alias("_ran"))
+    seen = items.join(ran, "run_id").withColumn("_q", F.explode(F.filter("_ran", lambda q: q["_key"] == F.col("query_key")))).select(*items.columns, "_q.query_set", "_q.query_pos").withColumn("pos", F.struct("query_pos", "page", "place"))
     by_page = seen.groupBy("run_id", "vacancy_id", "query_key", "query_set", "key").agg(F.min("pos").alias("pos"), F.min_by("item", "pos").alias("item"), F.count("*").alias("n"))
     # a run's pages bound the list
     sights = F.array_sort(F.collect_list(F.struct("pos", "query_key", "query_set", "key")))

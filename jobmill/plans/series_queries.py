@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from jobmill.functions import text as T
 from jobmill.operators import mapping, merge, reconcile, report, state
+from jobmill.operators.spread import spread
 from jobmill.plans import discovery
 from jobmill.plans.queries import query
 from jobmill.sources import raw
@@ -70,16 +71,17 @@ select 'run' || run as run_id, l_partkey::varchar as vacancy_id, string_agg(q, '
   (select string_agg(q || page, ',' order by first) from g where g.run = k.run and g.l_partkey = k.l_partkey) as pages, (select count(*) from i where i.run = k.run and i.l_partkey = k.l_partkey) as observations from k group by run, l_partkey""")
 def page_lineage(t):
     """Pages as raw objects made of order lines; where a run divides 7, its pages of query A from 3 on begin with a broken one."""
-    j = t("lineitem").join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    li, n = t("lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_linenumber"), t("lineitem").count()
+    j = spread(li, ["l_orderkey"], n).join(spread(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), ["l_orderkey"], n), "l_orderkey")
+    j = spread(j.withColumn("run_id", F.concat(F.lit("run"), F.col("o_custkey").cast("string"))), ["run_id"], n)
     items = F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_partkey"))), lambda x: F.struct(x["l_partkey"].alias("id")))
-    p = j.groupBy("o_custkey", "l_returnflag", "l_linenumber").agg(items.alias("items"))
-    run = F.concat(F.lit("run"), F.col("o_custkey").cast("string"))
+    p = j.groupBy("run_id", "o_custkey", "l_returnflag", "l_linenumber").agg(items.alias("items"))
     broken = (F.col("o_custkey") % 7 == 0) & (F.col("l_returnflag") == "A") & (F.col("l_linenumber") >= 3)
-    key = F.concat(F.lit("batches/date=2024-01-01/run_id="), run, F.lit("/discovery/queries/query="), F.col("l_returnflag"), F.lit("/page="), F.lpad(F.col("l_linenumber").cast("string"), 3, "0"), F.lit(".json"))
-    objects = p.select(F.lit("page").alias("kind"), run.alias("run_id"), key.alias("key"), F.when(broken, F.lit('{"items": {"id": 1}}')).otherwise(F.to_json(F.struct("items"))).cast("binary").alias("body"))
+    key = F.concat(F.lit("batches/date=2024-01-01/run_id="), "run_id", F.lit("/discovery/queries/query="), F.col("l_returnflag"), F.lit("/page="), F.lpad(F.col("l_linenumber").cast("string"), 3, "0"), F.lit(".json"))
+    objects = p.select(F.lit("page").alias("kind"), "run_id", key.alias("key"), F.when(broken, F.lit('{"items": {"id": 1}}')).otherwise(F.to_json(F.struct("items"))).cast("binary").alias("body"))
     _, found = discovery.page_rows(objects)
     place = F.when(F.col("query_key") == "R", 0).when(F.col("query_key") == "A", 1).otherwise(2)
-    queries = p.select(run.alias("run_id"), F.col("l_returnflag").alias("query_key")).distinct().withColumns({"query_pos": place, "query_set": F.lit("set")})
+    queries = p.select("run_id", F.col("l_returnflag").alias("query_key")).distinct().withColumns({"query_pos": place, "query_set": F.lit("set")})
     c = discovery.candidates(found, queries)
     short = F.transform("page_keys", lambda k: F.concat(F.regexp_extract(k, "query=([^/]+)", 1), F.regexp_extract(k, r"page=0*(\d+)", 1)))
     return c.select("run_id", "vacancy_id", F.array_join("query_keys", ",").alias("query_keys"), F.array_join(short, ",").alias("pages"), "observations")

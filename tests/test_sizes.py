@@ -23,7 +23,7 @@ def test_fingerprint_sql_of_two_levels(spark, tmp_path, n):
     assert got == set(con.sql(f"select name, n, fingerprint from ({jobs.ORACLES['rowset_fingerprint']})").fetchall())
 
 
-@pytest.mark.parametrize("name", ["page_completeness", "replayed_runs"])
+@pytest.mark.parametrize("name", ["page_completeness", "replayed_runs", "page_lineage"])
 def test_partitions_follow_the_rows(spark, monkeypatch, name):
     """Last steps run in partitions of so many rows, not in the set number of shuffle partitions; the result stays."""
     from jobmill.operators import spread
