@@ -30,6 +30,8 @@ BUCKETS, PIECE = 1 << 20, 1 << 12
 BITS = 256, 1 << 16
 #: Open members up to which a region takes no further pivot; members up to which it is joined as it is; members of a tile beyond.
 SMALL, TINY, TILE = 256, 16, 512
+#: A distance beyond all.
+FAR = 1 << 62
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -264,12 +266,36 @@ def possible(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     return sized.filter(keep_udf("na", "nb", "pa", "pb")).select("a", "b")
 
 
-def tiled_pairs(rows: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+def between(star: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Rows of star(region, node, n, pivot, pivot_n, ...) from which a set near the pivot may be near: sets further off are near no such set.
+
+    A set near both is at most 100 / percent times the smaller one; by the
+    triangle inequality the distance to the pivot is at most the sum of the two
+    that nearness allows.
+    """
+
+    def keep(n: pd.Series, pivot_n: pd.Series, p: pd.Series, q: pd.Series) -> pd.Series:
+        if not len(n):
+            return pd.Series([], dtype=bool)
+        a, b = n.to_numpy(), pivot_n.to_numpy()
+        x = 100 * np.minimum(a, b) // percent
+        return pd.Series((100 + percent) * distances(p.to_numpy(object), q.to_numpy(object)) <= (100 - percent) * (a + b + 2 * x))
+
+    keep_udf = F.pandas_udf(keep, "boolean")
+    sized = star.filter(10_000 * F.least("n", "pivot_n") >= percent * percent * F.greatest("n", "pivot_n"))
+    a = info.select("node", F.col("profile").alias("pa"))
+    b = info.select(F.col("node").alias("pivot"), F.col("profile").alias("pb"))
+    return sized.join(a, "node").join(b, "pivot").filter(keep_udf("n", "pivot_n", "pa", "pb")).select(*star.columns)
+
+
+def tiled_pairs(rows: DataFrame, info: DataFrame, percent: int, crossing: bool = False, nearest: bool = False) -> DataFrame:
     """Pairs (a, b) of large regions that sizes and sketches allow, at least one of them open.
 
     rows(region, node, open, all). A region is cut into tiles of about TILE by
     TILE members; a task holds one tile at a time, whatever the region's size,
-    and gives only what passes.
+    and gives only what passes. ``crossing``: pairs of one open and one closed
+    member only. ``nearest``: of these, for each open member the one with the
+    nearest sketch in each tile, with region, open (the member) and apart.
     """
     parts = F.ceil(F.col("all") / TILE).cast("int")
     own = F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int")
@@ -290,9 +316,18 @@ def tiled_pairs(rows: DataFrame, info: DataFrame, percent: int) -> DataFrame:
                 for at in range(0, len(s), step):
                     rows = s[at : at + step]
                     apart = np.bitwise_count(u[at : at + step, None, :] ^ v[None, :, :]).sum(axis=-1, dtype=np.int64)
-                    ok = may_link(nx[rows, None] + ny[None, t], apart, percent) & (ox[rows, None] | oy[None, t])
+                    ok = may_link(nx[rows, None] + ny[None, t], apart, percent) & (ox[rows, None] ^ oy[None, t] if crossing or nearest else ox[rows, None] | oy[None, t])
                     ok &= 100 * np.minimum(nx[rows, None], ny[None, t]) >= percent * np.maximum(nx[rows, None], ny[None, t])
                     ok &= kx[rows, None] != ky[None, t] if i != j else rows[:, None] < t[None, :]
+                    if nearest:
+                        apart[~ok] = FAR
+                        for mine, away, far, own_, other in ((ox[rows], ~oy[t], apart, kx[rows], ky[t]), (oy[t], ~ox[rows], apart.T, ky[t], kx[rows])):
+                            if mine.any() and away.any():
+                                k = far[mine].argmin(axis=1)
+                                least = far[mine][np.arange(len(k)), k]
+                                hit = least < FAR
+                                yield pd.DataFrame({"a": own_[mine][hit], "b": other[k[hit]], "region": g["region"].iloc[0], "open": own_[mine][hit], "apart": least[hit]})
+                        continue
                     a, b = np.nonzero(ok)
                     if len(a):
                         yield pd.DataFrame({"a": kx[rows[a]], "b": ky[t[b]]})
@@ -308,8 +343,9 @@ def tiled_pairs(rows: DataFrame, info: DataFrame, percent: int) -> DataFrame:
         if rest is not None and len(rest):
             yield from of(rest)
 
-    found = r.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j").mapInPandas(tiles, "a binary, b binary")
-    return found.select(*ordered(F.col("a"), F.col("b")))
+    shape = "a binary, b binary" + (f", region {rows.schema['region'].dataType.simpleString()}, open binary, apart long" if nearest else "")
+    found = r.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j").mapInPandas(tiles, shape)
+    return found.select(*ordered(F.col("a"), F.col("b")), *found.columns[2:])
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -336,7 +372,9 @@ def near_links(docs: DataFrame, nodes: DataFrame, n: int, percent: int, key: str
     """Links (a, b) among nodes(node, n, doc, profile, window) that join all nodes within the similarity.
 
     Not every pair within it is listed: members that one pivot takes in are not
-    compared with each other, as they are connected by it.
+    compared with each other, as they are connected by it. Members that
+    different pivots take in are, as far as the triangle inequality allows them
+    to be near; there, one link joins a member with all that a pivot took in.
     """
     entries = nodes.select(F.explode("window").alias("region"), "node")
     crowd = entries.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1").select("region")
@@ -350,7 +388,7 @@ def near_links(docs: DataFrame, nodes: DataFrame, n: int, percent: int, key: str
     shared = members.groupBy("node").agg(F.count("*").alias("shared"))
     info = nodes.select("node", "n", "profile")
     first = members
-    members = start = cut(first.join(shared, "node").join(info.select("node", "n"), "node").withColumn("open", F.lit(True)))
+    members = start = cut(first.join(shared, "node").join(info.select("node", "n"), "node"))
     free(first)
 
     def alike(a: str, b: str) -> Column:
@@ -375,20 +413,39 @@ def near_links(docs: DataFrame, nodes: DataFrame, n: int, percent: int, key: str
 
     finish: list[DataFrame] = []
     while not members.isEmpty():
-        pivots = members.filter("open").groupBy("region").agg(F.max_by(F.struct("node", "n"), F.struct("shared", "node")).alias("p"))
+        pivots = members.groupBy("region").agg(F.max_by(F.struct("node", "n"), F.struct("shared", "node")).alias("p"))
         pivots = pivots.select("region", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
-        star = members.join(pivots, "region")
-        got = compare(possible(star.filter((F.col("node") != F.col("pivot")) & alike("n", "pivot_n")).select(*ordered(F.col("node"), F.col("pivot"))).distinct(), info, percent))
+        star = members.join(pivots, "region").filter("node <> pivot")
+        got = compare(possible(star.filter(alike("n", "pivot_n")).select(*ordered(F.col("node"), F.col("pivot"))).distinct(), info, percent))
         both = got.union(got.select("b", "a")).select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.lit(True).alias("taken"))
-        rest = star.filter("node <> pivot").join(both, ["node", "pivot"], "left")
-        rest = rest.select("region", "node", "n", "shared", (F.col("open") & F.col("taken").isNull()).alias("open"), (F.col("open") & F.col("taken").isNotNull()).alias("gone"))
-        sums = rest.groupBy("region").agg(F.count_if("open").alias("left"), F.count_if("gone").alias("went"), F.count("*").alias("all"))
+        rest = star.join(both, ["node", "pivot"], "left").withColumn("open", F.col("taken").isNull()).drop("taken")
+        sums = rest.groupBy("region").agg(F.count_if("open").alias("left"), F.count_if(~F.col("open")).alias("went"), F.count("*").alias("all"))
         # a pivot that took in little says that the region is loose: its members are near few others
         ready = (F.col("left") <= SMALL) | (8 * F.col("went") < F.col("left"))
         rest = cut(rest.join(sums.filter("left > 0 and all > 1").withColumn("ready", ready), "region"))
         free(start)
-        finish.append(rest.filter("ready"))
-        members = rest.filter("not ready").select("region", "node", "n", "shared", "open")
+        finish.append(rest.filter("ready").select("region", "node", "n", "open", "all"))
+        # what the pivot took in leaves the region, once it has met what stays
+        members = cut(rest.filter("open and not ready").select("region", "node", "n", "shared"))
+        if members.isEmpty():
+            break
+        closed = rest.filter("not open and not ready").select("region", "node", "open")
+        near = between(rest.filter("open and not ready").select("region", "node", "n", "pivot", "pivot_n", "open"), info, percent).select("region", "node", "open")
+        met = cut(closed.unionByName(near))
+
+        def sides(rows: DataFrame) -> DataFrame:
+            """rows of the regions that have an open one, with their number."""
+            return rows.join(rows.groupBy("region").agg(F.count("*").alias("all"), F.count_if("open").alias("_n")).filter("_n > 0").drop("_n"), "region")
+
+        # the nearest by sketch first: with a link to one member of what the pivot took in, the others add none
+        close = cut(tiled_pairs(sides(met), info, percent, nearest=True))
+        tried = compare(close.groupBy("region", "open").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b"))
+        joined = close.join(tried, ["a", "b"]).select("region", F.col("open").alias("node")).distinct()
+        asked = cut(close.select("region", F.col("open").alias("node")).distinct().join(joined, ["region", "node"], "left_anti"))
+        if not asked.isEmpty():
+            rest_met = met.filter("not open").unionByName(asked.withColumn("open", F.lit(True)))
+            compare(tiled_pairs(sides(rest_met), info, percent, crossing=True))
+        free(met, close, asked)
     if not finish:
         return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     last = finish[0]

@@ -86,6 +86,29 @@ def test_jaccard_join_one_word_longer(spark, n, percent, size):
     assert sorted(map(tuple, got)) == [(rows[i][0], len(sets[i]), rows[root[i]][0]) for i in range(len(rows))]
 
 
+@pytest.mark.parametrize("tile", [2, 512])
+def test_jaccard_join_between_pivots(spark, monkeypatch, tile):
+    """Chains of copies of copies in one region, where members that two pivots took in are near each other and nothing else joins them."""
+    for name, value in {"SMALL": 1, "TINY": 1, "TILE": tile}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(5)
+    rows = []
+    for g in range(150):
+        made = [[f"g{g}w{i}" for i in range(20)]]
+        for _ in range(rng.randrange(6, 16)):
+            w = list(rng.choice(made))
+            for _ in range(rng.randrange(1, 4)):
+                w[rng.randrange(20)] = f"g{g}v{rng.randrange(8)}"
+            made.append(w)
+        rows += [(100 * g + i, " ".join(w)) for i, w in enumerate(made)]
+    sets = [shingles(t, 1) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(max(0, i - 16), i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    root = union_find(range(len(rows)), links)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(df, 1, 80).collect()}
+    assert got == {d: rows[root[i]][0] for i, (d, _) in enumerate(rows)}
+
+
 @pytest.mark.parametrize("block, leaf", [(512, 128), (16, 4)])
 def test_vector_join(spark, monkeypatch, block, leaf):
     monkeypatch.setattr(vector_dedup, "BLOCK", block)
