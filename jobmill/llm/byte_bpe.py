@@ -18,6 +18,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobmill.llm.common import small_batches
+
 #: Pre-tokens with their ids that a task keeps: so many of late, and as many from before, of which those met again are kept on.
 KEPT = 120_000
 #: Characters of texts whose new pre-tokens are looked up together.
@@ -176,7 +178,8 @@ class Codec:
 
 
 def share(spark: SparkSession, path: str, pattern: str) -> Broadcast:
-    """Reads the ranks, builds the perfect hash once on the driver and broadcasts both: their size is the file's."""
+    """Reads the ranks, builds the perfect hash once on the driver and broadcasts both: their size is the file's. Texts then come in small batches."""
+    small_batches(spark)
     ranks = load_ranks(path)
     return spark.sparkContext.broadcast((ranks, pattern, PerfectHash(list(ranks), list(ranks.values()))))
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobmill.llm.bytes64 import BLOCK, Ranges, groups, mix, utf8
-from jobmill.llm.common import cut, drop_rows, free, only
+from jobmill.llm.common import cut, drop_rows, free, only, small_batches
 from jobmill.llm.components import components
 
 #: Buckets in which shingles are counted to tell rare from frequent, in pieces of so many.
@@ -482,6 +482,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "
 
     Shingles stand by 64-bit hashes and sets by 128 bits.
     """
+    small_batches(docs.sparkSession)
     rows = set_ids(docs, n, key, text)
     placed = placed_nodes(docs, n, percent, key, text)
     lows = cut(placed.groupBy("root").agg(F.min("doc").alias("component_id")))  # so that Spark can split a large component
@@ -497,6 +498,7 @@ def drop_near_copies(docs: DataFrame, n: int, percent: int, key: str = "doc_id",
     of its text, then the smallest other columns. Rows are told apart by key and
     text, so a key that repeats takes no other row with it.
     """
+    small_batches(docs.sparkSession)
     mark = F.unhex(F.md5(F.col(text).cast("binary"))).alias("mark")
     rows = set_ids(docs.select(F.struct(F.col(key).alias("k"), mark).alias("row"), text), n, "row", text)
     rows = cut(rows.filter("node is not null").select("doc.k", "doc.mark", "node"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobmill.llm.common import small_batches
+
 #: Buckets of hashed n-grams, lengths of n-grams.
 BUCKETS = 1 << 16
 LENGTHS = (1, 2, 3)
@@ -109,6 +111,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, smoothing: float = 0.1, key: str
     row per language and bucket at most. Without rows, a model without
     languages.
     """
+    small_batches(docs.sparkSession)
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     total = rows.select(key).count()
     part = min(1.0, sample / max(1, total))
@@ -146,6 +149,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     A null text, or one without a letter, is ``und`` with score 0. The matrix
     is broadcast: buckets x languages doubles, whatever the input's size.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

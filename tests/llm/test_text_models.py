@@ -302,6 +302,26 @@ def test_pipeline(spark, ranks):
     assert set(e.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} and e.count() > 50
 
 
+def test_small_batches(spark):
+    """Each stage with Python hands it a few MB of texts at a time, however many rows those are; a lower bound stays."""
+    import corpus_pipeline as P
+
+    @F.pandas_udf("long")
+    def together(texts):
+        return texts.str.len() * 0 + texts.str.len().sum()
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for stage in (P.keep_recognised, P.drop_near_copies, P.encode_texts):
+        session = spark.newSession()
+        docs = session.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.format_string("%d words", "id").alias("text"), F.lit("en").alias("lang"))
+        stage(session, docs, SF)
+        long = docs.withColumn("text", F.repeat(F.format_string("%04d", "doc_id"), 1000))
+        assert long.agg(F.max(together("text"))).first()[0] < 3 << 20  # of 12 MB
+        session.conf.set(name, "1m")
+        stage(session, docs, SF)
+        assert session.conf.get(name) == "1m"
+
+
 def test_near_copies_by_row(spark):
     """Ids that repeat or are null: one row of each group stays, and no other row goes with a copy."""
     import corpus_pipeline as P
