@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobmill.llm.bytes64 import GramRanges, groups, utf8
-from jobmill.llm.common import cut, free, only
+from jobmill.llm.common import cut, free, only, small_batches
 
 #: Bytes whose hash chooses anchors.
 GRAM = 16
@@ -204,6 +204,7 @@ def repeated_ranges(docs: DataFrame, length: int = 400, keep_first: bool = False
 
 def _ranges(docs: DataFrame, length: int, keep_first: bool, key: str, text: str) -> tuple[DataFrame, list[DataFrame]]:
     """The plan of repeated_ranges, and the written tables that it reads."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     runs = cut(anchors(docs, length, key, text).withColumn("n", F.lit(1).cast("long")))
     repeated, doubt, table = settle(runs, keep_first)
@@ -357,17 +358,61 @@ def cut_out(raw: bytes, ranges: list) -> tuple[bytes, int, int]:
     return left, len(raw) - len(left), spans
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: key, n_bytes, n_removed, n_spans, kept_sha256.
+def covered(ranges: list) -> tuple[int, int]:
+    """Bytes that the ranges cover, bytes of their longest maximal run."""
+    total, longest, begin, end = 0, 0, 0, 0
+    for start, stop in sorted((r["start"], r["stop"]) for r in ranges):
+        if start > end:
+            total += end - begin
+            begin = start
+        end = max(end, stop)
+        longest = max(longest, end - begin)
+    return total + end - begin, longest
+
+
+def _listed(ranges: DataFrame) -> DataFrame:
+    return ranges.groupBy("doc", "h").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
+
+
+def _reported(docs: DataFrame, length: int, key: str, text: str) -> DataFrame:
+    """Texts with a repeated string of so many bytes: doc, h, n_repeated (bytes that such strings cover), longest (of their maximal runs)."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            done = [covered(r) for r in b["ranges"]]
+            yield pd.DataFrame({"doc": b["doc"], "h": b["h"], "n_repeated": [d[0] for d in done], "longest": [d[1] for d in done]})
+
+    ranges, used = _ranges(docs, length, False, key, text)
+    out = cut(_listed(ranges).mapInPandas(measure, f"doc {kind}, h long, n_repeated long, longest long"))
+    free(*used)
+    return out
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = False, key: str = "doc_id", text: str = "text", report: int | None = None) -> DataFrame:
+    """One row per row of docs: key, n_bytes, n_removed, n_spans, kept_sha256; with ``report`` also n_repeated.
 
     Each byte that a repeated window of ``length`` bytes covers is removed (see
     repeated_ranges). Null texts count as empty; texts shorter than the window
     lose nothing; repeated rows repeat each other. Texts without a repeat are
     not moved at all.
+
+    ``report``, a length of at most ``length``, removes nothing more:
+    n_repeated counts the bytes that repeated windows of that many bytes cover,
+    first ones included. A longer repeat lies within a run of shorter ones, so
+    only texts with such a run of ``length`` bytes are searched for it.
     """
     kind = docs.schema[key].dataType.simpleString()
-    ranges, used = _ranges(docs, length, keep_first, key, text)
-    listed = cut(ranges.groupBy("doc", "h").agg(F.collect_set(F.struct("start", "stop")).alias("ranges")))
+    searched, at, short = docs, (key, text), None
+    if report is not None:
+        if not 2 * GRAM <= report <= length:
+            raise ValueError(f"report must be from {2 * GRAM} to length")
+        short = _reported(docs, report, key, text)
+        long = cut(short.filter(F.col("longest") >= length).select("doc", "h"))
+        whole_rows = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+        searched, at = only(whole_rows, long, ["doc", "h"]), ("doc", "t")
+    ranges, used = _ranges(searched, length, keep_first, *at)
+    listed = cut(_listed(ranges))
     free(*used)
     texts = docs.select(F.col(key).alias("_d"), F.xxhash64(text).alias("_h"), F.col(text).alias("t"))
     texts = only(texts.select(F.col("_d").alias("doc"), F.col("_h").alias("h"), "t"), listed, ["doc", "h"]).dropDuplicates(["doc", "h"])
@@ -384,4 +429,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = False,
     rows = docs.select(F.col(key), F.xxhash64(text).alias("_h"), F.octet_length(whole).cast("long").alias("n_bytes"), F.sha2(whole.cast("binary"), 256).alias("_sha"))
     out = rows.join(done, rows[key].eqNullSafe(done["doc"]) & (rows["_h"] == done["h"]), "left")
     zero = F.lit(0).cast("long")
-    return out.select(key, "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "_sha").alias("kept_sha256"))
+    more = []
+    if short is not None:
+        short = short.select(F.col("doc").alias("_sd"), F.col("h").alias("_sh"), "n_repeated")
+        out = out.join(short, out[key].eqNullSafe(short["_sd"]) & (out["_h"] == short["_sh"]), "left")
+        more = [F.coalesce("n_repeated", zero).alias("n_repeated")]
+    return out.select(key, "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "_sha").alias("kept_sha256"), *more)

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from jobmill.llm import jaccard_join, substring_dedup, vector_dedup
 from jobmill.llm import passages as passages_
+from jobmill.llm import queries as q
 from jobmill.llm.components import components
+from tests.test_queries import SF
 
 CLASH = ("node", "doc", "t", "h", "n", "window", "key", "span", "label2", "m", "v")
 
@@ -208,6 +210,43 @@ def test_repeats(spark, monkeypatch, length, large, first):
     assert substring_dedup.remove_repeats(df.limit(0), length).count() == 0
 
 
+@pytest.mark.parametrize("first", [False, True])
+def test_repeats_reported(spark, monkeypatch, first):
+    """Repeats below the removed length are counted and stay; what is removed is the same as without the report."""
+    monkeypatch.setattr(substring_dedup, "LARGE", 3000)
+    rng = random.Random(5)
+
+    def noise(n):
+        return "".join(rng.choice("xyz ü") for _ in range(n))
+
+    passages = ["".join(rng.choice("abcdé ") for _ in range(n)) for n in (110, 150, 200, 290, 295, 300, 301, 900)]
+    rows = [(i, noise(rng.randrange(200)) + passages[i % 8] + noise(rng.randrange(200))) for i in range(40)]
+    rows += [(50, passages[7][:299] + "!" + passages[7][299:598]), (51, noise(90) * 4), (52, None), (53, ""), (54, noise(500)), (None, passages[3]), (55, passages[4]), (55, passages[4])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumns({c: F.lit(1) for c in CLASH})
+    got = substring_dedup.remove_repeats(df, 300, first, report=120).collect()
+    sizes = Counter((r[0], r[1], r[2]) for r in brute_repeats(rows, 120, False).elements())
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_repeated"]) for r in got) == sizes
+    assert Counter(tuple(r)[:5] for r in got) == brute_repeats(rows, 300, first)
+    assert sum(r["n_repeated"] > 0 and r["n_removed"] == 0 for r in got) > 10
+    assert substring_dedup.remove_repeats(df.limit(0), 300, report=120).count() == 0
+
+
+def test_planted_passages_reported(spark, tmp_path):
+    """Benchmark passages of over 50 words, all below 400 bytes, in two documents each: reported by the query, and left in the text as its contract says."""
+    rng = random.Random(6)
+    passages = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len((r["text"] or "").split()) > 50]
+    assert passages and max(len(p.encode()) for p in passages) < 400
+
+    def noise(n):
+        return " ".join(f"{rng.choice('abcdefg')}{rng.randrange(10**6)}" for _ in range(n))
+
+    rows = [(i, f"{noise(30)}\n{passages[i // 2 % len(passages)]}\n{noise(30)}") for i in range(2 * len(passages))] + [(1000 + i, noise(150)) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in q.op10_substring_dedup(spark, str(tmp_path)).collect():
+        passage = len(passages[r["doc_id"] // 2].encode()) if r["doc_id"] < 1000 else 0
+        assert r["n_removed"] == 0 and (r["n_repeated"] >= passage if passage else r["n_repeated"] == 0)
+
+
 def test_suffix_order_of_windows():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 99, 4000).astype(np.uint8)
